@@ -1,0 +1 @@
+"""Empty on purpose: every computation of this library is a batch job over the pitch log."""
