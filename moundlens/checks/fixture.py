@@ -21,6 +21,10 @@ def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {
         name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders")
     }
+    # one small file would keep the derivation on one core
+    cores = spark.sparkContext.defaultParallelism
+    if tables["lineitem"].rdd.getNumPartitions() < cores:
+        tables["lineitem"] = tables["lineitem"].repartition(cores)
     text = _SQL.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}")
     return spark.sql(text, **tables)
 

@@ -931,3 +931,60 @@ _sql(
 FROM ranked""",
     _SCORES,
 )
+
+
+def _reml_rounds(rounds: int = 6, points: int = 25) -> tuple[str, ...]:
+    """Random-intercept fit: REML criterion on grids of psi, each closing in on the last minimum."""
+    last = points - 1
+    ctes = [
+        """sums AS (
+  SELECT Batter, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS t, sum(x * x) AS sxx,
+    sum(x * y) AS sxy, sum(y * y) AS syy FROM obs GROUP BY Batter)""",
+        "bounds0 AS (SELECT ln(1e-8) AS low, ln(1e4) AS high)",
+    ]
+    for k in range(rounds):
+        zero = " UNION ALL SELECT -1, 0e0" if k == 0 else ""
+        ctes.append(
+            f"""grid{k} AS (SELECT r.i, exp(low + (high - low) * r.i / {last}) AS psi
+  FROM bounds{k}, range({points}) r(i){zero})"""
+        )
+        ctes.append(
+            f"""normal{k} AS (
+  SELECT i, psi, sum(n) AS total, sum(n - c * n * n) AS a00, sum(sx - c * n * sx) AS a01,
+    sum(sxx - c * sx * sx) AS a11, sum(t - c * n * t) AS v0, sum(sxy - c * sx * t) AS v1,
+    sum(syy - c * t * t) AS q, sum(ln(1 + n * psi)) AS ld
+  FROM (SELECT *, psi / (1 + n * psi) AS c FROM sums, grid{k}) GROUP BY i, psi)"""
+        )
+        ctes.append(
+            f"""fit{k} AS (
+  SELECT *, (total - 2) * (1 + ln(2 * pi() * (q - beta0 * v0 - beta1 * v1) / (total - 2))) + ld + ln(det) AS crit
+  FROM (SELECT *, (a11 * v0 - a01 * v1) / det AS beta0, (a00 * v1 - a01 * v0) / det AS beta1
+    FROM (SELECT *, a00 * a11 - a01 * a01 AS det FROM normal{k})))"""
+        )
+        ctes.append(
+            f"""bounds{k + 1} AS (
+  SELECT ln((SELECT psi FROM grid{k} WHERE i = greatest(b.i - 1, 0))) AS low,
+    ln((SELECT psi FROM grid{k} WHERE i = least(b.i + 1, {last}))) AS high
+  FROM (SELECT i FROM fit{k} WHERE i >= 0 ORDER BY crit LIMIT 1) b)"""
+        )
+    every = " UNION ALL ".join(f"SELECT psi, beta0, beta1, crit FROM fit{k}" for k in range(rounds))
+    ctes.append(f"best AS (SELECT * FROM ({every}) ORDER BY crit, psi LIMIT 1)")
+    ctes.append(
+        """effects AS (
+  SELECT Batter, beta0 + psi / (1 + n * psi) * (t - beta0 * n - beta1 * sx) AS own0, beta1 AS own1
+  FROM sums, best)"""
+    )
+    return tuple(ctes)
+
+
+_sql(
+    "mixed_model_coef",
+    f"SELECT Batter, {_r('own0', 4)} AS beta0, {_r('own1', 4)} AS beta1 FROM effects",
+    *_SAMPLE_CTES, _FIT, *_reml_rounds(),
+)
+_sql(
+    "mixed_model_splits",
+    f"""SELECT Batter, 'Same Side' AS Platoon_Advantage, {_r("own0 - own1 / 2", 4)} AS "wOBA" FROM effects
+UNION ALL SELECT Batter, 'Oppo Side', {_r("own0 + own1 / 2", 4)} FROM effects""",
+    *_SAMPLE_CTES, _FIT, *_reml_rounds(),
+)

@@ -875,7 +875,7 @@ def feature_selection(log):
     parts = []
     for name, (_, features) in SWING_CLASSES.items():
         chosen = selection.select_features(
-            swing.feature_set(ready, name), "is_Swing", features, max_runs=12, trees=20, depth=5,
+            swing.feature_set(ready, name), "is_Swing", features, max_runs=12, trees=20, depth=4,
             seed=SEED,
         )
         parts.append(chosen.withColumn("swing_class", F.lit(name)))

@@ -8,7 +8,7 @@ from moundlens.functions.numbers import exact_mean, exact_sum, ratio, round_half
 from moundlens.functions.text import count_label
 from moundlens.operators.filters import in_heart, in_year, min_sample, out_of_zone
 from moundlens.operators.joins import null_safe_join
-from moundlens.operators.ranking import even_cuts, exact_quantiles
+from moundlens.operators.ranking import exact_quantiles
 
 QUANTILES = 14
 
@@ -116,7 +116,7 @@ def add_quantile_bin(
     names = {f"_q{i}": i / quantiles for i in range(quantiles + 1)}
     keyed = board if groups else board.withColumn("_all", F.lit(1))
     keys = groups or ["_all"]
-    breaks = exact_quantiles(keyed, keys, value, names, even_cuts(*limits))
+    breaks = exact_quantiles(keyed, keys, value, names, limits)
     breaks = breaks.select(*keys, F.array_distinct(F.array(*names)).alias("_breaks"))
     binned = null_safe_join(keyed, breaks, keys, "left")
     reached = F.size(F.filter("_breaks", lambda b: b <= F.col(value)))

@@ -109,9 +109,42 @@ def summarize(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     return flagged.groupBy(*keys).agg(*[col.alias(name) for name, col in _sums().items()])
 
 
-def roll_up(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge a finer summary into a coarser one without touching the pitches again."""
-    return summary.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in SUM_COLUMNS])
+def summarize_sets(flagged: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Sums for several key sets in one pass; `_set` is the number of the set a row belongs to."""
+    keys = list(dict.fromkeys(key for kept in sets for key in kept))
+    ids = [int("".join("0" if key in kept else "1" for key in keys), 2) for kept in sets]
+    summary = flagged.groupingSets([[F.col(k) for k in kept] for kept in sets], *keys).agg(
+        F.grouping_id().alias("_id"), *[col.alias(name) for name, col in _sums().items()]
+    )
+    number = F.lit(None).cast("int")
+    for position, grouping in enumerate(ids):
+        number = F.when(F.col("_id") == grouping, F.lit(position)).otherwise(number)
+    return summary.withColumn("_set", number).drop("_id")
+
+
+def merge_grains(
+    summary: DataFrame, keys: Sequence[str], grains: dict[str, tuple[int, Sequence[str]]]
+) -> DataFrame:
+    """Merge the rows of `summarize_sets` into coarser reports at once, named in `report`.
+
+    Each grain names the set it is merged from and the keys it keeps. A key that a report leaves
+    out and one that is NULL in the data stay apart, because `report` is part of the grouping.
+    """
+    names = F.lit(None).cast("array<string>")
+    for number in {source for source, _ in grains.values()}:
+        fed = [F.lit(name) for name, (source, _) in grains.items() if source == number]
+        names = F.when(F.col("_set") == number, F.array(*fed)).otherwise(names)
+    expanded = summary.withColumn("report", F.explode(names))
+    kept = {
+        key: F.when(
+            F.col("report").isin(*[name for name, (_, held) in grains.items() if key in held]),
+            F.col(key),
+        )
+        for key in keys
+    }
+    return expanded.withColumns(kept).groupBy("report", *keys).agg(
+        *[F.sum(name).alias(name) for name in SUM_COLUMNS]
+    )
 
 
 def finish(summary: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from moundlens.operators.filters import exclude_date, pitcher_dates, tagged_pitc
 from moundlens.operators.flags import (
     count_type_v2, movement_bands, pitch_class, pitch_flags, pitch_type,
 )
-from moundlens.plans.metrics import finish, roll_up, summarize
+from moundlens.plans.metrics import finish, merge_grains, summarize, summarize_sets
 from moundlens.schema import (
     ATTACK_ZONE_ORDER, LEAGUE_AVERAGE_COLUMNS, LEAGUE_AVERAGES, PITCH_CLASS_ORDER,
     PITCH_TYPE_ORDER,
@@ -44,7 +44,7 @@ COUNT_METRICS = [
     "z_whiff_pct", *_OUTCOMES,
 ]
 
-FINEST_GRAIN = [
+REPORT_KEYS = [
     "Pitcher", "BatterSide", "pitch_type", "pitchzone", "Count", "CountType", "pitch_class",
 ]
 
@@ -133,38 +133,26 @@ def platoon_by_pitch_type(df, pitchers=None, date_from=None, date_to=None) -> Da
 def all_grains(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
     """The numbers of all seven reports from one pass over the pitches, in long form.
 
-    The pitches are summed once at the finest grain; each report only merges those sums.
-    Columns that do not belong to a report's grain are NULL; `report` names it.
+    Every task sums its pitches at three small grains (side and type, count and class, attack
+    zone); the reports are merged from those sums. Columns outside a report's grain are NULL.
     """
-    summary = summarize(labelled_pitches(df, pitchers, date_from, date_to), FINEST_GRAIN)
+    sets = [
+        ["Pitcher", "BatterSide", "pitch_type"],
+        ["Pitcher", "Count", "CountType", "pitch_class"],
+        ["Pitcher", "pitchzone"],
+    ]
     grains = {
-        "overall": [],
-        "pitch_type": ["pitch_type"],
-        "attack_zone": ["pitchzone"],
-        "count": ["Count"],
-        "count_type": ["CountType", "pitch_class"],
-        "platoon": ["BatterSide"],
-        "platoon_pitch_type": ["BatterSide", "pitch_type"],
+        "overall": (0, ["Pitcher"]),
+        "pitch_type": (0, ["Pitcher", "pitch_type"]),
+        "platoon": (0, ["Pitcher", "BatterSide"]),
+        "platoon_pitch_type": (0, ["Pitcher", "BatterSide", "pitch_type"]),
+        "count": (1, ["Pitcher", "Count"]),
+        "count_type": (1, ["Pitcher", "CountType", "pitch_class"]),
+        "attack_zone": (2, ["Pitcher", "pitchzone"]),
     }
-    per_pitcher = [
-        finish(
-            roll_up(summary, ["Pitcher", *labels]),
-            [
-                F.lit(name).alias("report"),
-                "Pitcher",
-                *[
-                    F.col(label) if label in labels else F.lit(None).cast("string").alias(label)
-                    for label in FINEST_GRAIN[1:]
-                ],
-            ],
-            [*FULL_METRICS, "rv"],
-        )
-        for name, labels in grains.items()
-    ]
-    stacked, *rest = per_pitcher
-    for part in rest:
-        stacked = stacked.unionByName(part)
-    return stacked
+    summary = summarize_sets(labelled_pitches(df, pitchers, date_from, date_to), sets)
+    merged = merge_grains(summary, REPORT_KEYS, grains)
+    return finish(merged, ["report", *REPORT_KEYS], [*FULL_METRICS, "rv"])
 
 
 def movement(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from moundlens.operators.ranking import running_totals, sampled_cuts
+from moundlens.operators.ranking import running_totals, with_sampled_bucket
 from moundlens.sources.scratch import materialize
 
 
@@ -18,7 +18,7 @@ def _score_table(df: DataFrame, label: str, score: str) -> DataFrame:
         ),
         "score_counts",
     )
-    return running_totals(counted, [], "score", ["pos", "neg"], sampled_cuts(counted, "score"))
+    return running_totals(with_sampled_bucket(counted, "score"), [], "score", ["pos", "neg"])
 
 
 def roc_curve(df: DataFrame, label: str = "is_Swing", score: str = "xSwing_Pred") -> DataFrame:

@@ -18,6 +18,8 @@ def local_session(cores: int | None = None, **extra: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
+        # call sites for error messages cost more than planning does on small data
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in extra.items():
         builder = builder.config(name, value)
