@@ -11,7 +11,10 @@ SUM_SCALE = 1e9
 
 
 def round_half_up(col: Column, digits: int) -> Column:
-    """Round to `digits` places, halves upward; unlike `round` it has no decimal-text detour."""
+    """Round to `digits` places, halves of the binary value upward, the same in every engine.
+
+    The built-in `round` goes through decimal text and decides near-ties differently elsewhere.
+    """
     scale = F.lit(float(10**digits))
     return F.floor(col * scale + F.lit(0.5)) / scale
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import exp, log, pi
+from math import exp, log, nan, pi
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -217,6 +217,8 @@ class RandomIntercept:
 
 def _criterion(sums, psi: float) -> tuple[float, float, float, float]:
     det = sums["a00"] * sums["a11"] - sums["a01"] ** 2
+    if sums["total"] <= 2 or det <= 0:
+        raise ValueError("the model needs more than two observations and two values of x")
     beta0 = (sums["a11"] * sums["b0"] - sums["a01"] * sums["b1"]) / det
     beta1 = (sums["a00"] * sums["b1"] - sums["a01"] * sums["b0"]) / det
     rss = sums["q"] - beta0 * sums["b0"] - beta1 * sums["b1"]
@@ -272,6 +274,10 @@ def random_intercept(
     for step in range(rounds):
         grid = [exp(low + (high - low) * i / (points - 1)) for i in range(points)]
         scanned = _scan(stats, grid if step else [0.0, *grid])
+        if not scanned:  # no observation at all
+            unknown = F.lit(None).cast("double")
+            nobody = stats.select(group, unknown.alias("beta0"), unknown.alias("beta1"))
+            return RandomIntercept(nan, nan, nan, nan, nan, nobody)
         found.update(scanned)
         best = min(grid, key=lambda psi: scanned[psi][0])
         place = grid.index(best)
