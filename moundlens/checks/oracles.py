@@ -818,7 +818,7 @@ _P = """least(1e0, greatest(0e0, 1e0 - 2e0 * exp(lgamma((df + 1) / 2) - lgamma(d
 _sql(
     "ols_platoon",
     f"""SELECT term, {_r("estimate", 6)} AS estimate, {_r("std_error", 6)} AS std_error,
-  {_r("t_value", 6)} AS t_value, {_r(_P, 6)} AS p_value, {_r("sqrt(rss / df)", 6)} AS sigma,
+  {_r("t_value", 6)} AS t_value, CASE WHEN t_value IS NOT NULL THEN {_r(_P, 6)} END AS p_value, {_r("sqrt(rss / df)", 6)} AS sigma,
   {_r("1e0 - rss / syy", 6)} AS r_squared, df, n
 FROM (SELECT *, estimate / std_error AS t_value FROM (
   SELECT '(Intercept)' AS term, b0 AS estimate,
