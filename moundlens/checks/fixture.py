@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from moundlens.functions.numbers import exact_mean, round_half_up
 from moundlens.plans.swing import play_labels
 from moundlens.sources.pitch_log import read_store, write_store
-from moundlens.sources.scratch import fresh_path
+from moundlens.sources.scratch import fresh_path, materialize
 
 _SQL = Path(__file__).with_name("fixture.sql").read_text()
 FIXTURE_CTES = _SQL[: _SQL.rindex("SELECT * FROM pitches")].rstrip()
@@ -59,4 +59,4 @@ def event_weights(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         .agg(round_half_up(exact_mean(F.col("Run_Value")), 4).alias("run_value"))
     )
-    return events, runs
+    return materialize(events, "events"), materialize(runs, "run_values")

@@ -301,8 +301,10 @@ _KEYS14 = (
 ).split()
 _sql(
     "natural_join_nullsafe",
-    f"""SELECT b.PitchUID, b.Pitcher, b.Batter, b.SpinRate, b.m_swing AS is_Swing, a.xSwing_Pred
-FROM ready a JOIN ready b ON {" AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in _KEYS14)}""",
+    f"""SELECT b.PitchUID, b.Pitcher, b.Batter, b.SpinRate, b.m_swing AS is_Swing, a.xSwing_Pred,
+  count(*) AS copies
+FROM ready a JOIN ready b ON {" AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in _KEYS14)}
+GROUP BY ALL""",
     *_READY_CTES,
 )
 _sql(

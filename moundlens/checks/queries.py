@@ -22,7 +22,7 @@ from moundlens.schema import (
     SWING_CLASSES,
 )
 from moundlens.sources.pitch_log import align_schema, read_season_csv, union_seasons, write_csv
-from moundlens.sources.scratch import fresh_path
+from moundlens.sources.scratch import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -78,7 +78,7 @@ def sink_csv(log):
 
 @_query
 def model_roundtrip(log):
-    ready = swing.model_ready(log)
+    ready = _ready(log)
     model = swing_models.train_swing(ready, "Offspeed", rounds=2, seed=SEED)
     path = fresh_path(log.sparkSession, "model")
     swing_models.save_model(model, path)
@@ -220,8 +220,9 @@ def left_join_totals(log):
     return mix.totals_with_detail(log)
 
 
-def _ready_with_score(log: DataFrame) -> DataFrame:
-    return swing.model_ready(log, extra=("xSwing_Pred",))
+def _ready(log: DataFrame, *extra: str) -> DataFrame:
+    """Model-ready pitches, written once because several classes and models read them."""
+    return materialize(swing.model_ready(log, extra=extra), "model_ready")
 
 
 def _scored_classes(ready: DataFrame) -> DataFrame:
@@ -230,9 +231,11 @@ def _scored_classes(ready: DataFrame) -> DataFrame:
 
 @_query
 def natural_join_nullsafe(log):
-    ready = _ready_with_score(log)
+    ready = _ready(log, "xSwing_Pred")
     joined = swing.natural_join(_scored_classes(ready), ready.drop("xSwing_Pred"))
-    return joined.select("PitchUID", "Pitcher", "Batter", "SpinRate", "is_Swing", "xSwing_Pred")
+    return joined.select(
+        "PitchUID", "Pitcher", "Batter", "SpinRate", "is_Swing", "xSwing_Pred", "copies"
+    )
 
 
 @_query
@@ -452,7 +455,7 @@ def union_seasons_(log):
 
 @_query
 def union_scored(log):
-    return _scored_classes(_ready_with_score(log))
+    return _scored_classes(_ready(log, "xSwing_Pred"))
 
 
 @_query
@@ -781,7 +784,7 @@ def model_ready(log):
 
 @_query
 def feature_sets(log):
-    ready = swing.model_ready(log)
+    ready = _ready(log)
     parts = [
         swing.feature_set(ready, name).withColumn("swing_class", F.lit(name))
         for name in SWING_CLASSES
@@ -861,7 +864,7 @@ def train_swing_model(log):
 
 @_query
 def score_swing(log):
-    ready = swing.model_ready(log)
+    ready = _ready(log)
     models = {
         name: swing_models.train_swing(ready, name, rounds=3, seed=SEED) for name in SWING_CLASSES
     }
@@ -871,7 +874,7 @@ def score_swing(log):
 
 @_query
 def feature_selection(log):
-    ready = swing.model_ready(log)
+    ready = _ready(log)
     parts = []
     for name, (_, features) in SWING_CLASSES.items():
         chosen = selection.select_features(

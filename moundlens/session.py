@@ -1,4 +1,4 @@
-"""Local session for tests and the benchmark. On a cluster, pass your own."""
+"""Session settings: the ones worth having anywhere, and a local session for tests and benchmark."""
 
 from __future__ import annotations
 
@@ -6,6 +6,17 @@ import os
 
 from pyspark.sql import SparkSession
 
+# Worth setting on a cluster too. Partition sizes follow the data, hot partitions are split, and
+# wide projections (flags, model columns) stay in methods small enough to be compiled by the JVM:
+# beyond 8,000 bytes of byte code a generated method is only interpreted.
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 
 def local_session(cores: int | None = None, **extra: str) -> SparkSession:
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
@@ -13,15 +24,13 @@ def local_session(cores: int | None = None, **extra: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("moundlens")
         .config("spark.sql.shuffle.partitions", str(cores))
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.ansi.enabled", "true")
-        .config("spark.sql.adaptive.enabled", "true")
         # call sites for error messages cost more than planning does on small data
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
-    for name, value in extra.items():
+    for name, value in {**RECOMMENDED, **extra}.items():
         builder = builder.config(name, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

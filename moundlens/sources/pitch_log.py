@@ -13,7 +13,8 @@ def read_season_csv(
     """CSV with a header. Columns are found by name, `NA` and empty fields are NULL.
 
     Columns outside the schema are ignored, so a season with extra columns lines up with the
-    others; a value that does not fit its type becomes NULL.
+    others; a value that does not fit its type becomes NULL. The files of one call share a
+    layout: read seasons with different headers one by one and stack them.
     """
     # Without a schema and without inference only the header is read ahead; naming the schema
     # here would bind columns by position and shift a season whose columns are in another order.

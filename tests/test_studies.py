@@ -52,6 +52,19 @@ def test_regions_hold_their_mass_with_the_fewest_cells(log):
         assert sorted(inside, reverse=True) == ordered[: len(inside)]
 
 
+def test_snapped_points_near_the_exact_density(log):
+    # locations of the derived log are multiples of 0.01 already, so counting them changes nothing
+    one = ["Last1, First1"]
+    exact = location_cells(density.location_density(log, one, n=9))
+    assert location_cells(density.location_density(log, one, n=9, snap=0.01)) == pytest.approx(exact)
+    coarse = location_cells(density.location_density(log, one, n=9, snap=0.05))
+    assert coarse == pytest.approx(exact, abs=0.05) and coarse != exact
+
+
+def location_cells(df) -> dict:
+    return {(r["TaggedPitchType"], r["ix"], r["iy"]): r["ndensity"] for r in df.collect()}
+
+
 def test_density_without_broadcast_is_the_same(log):
     plain = density.location_density(log, n=5).select("Pitcher", "TaggedPitchType", "ix", "iy", F.round("ndensity", 9))
     spread = density.location_density(log, n=5, broadcast_rows=0).select(
@@ -180,7 +193,11 @@ def test_play_labels(make):
 def test_natural_join_multiplies_equal_pitches(make):
     ready = swing.model_ready(make({}, {"PlateLocSide": None}, {"PlateLocSide": None}, {"RelSpeed": 91.0}))
     scored = swing.stack_scored([ready.withColumn("xSwing_Pred", F.lit(0.5))])
-    joined = swing.natural_join(scored, ready)
+    weighted = swing.natural_join(scored, ready)
+    assert {r["PitchUID"]: r["copies"] for r in weighted.collect()} == {
+        "u0": 1, "u1": 2, "u2": 2, "u3": 1,
+    }
+    joined = swing.natural_join(scored, ready, expand=True)
     counts = {r["PitchUID"]: r["count"] for r in joined.groupBy("PitchUID").count().collect()}
     assert counts == {"u0": 1, "u1": 2, "u2": 2, "u3": 1}
 
