@@ -36,11 +36,6 @@ def exact_mean(col: Column) -> Column:
     return ratio(scaled_sum(col), F.count(col)) / F.lit(SUM_SCALE)
 
 
-def flag_mean(cond: Column) -> Column:
-    """Share of TRUE among known values."""
-    return F.avg(cond.cast("int"))
-
-
 def strict_mean(value: Column, where: Column) -> Column:
     """Mean over the rows chosen by `where`; NULL as soon as the choice or a chosen value is unknown."""
     unknown = F.count_if(where.isNull() | (where & value.isNull()))

@@ -13,10 +13,6 @@ HOT_SHARE = 0.001  # a key with more than this share of all rows is split
 HOT_SPLITS = 1_024
 
 
-def null_safe_condition(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[key].eqNullSafe(right[key]) for key in keys])
-
-
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 ) -> DataFrame:

@@ -12,21 +12,32 @@ from moundlens.operators.filters import exclude_date, not_null, pitcher_dates, t
 from moundlens.operators.flags import count_type_v2, pitch_class
 
 
-def _shares(df: DataFrame, within: Sequence[str], part: str) -> DataFrame:
-    """Percent of each part within its group; the group total is summed from the part counts."""
-    counted = df.groupBy(*within, part).agg(F.count(F.lit(1)).alias("pitches"))
+def _add_shares(counted: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Percent of each row within its group; the group total is summed from the counts."""
     total = F.sum("pitches").over(Window.partitionBy(*within))
     return counted.withColumn("total_pitches", total).withColumn(
         "pcts", round_half_up(ratio(F.col("pitches"), F.col("total_pitches")) * F.lit(100.0), 1)
     )
 
 
-def _class_shares(df: DataFrame, label: str, group: Column, dates) -> DataFrame:
-    chosen = tagged_pitches(pitcher_dates(df, *dates))
-    labelled = chosen.withColumns({label: group, "PitchClass": pitch_class()})
-    return _shares(labelled, ["Pitcher", label], "PitchClass").orderBy(
-        "Pitcher", label, "PitchClass"
+def _class_counts(df: DataFrame, label: str, group: Column, dates) -> DataFrame:
+    """Pitches per pitcher, label and class.
+
+    Pitches are counted by their raw count and type; labels are put on the counted rows, a few
+    hundred per pitcher, instead of on every pitch.
+    """
+    raw = (
+        tagged_pitches(pitcher_dates(df, *dates))
+        .groupBy("Pitcher", "Balls", "Strikes", "TaggedPitchType")
+        .agg(F.count(F.lit(1)).alias("pitches"))
     )
+    labelled = raw.withColumns({label: group, "PitchClass": pitch_class()})
+    return labelled.groupBy("Pitcher", label, "PitchClass").agg(F.sum("pitches").alias("pitches"))
+
+
+def _class_shares(df: DataFrame, label: str, group: Column, dates) -> DataFrame:
+    counted = _class_counts(df, label, group, dates)
+    return _add_shares(counted, ["Pitcher", label]).orderBy("Pitcher", label, "PitchClass")
 
 
 def totals_with_detail(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
@@ -34,11 +45,7 @@ def totals_with_detail(df, pitchers=None, date_from=None, date_to=None) -> DataF
 
     Both sides come from the same small table of counts, so only that table is shuffled.
     """
-    chosen = tagged_pitches(pitcher_dates(df, pitchers, date_from, date_to))
-    labelled = chosen.withColumns({"Count": count_label(), "PitchClass": pitch_class()})
-    detail = labelled.groupBy("Pitcher", "Count", "PitchClass").agg(
-        F.count(F.lit(1)).alias("pitches")
-    )
+    detail = _class_counts(df, "Count", count_label(), (pitchers, date_from, date_to))
     totals = detail.groupBy("Pitcher", "Count").agg(F.sum("pitches").alias("total_pitches"))
     return totals.join(detail, ["Pitcher", "Count"], "left")
 
@@ -54,9 +61,11 @@ def by_count_type(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
 def by_side(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
     """Type shares by batter side, with the mid-point of each slice stacked from the last type."""
     chosen = tagged_pitches(pitcher_dates(df, pitchers, date_from, date_to))
-    shares = _shares(chosen, ["Pitcher", "BatterSide"], "TaggedPitchType")
+    keys = ["Pitcher", "BatterSide"]
+    counted = chosen.groupBy(*keys, "TaggedPitchType").agg(F.count(F.lit(1)).alias("pitches"))
+    shares = _add_shares(counted, keys)
     stacked = (
-        Window.partitionBy("Pitcher", "BatterSide")
+        Window.partitionBy(*keys)
         .orderBy(F.col("TaggedPitchType").desc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -66,7 +75,7 @@ def by_side(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
             "text_y": (F.sum(tenths).over(stacked) - tenths / F.lit(2.0)) / F.lit(10.0),
             "labels": F.concat(_plain_number(tenths), F.lit("%")),
         }
-    ).orderBy("Pitcher", "BatterSide", F.col("TaggedPitchType").desc_nulls_last())
+    ).orderBy(*keys, F.col("TaggedPitchType").desc_nulls_last())
 
 
 def _plain_number(tenths: Column) -> Column:
