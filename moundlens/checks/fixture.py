@@ -34,7 +34,7 @@ def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
         path = fresh_path(spark, "pitches")
-        write_store(derive(spark, sf_dir), path)
+        write_store(derive(spark, sf_dir), path, clustered=False)  # queries read all of it
         _stores[key] = path
     return read_store(spark, _stores[key])
 

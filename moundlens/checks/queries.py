@@ -394,8 +394,8 @@ def running_midpoint(log):
 @_query
 def quantile_bins(log):
     board = leaderboards.chase_diff(log, min_n=100)
-    binned = leaderboards.add_quantile_bin(board, "chase_pct", "chase_bin")
-    binned = leaderboards.add_quantile_bin(binned, "chase_diff", "diff_bin")
+    bins = {"chase_pct": "chase_bin", "chase_diff": "diff_bin"}
+    binned = leaderboards.add_quantile_bins(board, bins)
     return binned.select("Batter", "BatterTeam", "chase_bin", "diff_bin")
 
 

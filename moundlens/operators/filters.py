@@ -34,13 +34,21 @@ def pitcher_dates(
     date_from: str | None = None,
     date_to: str | None = None,
 ) -> DataFrame:
-    """Chosen pitchers (all when not given) in a closed date range (open ends when not given)."""
+    """Chosen pitchers (all when not given) in a closed date range (open ends when not given).
+
+    On the store the range also bounds the season, so folders outside it are not opened.
+    """
+    stored = "Season" in df.columns
     if pitchers is not None:
         df = df.where(F.col("Pitcher").isin(*pitchers))
     if date_from is not None:
-        df = df.where(F.col("Date") >= F.lit(date_from).cast("date"))
+        first = F.lit(date_from).cast("date")
+        df = df.where(F.col("Date") >= first)
+        df = df.where(F.col("Season") >= F.year(first)) if stored else df
     if date_to is not None:
-        df = df.where(F.col("Date") <= F.lit(date_to).cast("date"))
+        last = F.lit(date_to).cast("date")
+        df = df.where(F.col("Date") <= last)
+        df = df.where(F.col("Season") <= F.year(last)) if stored else df
     return df
 
 
@@ -57,11 +65,8 @@ def no_nulls(df: DataFrame) -> DataFrame:
 
 
 def in_year(df: DataFrame, year: int) -> DataFrame:
-    """One calendar year, as a date range the parquet scan can use, plus the store's partition."""
-    first, last = f"{year}-01-01", f"{year}-12-31"
-    if "Season" in df.columns:
-        df = df.where(F.col("Season") == year)
-    return pitcher_dates(df, None, first, last)
+    """One calendar year, as a date range the scan can use."""
+    return pitcher_dates(df, None, f"{year}-01-01", f"{year}-12-31")
 
 
 def out_of_zone(df: DataFrame) -> DataFrame:

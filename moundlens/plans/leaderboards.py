@@ -9,6 +9,7 @@ from moundlens.functions.text import count_label
 from moundlens.operators.filters import in_heart, in_year, min_sample, out_of_zone
 from moundlens.operators.joins import null_safe_join
 from moundlens.operators.ranking import exact_quantiles
+from moundlens.sources.scratch import materialize
 
 QUANTILES = 14
 
@@ -100,30 +101,44 @@ def heart_diff(
     return ranked if k is None else ranked.limit(k)
 
 
-def add_quantile_bin(
+def add_quantile_bins(
     board: DataFrame,
-    value: str,
-    name: str,
+    bins: dict[str, str],
     groups: list[str] | None = None,
     quantiles: int = QUANTILES,
     limits: tuple[float, float] = (-1.0, 1.0),
 ) -> DataFrame:
-    """Bin 1..quantiles of a board column: cut points at equal shares, lower end included.
+    """Bin 1..quantiles of board columns (column -> bin name): cut points at equal shares, lower
+    end included.
 
-    Equal cut points count once, so a board with few distinct values has fewer bins.
+    Equal cut points count once, so a board with few distinct values has fewer bins. The board is
+    written first, because the cut points of all columns and the bins read it again.
     """
-    groups = groups or []
-    names = {f"_q{i}": i / quantiles for i in range(quantiles + 1)}
-    keyed = board if groups else board.withColumn("_all", F.lit(1))
     keys = groups or ["_all"]
-    breaks = exact_quantiles(keyed, keys, value, names, limits)
-    breaks = breaks.select(*keys, F.array_distinct(F.array(*names)).alias("_breaks"))
-    binned = null_safe_join(keyed, breaks, keys, "left")
-    reached = F.size(F.filter("_breaks", lambda b: b <= F.col(value)))
-    top = F.greatest(F.size("_breaks") - 1, F.lit(1))
-    return binned.withColumn(
-        name, F.when(F.col(value).isNotNull(), F.least(reached, top))
-    ).drop("_breaks", "_all")
+    board = materialize(board if groups else board.withColumn("_all", F.lit(1)), "board")
+    shares = {f"_q{i}": i / quantiles for i in range(quantiles + 1)}
+    values = F.array(
+        *[F.struct(F.lit(name).alias("bin"), F.col(c).alias("value")) for c, name in bins.items()]
+    )
+    long_form = board.select(*keys, F.explode(values).alias("v")).select(*keys, "v.*")
+    cuts = exact_quantiles(long_form, [*keys, "bin"], "value", shares, limits)
+    cuts = cuts.withColumn("cuts", F.array_distinct(F.array(*shares)))
+    per_group = cuts.groupBy(*keys).agg(
+        *[
+            F.first(F.when(F.col("bin") == name, F.col("cuts")), ignorenulls=True).alias(f"_{name}")
+            for name in bins.values()
+        ]
+    )
+
+    def bin_of(value: str, cut_points: str) -> Column:
+        reached = F.size(F.filter(cut_points, lambda cut: cut <= F.col(value)))
+        top = F.greatest(F.size(cut_points) - 1, F.lit(1))
+        return F.when(F.col(value).isNotNull(), F.least(reached, top))
+
+    binned = null_safe_join(board, per_group, keys, "left")
+    return binned.withColumns(
+        {name: bin_of(value, f"_{name}") for value, name in bins.items()}
+    ).drop("_all", *[f"_{name}" for name in bins.values()])
 
 
 def team_chase_board(
@@ -131,6 +146,7 @@ def team_chase_board(
 ) -> DataFrame:
     """Chase board per team with the quantile bins that colour it."""
     board = chase_diff(scored, team, year, min_n)
-    board = add_quantile_bin(board, "chase_pct", "chase_bin", ["BatterTeam"])
-    board = add_quantile_bin(board, "chase_diff", "diff_bin", ["BatterTeam"])
-    return board.orderBy("BatterTeam", F.col("chase_diff").asc_nulls_last(), "Batter")
+    binned = add_quantile_bins(
+        board, {"chase_pct": "chase_bin", "chase_diff": "diff_bin"}, ["BatterTeam"]
+    )
+    return binned.orderBy("BatterTeam", F.col("chase_diff").asc_nulls_last(), "Batter")

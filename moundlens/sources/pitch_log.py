@@ -41,9 +41,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("nullValue", "NA").csv(path)
 
 
-def write_store(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by season, so that a year filter skips whole folders."""
-    df.withColumn("Season", F.year("Date")).write.partitionBy("Season").parquet(path)
+def write_store(df: DataFrame, path: str, clustered: bool = True) -> None:
+    """Parquet partitioned by season, so that a date filter skips whole folders.
+
+    `clustered` also lays each season out by pitcher, so that the report of one pitcher skips most
+    row groups. The date and the key end the ordering: a pitcher with very many pitches is cut
+    into several files.
+    """
+    seasoned = df.withColumn("Season", F.year("Date"))
+    if clustered:
+        order = ["Season", "Pitcher", "Date", "PitchUID"]
+        seasoned = seasoned.repartitionByRange(*order).sortWithinPartitions(*order)
+    seasoned.write.partitionBy("Season").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import as_set
-from moundlens.operators.filters import in_year
+from moundlens.operators.filters import in_year, pitcher_dates
 from moundlens.schema import PITCH_COLUMNS, PITCH_SCHEMA
 from moundlens.sources.pitch_log import (
     align_schema, read_season_csv, read_store, union_seasons, write_csv, write_store,
@@ -31,9 +31,8 @@ def test_season_files_line_up_by_name(spark, make, tmp_path):
 def test_empty_and_na_fields_are_null(spark, tmp_path):
     (tmp_path / "f.csv").write_text("Balls,PitchUID,Rel Ht.\nNA,a,1\n,b,2\n2,c,x\nbad,d,3\n")
     schema = "PitchUID string, Balls int, `Rel Ht.` double"
-    from pyspark.sql.types import _parse_datatype_string
-
-    df = read_season_csv(spark, str(tmp_path / "f.csv"), _parse_datatype_string(schema))
+    typed = spark.createDataFrame([], schema).schema
+    df = read_season_csv(spark, str(tmp_path / "f.csv"), typed)
     assert [tuple(r) for r in df.orderBy("PitchUID").collect()] == [
         ("a", None, 1.0), ("b", None, 2.0), ("c", 2, None), ("d", None, 3.0),
     ]
@@ -44,12 +43,28 @@ def test_missing_column_is_an_error(spark, make):
         align_schema(make({}).drop("Balls")).count()
 
 
-def test_store_prunes_seasons(spark, log, tmp_path):
+def test_store_prunes_seasons_and_keeps_every_row(spark, log, tmp_path):
     write_store(log.drop("Season"), str(tmp_path / "s"))
-    kept = in_year(read_store(spark, str(tmp_path / "s")), 2023)
-    plan = kept._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(Season" in plan.replace("#", " ").replace("  ", " ") or "PartitionFilters" in plan
-    assert kept.count() == log.where(F.year("Date") == 2023).count()
+    store = read_store(spark, str(tmp_path / "s"))
+    assert as_set(store.select(*PITCH_COLUMNS)) == as_set(log.select(*PITCH_COLUMNS))
+    for kept in (in_year(store, 2023), pitcher_dates(store, None, "2023-02-01", "2023-11-01")):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        pruned = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+        assert "Season" in pruned and "2023" in pruned
+        assert kept.count() == log.where(F.year("Date") == 2023).count()
+
+
+def test_store_lays_pitchers_out_in_ranges(spark, log, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge this little data
+    try:
+        write_store(log.drop("Season"), str(tmp_path / "s"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    store = read_store(spark, str(tmp_path / "s"))
+    places = store.select("Pitcher", "Season", F.input_file_name().alias("file")).distinct()
+    files = places.select("file").distinct().count()
+    per_pitcher = places.groupBy("Pitcher", "Season").count().agg(F.max("count")).first()[0]
+    assert per_pitcher <= 3 < files
 
 
 def test_scratch_lies_in_the_named_folder(spark):

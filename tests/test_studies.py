@@ -220,8 +220,34 @@ def test_boards_are_sorted_and_named_team_equals_all_teams(log):
 
 def test_quantile_bins_close_the_top(spark):
     board = spark.createDataFrame([(float(i) / 100,) for i in range(29)] + [(None,)], "v double")
-    rows = leaderboards.add_quantile_bin(board, "v", "b").orderBy("v").collect()
+    rows = leaderboards.add_quantile_bins(board, {"v": "b"}).orderBy("v").collect()
     assert rows[0]["b"] is None
     assert [r["b"] for r in rows[1:]] == [min(i // 2 + 1, 14) for i in range(29)]
     flat = spark.createDataFrame([(0.2,), (0.2,)], "v double")
-    assert [r["b"] for r in leaderboards.add_quantile_bin(flat, "v", "b").collect()] == [1, 1]
+    assert [r["b"] for r in leaderboards.add_quantile_bins(flat, {"v": "b"}).collect()] == [1, 1]
+
+
+def test_a_pitcher_with_a_third_of_all_pitches(log):
+    hot = F.pmod(F.xxhash64("PitchUID"), F.lit(3)) == 0
+    fixed = {"Pitcher": "Hot, One", "PitcherTeam": "HOT", "PitcherThrows": "Right"}
+    skewed = log.withColumns(
+        {name: F.when(hot, F.lit(v)).otherwise(F.col(name)) for name, v in fixed.items()}
+    ).withColumn("Date", F.when(hot, F.to_date(F.lit("2023-03-10"))).otherwise(F.col("Date")))
+    pitches = swing.pipeline_pitches(skewed)
+    names = ["PitchUID", "Fastball_Velo", "Fastball_HB", "Fastball_IVB"]
+    small = swing.join_fastball_baseline(pitches).select(*names)
+    spread = swing.join_fastball_baseline(pitches, broadcast_rows=0).select(*names)
+    assert as_set(small) == as_set(spread)
+    # the hot key's rows end in many tasks, not in one
+    tasks = (
+        swing.join_fastball_baseline(pitches, broadcast_rows=0)
+        .where("Pitcher = 'Hot, One'")
+        .select(F.spark_partition_id().alias("task"))
+        .distinct()
+    )
+    spark = log.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert tasks.count() >= 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
