@@ -419,11 +419,10 @@ FROM (SELECT Pitcher, BatterSide, pitch_type, count(*) AS pitches FROM flagged G
     _FLAGGED,
 )
 _SIDE_MIX = f"""side_mix AS (
-  SELECT *, {_r("pitches / total_pitches * 1e2", 1)} AS pcts,
-    CAST(floor(pitches / total_pitches * 1e3 + 5e-1) AS BIGINT) AS tenths
-  FROM (SELECT Pitcher, BatterSide, TaggedPitchType, count(*) AS pitches,
+  SELECT *, CAST(floor(pcts * 1e1 + 5e-1) AS BIGINT) AS tenths
+  FROM (SELECT *, {_r("pitches / total_pitches * 1e2", 1)} AS pcts FROM (SELECT Pitcher, BatterSide, TaggedPitchType, count(*) AS pitches,
       CAST(sum(count(*)) OVER (PARTITION BY Pitcher, BatterSide) AS BIGINT) AS total_pitches
-    FROM pitches WHERE {TYPED} GROUP BY Pitcher, BatterSide, TaggedPitchType)),
+    FROM pitches WHERE {TYPED} GROUP BY Pitcher, BatterSide, TaggedPitchType))),
 side_stack AS (
   SELECT *, (sum(tenths) OVER (PARTITION BY Pitcher, BatterSide ORDER BY TaggedPitchType DESC
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - tenths / 2e0) / 1e1 AS text_y

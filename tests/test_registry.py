@@ -27,6 +27,12 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
+UNWANTED = ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas")
+
+
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
-def test_query_equals_sql(spark, con, name):
-    assert compare(QUERIES[name](spark, SMALL), con, ORACLES[name]) == ""
+def test_query_equals_sql_and_plans_well(spark, con, name):
+    result = QUERIES[name](spark, SMALL)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert [node for node in UNWANTED if node in plan] == []
+    assert compare(result, con, ORACLES[name]) == ""
