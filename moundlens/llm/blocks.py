@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,7 +75,7 @@ def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
     total = np.full(batch.num_rows, 64, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-            lengths = pa.compute.binary_length(column).fill_null(0)
+            lengths = pc.binary_length(column).fill_null(0)
             total += lengths.to_numpy(zero_copy_only=False)
     return total
 

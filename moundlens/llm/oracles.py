@@ -19,7 +19,7 @@ WITH parts AS (
         FROM parts, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)
 ), hits AS (SELECT doc_id, n, i, item FROM doc_windows JOIN item_windows USING (n, win)),
 covered AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY ALL
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY ALL
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
   FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY ALL
@@ -29,4 +29,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM parts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": DECONTAMINATE}
+# Words have no blanks inside, so joining them by one space keeps sequences apart.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+
+SUBSTRING_DEDUP = f"""
+WITH parts AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+wins AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM parts WHERE len(w) >= 13)
+), firsts AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place
+  FROM wins JOIN firsts USING (win) WHERE first < doc_id
+), lost AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, w, coalesce(places, []) AS places,
+    list_filter(range(1, len(w) + 1), k -> NOT list_contains(coalesce(places, []), k)) AS stay
+  FROM parts LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(stay, k -> w[k]), ' ')) AS kept_sha256
+FROM kept
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": DECONTAMINATE,
+    "op10_substring_dedup": SUBSTRING_DEDUP,
+}

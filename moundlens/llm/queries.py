@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moundlens.llm.decontaminate import op4_decontaminate
 from moundlens.llm.oracles import ORACLES
+from moundlens.llm.substrings import op10_substring_dedup
 
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_decontaminate,)
+    for f in (
+        op4_decontaminate,
+        op10_substring_dedup,
+    )
 }
