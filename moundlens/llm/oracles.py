@@ -30,7 +30,7 @@ FROM parts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 # Words have no blanks inside, so joining them by one space keeps sequences apart.
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 SUBSTRING_DEDUP = f"""
 WITH parts AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -44,11 +44,11 @@ gone AS (
 ), lost AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id),
 kept AS (
   SELECT doc_id, w, coalesce(places, []) AS places,
-    list_filter(range(1, len(w) + 1), k -> NOT list_contains(coalesce(places, []), k)) AS stay
+    list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(coalesce(places, []), k)) AS stay
   FROM parts LEFT JOIN lost USING (doc_id)
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_removed,
-  sha256(array_to_string(list_transform(stay, k -> w[k]), ' ')) AS kept_sha256
+  sha256(array_to_string(list_transform(stay, lambda k: w[k]), ' ')) AS kept_sha256
 FROM kept
 """
 

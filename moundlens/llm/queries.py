@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from moundlens.llm.bpe import op3_bpe
 from moundlens.llm.decontaminate import op4_decontaminate
 from moundlens.llm.oracles import ORACLES
+from moundlens.llm.simhash import op1_simhash
 from moundlens.llm.substrings import op10_substring_dedup
 
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (
+    query.__name__: query
+    for query in (
+        op1_simhash,
+        op3_bpe,
         op4_decontaminate,
         op10_substring_dedup,
     )
