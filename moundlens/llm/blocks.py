@@ -93,16 +93,17 @@ Keys = tuple[np.ndarray, np.ndarray]  # keys (uint64) and their owners (int64),
 
 _SENT = pa.schema(
     [("part", pa.int64()), ("block", pa.int64())]
-    + [(name, pa.binary()) for name in ("keys", "low", "high")]
+    + [(name, pa.binary()) for name in ("keys", "low", "high", "often")]
 )
-ANSWER = "block long, keys binary, low binary"
-_ANSWER = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("low", pa.binary())])
+ANSWER = "block long, keys binary, low binary, often binary"
+_ANSWER = pa.schema([("block", pa.int64())] + [(x, pa.binary()) for x in ("keys", "low", "often")])
 
 
 def shared_keys(
     table: DataFrame, payload: str, keys_of: Callable[[bytes], Keys], total: int, name: str
 ) -> DataFrame:
-    """(block, keys, low): for each block its keys with two owners or more, and the smallest owner.
+    """(block, keys, low, often): for each block its keys with two owners or more over all blocks,
+    the smallest owner of each, and how often the blocks sent it, once for every distinct owner.
 
     total: how many keys there are about, which sets the number of groups.
     """
@@ -111,14 +112,14 @@ def shared_keys(
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, low, high = summed(*keys_of(data.as_buffer()))
-                if len(keys):
-                    yield _split(block, keys, low, high, parts)
+                columns = summed(*keys_of(data.as_buffer()))
+                if len(columns[0]):
+                    yield _split(block, columns, parts)
 
     def gather(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         sent = [_flat(group, name, kind) for name, kind in _KINDS]
-        sizes = np.array([len(x) // 8 for x in group.column("keys").to_pylist()])
+        sizes = np.array([len(x) // 8 for x in group.column("keys").to_pylist()], np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(sent[0], kind="stable")
         keys = sent[0][order]
@@ -126,6 +127,7 @@ def shared_keys(
         run = np.diff(np.r_[first, len(keys)])
         low = np.repeat(np.minimum.reduceat(sent[1][order], first), run)
         high = np.repeat(np.maximum.reduceat(sent[2][order], first), run)
+        often = np.repeat(np.add.reduceat(sent[3][order], first, dtype=np.int64), run)
         hit = np.flatnonzero(low < high)
         hit = hit[np.argsort(row[order[hit]], kind="stable")]
         at = row[order[hit]]
@@ -138,27 +140,31 @@ def shared_keys(
                 blocks[rows],
                 [keys[x].tobytes() for x in pieces],
                 [low[x].tobytes() for x in pieces],
+                [often[x].tobytes() for x in pieces],
             ],
             schema=_ANSWER,
         )
 
     sent = table.select("block", payload).mapInArrow(
-        send, "part long, block long, keys binary, low binary, high binary"
+        send, "part long, block long, keys binary, low binary, high binary, often binary"
     )
     return durable(sent.groupBy("part").applyInArrow(gather, ANSWER), name)
 
 
-_KINDS = (("keys", np.uint64), ("low", np.int64), ("high", np.int64))
+_KINDS = (("keys", np.uint64), ("low", np.int64), ("high", np.int64), ("often", np.int32))
 
 
-def summed(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once, ascending, with its smallest and largest owner."""
+def summed(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, ascending, with its smallest and largest owner and its number of owners."""
     if not len(keys):
-        return keys, owner, owner
-    order = np.argsort(keys, kind="stable")
+        return keys, owner, owner, owner.astype(np.int32)
+    order = np.lexsort((owner, keys))
     keys, owner = keys[order], owner[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    first = np.flatnonzero(new)
+    other = new | np.r_[True, owner[1:] != owner[:-1]]
+    often = np.add.reduceat(other.astype(np.int32), first, dtype=np.int32)
+    return keys[first], owner[first], owner[np.r_[first[1:], len(keys)] - 1], often
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -166,13 +172,12 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _split(block: int, keys, low, high, parts: int) -> pa.RecordBatch:
-    part, begin = np.unique(part_of(keys, parts), return_index=True)
-    cut = np.r_[begin, len(keys)]
-    pairs = list(zip(cut, cut[1:], strict=False))
+def _split(block: int, columns: tuple[np.ndarray, ...], parts: int) -> pa.RecordBatch:
+    part, begin = np.unique(part_of(columns[0], parts), return_index=True)
+    pairs = list(zip(begin, np.r_[begin[1:], len(columns[0])], strict=True))
     return pa.record_batch(
         [part.astype(np.int64), np.full(len(part), block, np.int64)]
-        + [[column[a:b].tobytes() for a, b in pairs] for column in (keys, low, high)],
+        + [[column[a:b].tobytes() for a, b in pairs] for column in columns],
         schema=_SENT,
     )
 
@@ -181,11 +186,11 @@ def _flat(group: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
 
 
-def answers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(keys ascending, smallest owner) of all answers to one block."""
-    keys, low = _flat(rows, "keys", np.uint64), _flat(rows, "low", np.int64)
+def answers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys ascending, smallest owner, how often sent) of all answers to one block."""
+    keys = _flat(rows, "keys", np.uint64)
     order = np.argsort(keys, kind="stable")
-    return keys[order], low[order]
+    return keys[order], *(_flat(rows, name, np.int64)[order] for name in ("low", "often"))
 
 
 def lookup(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

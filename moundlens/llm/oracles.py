@@ -52,7 +52,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_removed,
 FROM kept
 """
 
+LINE_DEDUP = rf"""
+WITH parts AS (
+  SELECT doc_id, string_split(text, chr(10)) AS raw, string_split({_LOWERED}, chr(10)) AS low FROM documents
+), split AS (
+  SELECT doc_id, line, regexp_extract_all(low[line + 1], '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, low, unnest(range(len(low))) AS line FROM parts)
+), shingles AS (
+  SELECT DISTINCT doc_id, line, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT doc_id, line, w, unnest(range(1, len(w) - 3)) AS k FROM split WHERE len(w) >= 5)
+), sizes AS (SELECT doc_id, line, count(*) AS n FROM shingles GROUP BY ALL),
+shared AS (
+  SELECT a.doc_id, a.line, b.doc_id AS other, b.line AS other_line, count(*) AS met
+  FROM shingles a JOIN shingles b
+    ON a.s = b.s AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.line < a.line))
+  GROUP BY ALL
+), gone AS (
+  SELECT DISTINCT p.doc_id, p.line
+  FROM shared p JOIN sizes a ON a.doc_id = p.doc_id AND a.line = p.line
+  JOIN sizes b ON b.doc_id = p.other AND b.line = p.other_line
+  WHERE 9 * met >= 4 * (a.n + b.n)
+), lists AS (SELECT doc_id, list(line ORDER BY line) AS lines FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(len(raw), 0)::BIGINT AS n_lines, coalesce(len(lines), 0)::BIGINT AS n_removed,
+  coalesce(array_to_string(lines, ','), '') AS removed_lines,
+  sha256(array_to_string(list_transform(
+    list_filter(range(1, len(raw) + 1), lambda k: NOT list_contains(coalesce(lines, []), k - 1)), lambda k: raw[k]), chr(10))) AS kept_sha256
+FROM parts LEFT JOIN lists USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_decontaminate": DECONTAMINATE,
+    "op6_line_dedup": LINE_DEDUP,
     "op10_substring_dedup": SUBSTRING_DEDUP,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moundlens.llm.bpe import op3_bpe
 from moundlens.llm.decontaminate import op4_decontaminate
+from moundlens.llm.lines import op6_line_dedup
 from moundlens.llm.oracles import ORACLES
 from moundlens.llm.simhash import op1_simhash
 from moundlens.llm.substrings import op10_substring_dedup
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_simhash,
         op3_bpe,
         op4_decontaminate,
+        op6_line_dedup,
         op10_substring_dedup,
     )
 }

@@ -122,7 +122,7 @@ def parse(
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         batch, ids, found = _read(left.column("data")[0].as_buffer(), id_at, text_at)
         starts = window_starts(found.first, window)
-        keys, low = blocks.answers(right)
+        keys, low, _ = blocks.answers(right)
         hit, place = blocks.lookup(windows(found.digest, window)[starts], keys)
         starts, place = starts[hit], place[hit]
         source = low[place] if len(place) else np.zeros(0, np.int64)
