@@ -12,10 +12,10 @@ thresholds with the lowest estimated work, for several numbers of partitions; th
 from the counts of all partition values. Every fingerprint is listed under its value of each
 probed partition and probes all values within t_i bits; each meeting is verified.
 
-A value under which more than `LIST` rows meet is not joined. The fingerprints that meet there go
-another exact way: two of them differ in at most two bits if and only if some 64-bit value is
-within one bit of both, so each writes itself and its 64 neighbours, and no more than 65 can meet.
-(For distances other than 2 the radius is half the distance, rounded up, and links are verified.)
+A value under which more than `LIST` rows meet is not joined, as its pairs would grow with the
+square. The fingerprints that meet there go another exact way: two of them differ in at most two
+bits if and only if some 64-bit value is within one bit of both, so each writes itself and its 64
+neighbours, and no more than 65 can meet. Distances above 2 are not supported for that reason.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other; repeated
 rows and ids share their group; a null id is never the name of a group unless all ids are null.
@@ -39,7 +39,7 @@ from moundlens.llm.components import components
 SHINGLE = 5
 DISTANCE = 2
 SEED = 42
-LIST = 64
+LIST = 8  # the most rows that are paired with each other
 PARTITIONS = (2, 3, 4, 5)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -198,6 +198,8 @@ def _apart(a: str, b: str):
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): verified links between distinct fingerprints that span all groups of links."""
+    if distance not in (0, 1, 2):
+        raise ValueError("distance is 0, 1 or 2")
     asked = None
     for k, (bits, radius) in enumerate(plan(fps, distance)):
         some = _probes(fps, k, bits, radius)
@@ -211,12 +213,12 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     pairs = mine.join(other, ["g", "v"]).where((F.col("a") != F.col("b")) & (_apart("a", "b") <= distance))
     near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     dense = met.where("crowded").select("fp").distinct()
-    radius = (distance + 1) // 2
-    around = _probes(dense, 0, list(range(64)), radius).select("v", "fp")
-    if radius != 1 or distance != 2:  # meeting is then necessary, not sufficient
+    around = _probes(dense, 0, list(range(64)), 1).select("v", "fp")
+    if distance < 2:  # meeting is then necessary, not sufficient
         around = durable(around, "simhash-around")
         back = around.select("v", F.col("fp").alias("b"))
-        met = around.withColumnRenamed("fp", "a").join(back, "v").where((F.col("a") < F.col("b")) & (_apart("a", "b") <= distance))
+        met = around.withColumnRenamed("fp", "a").join(back, "v")
+        met = met.where((F.col("a") < F.col("b")) & (_apart("a", "b") <= distance))
         return durable(near.union(met.select("a", "b").distinct()), "simhash-links")
     first = around.groupBy("v").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all"))
     star = first.where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a <> b").distinct()
