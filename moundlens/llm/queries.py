@@ -12,6 +12,7 @@ from moundlens.llm.lines import op6_line_dedup
 from moundlens.llm.oracles import ORACLES
 from moundlens.llm.simhash import op1_simhash
 from moundlens.llm.substrings import op10_substring_dedup
+from moundlens.llm.tokencounts import op8_token_counts
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_bpe,
         op4_decontaminate,
         op6_line_dedup,
+        op8_token_counts,
         op10_substring_dedup,
     )
 }
