@@ -80,8 +80,50 @@ SELECT doc_id, coalesce(len(raw), 0)::BIGINT AS n_lines, coalesce(len(lines), 0)
 FROM parts LEFT JOIN lists USING (doc_id)
 """
 
+_CONTROL = r"([<\[])(\\*)(/?s>|</?SYS>>|/?INST\])"
+CHAT = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), counted AS (
+  SELECT *, length(text) // 4 + 4 AS tokens,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place
+  FROM turns
+), led AS (
+  SELECT *, place = 1 AND role = 'system' AS sys,
+    sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto
+  FROM counted
+), based AS (
+  SELECT *, coalesce(max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id), 0) AS lead FROM led
+), measured AS (
+  SELECT *, upto - lead AS stop, upto - lead - tokens AS start, greatest(384 - lead, 128)::BIGINT AS room FROM based
+), spanned AS (
+  SELECT *, CASE WHEN sys THEN 0 ELSE (stop - 1)::BIGINT // room END AS span FROM measured
+), keyed AS (
+  SELECT *, span * 2 + CASE WHEN NOT sys AND start::BIGINT // room < span
+      AND sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, span) > room THEN 0 ELSE 1 END AS rawkey
+  FROM spanned
+), aligned AS (
+  SELECT *, CASE WHEN sys THEN coalesce(min(CASE WHEN NOT sys THEN rawkey END) OVER (PARTITION BY conv_id), 1) ELSE rawkey END AS win
+  FROM keyed
+), numbered AS (
+  SELECT *, max(stop) OVER (PARTITION BY conv_id, win) AS edge, max(win) OVER (PARTITION BY conv_id) AS lastwin FROM aligned
+), windows AS (SELECT conv_id, count(DISTINCT win) AS n FROM numbered GROUP BY ALL),
+copies AS (
+  SELECT t.*, CASE WHEN sys THEN n WHEN edge - start <= 128 AND win < lastwin THEN 2 ELSE 1 END AS times
+  FROM numbered t JOIN windows USING (conv_id)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256,
+  sum(times * (9 + length(role) + length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g'))))::BIGINT AS formatted_chars
+FROM copies GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op4_decontaminate": DECONTAMINATE,
+    "op5_chat": CHAT,
     "op6_line_dedup": LINE_DEDUP,
     "op10_substring_dedup": SUBSTRING_DEDUP,
 }

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from moundlens.llm.bpe import op3_bpe
+from moundlens.llm.chat import op5_chat
 from moundlens.llm.decontaminate import op4_decontaminate
 from moundlens.llm.lines import op6_line_dedup
 from moundlens.llm.oracles import ORACLES
+from moundlens.llm.quality import op7_quality
+from moundlens.llm.sharding import op9_sharding
 from moundlens.llm.simhash import op1_simhash
 from moundlens.llm.substrings import op10_substring_dedup
 from moundlens.llm.tokencounts import op8_token_counts
@@ -22,8 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_simhash,
         op3_bpe,
         op4_decontaminate,
+        op5_chat,
         op6_line_dedup,
+        op7_quality,
         op8_token_counts,
+        op9_sharding,
         op10_substring_dedup,
     )
 }
