@@ -25,9 +25,22 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(old).alias(new) for new, old in columns.items()))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read back: survives the loss of any executor."""
-    return materialize(df, name)
+    """The table written to the shared folder and read back: survives the loss of any executor.
+
+    What the write shuffled is not needed after it, so its files go at once instead of when the
+    driver happens to collect its garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def renamed(df: DataFrame, names: list[str]) -> DataFrame:

@@ -11,12 +11,13 @@ everywhere keeps the join exact; rarity only keeps candidate lists short.
 
 1. Lines with equal token sets form a class. One exchange finds the first document of each class;
    a line of a later document goes. What is left to ask is one question for a class: does a class
-   that starts in an earlier document match it?
+   that starts in an earlier document match it? (Lines of one document are compared in its block.)
 2. A second exchange finds the prefix tokens that several classes have, and in how many lines.
 3. Only those are joined. Lists longer than `LIST` entries are split over several groups: an entry
-   is listed in one of them and asks in all. A class asks first the `FIRST` earliest entries of a
-   list that pass the length and position filters, and only if none of its candidates is verified,
-   all the others. So a crowd of variants of one line is settled by its first members.
+   is listed in one of them and asks in all. Candidates pass the length and position filters and a
+   bitmap of 64 bits, in which two sets differ in no more places than they differ in tokens. A class
+   takes the `FIRST` earliest candidates of a long list, and only if none of them is verified, all
+   the others. So a crowd of variants of one line is settled by its first members.
 4. Candidates are verified on their whole token sets.
 
 Defined cases: a null text has no lines and stays null; lines with fewer than five words match
@@ -42,7 +43,7 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 COUNTERS = 1 << 16
 LIST = 20_000
-FIRST = 8
+FIRST = 2
 _SLICES = 64  # the counters travel in this many rows for each task
 
 ADDED = [
@@ -52,12 +53,11 @@ ADDED = [
 ]
 
 
-class Lines:
-    """The lines of one block, their classes and their tokens, rarest first."""
+class Rows:
+    """The texts of one block and where their lines begin."""
 
-    def __init__(self, batch: pa.RecordBatch, id_at: int, text_at: int, weight: np.ndarray | None):
+    def __init__(self, batch: pa.RecordBatch, text_at: int):
         self.batch = batch
-        self.ids = blocks.owners(batch.column(id_at))
         self.data, offsets = texts(batch.column(text_at))
         breaks = np.flatnonzero(self.data == 10)
         start = np.sort(np.r_[offsets[:-1], breaks + 1])
@@ -65,12 +65,13 @@ class Lines:
         # a row has one line more than line breaks; empty lines share their offset with the next
         self.first_line = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
         self.row = np.searchsorted(self.first_line, np.arange(len(start)), side="right") - 1
-        self.found = words(LOWER[self.data], self.offsets, NOT_BLANK)
-        if weight is not None:
-            self._classes(weight)
 
-    def _classes(self, weight: np.ndarray) -> None:
-        found = self.found
+
+class Sets:
+    """The token sets of lines, each in the order of rarity; lines without tokens are left out."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray):
+        found = words(LOWER[data], offsets, NOT_BLANK)
         starts = window_starts(found.first, SHINGLE)
         line = np.searchsorted(found.first, starts, side="right") - 1
         rarity = np.r_[0, np.cumsum(weight[found.digest & np.uint64(COUNTERS - 1)])]
@@ -80,30 +81,25 @@ class Lines:
         token, line = token[order], line[order]
         new = np.r_[True, (token[1:] != token[:-1]) | (line[1:] != line[:-1])][: len(token)]
         self.token, line = token[new], line[new]
-        self.lines, begin = np.unique(line, return_index=True)  # lines that have tokens
+        self.lines, begin = np.unique(line, return_index=True)
         self.begin = np.r_[begin, len(line)]
         self.size = np.diff(self.begin)
-        total = np.add.reduceat(mix(self.token), begin) if len(begin) else self.token[:0]
-        self.classes = mix(total + self.size.astype(np.uint64))
-        self.owner = self.ids[self.row[self.lines]]
+        mixed = mix(self.token)
+        total = np.add.reduceat(mixed, begin) if len(begin) else mixed
+        self.names = mix(total + self.size.astype(np.uint64))
+        bit = np.uint64(1) << (mixed & np.uint64(63))
+        self.bits = np.bitwise_xor.reduceat(bit, begin) if len(begin) else bit
 
     def tokens(self, k: int) -> np.ndarray:
         return self.token[self.begin[k] : self.begin[k + 1]]
 
-    def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which of `chosen`, token, position) of their prefix tokens."""
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which line, token, position) of the prefix tokens of all lines."""
         top, bottom = THRESHOLD
-        size = self.size[chosen]
-        length = size - -(-size * top // bottom) + 1
-        which = np.repeat(np.arange(len(chosen)), length)
+        length = self.size - -(-self.size * top // bottom) + 1
+        which = np.repeat(np.arange(len(self.size)), length)
         place = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
-        return which, self.token[self.begin[chosen][which] + place], place
-
-    def distinct(self) -> np.ndarray:
-        """One line of each class: the one with the smallest owner."""
-        order = np.lexsort((self.owner, self.classes))
-        name = self.classes[order]
-        return order[np.r_[True, name[1:] != name[:-1]][: len(name)]]
+        return which, self.token[self.begin[which] + place], place
 
 
 def matches(a: np.ndarray, b: np.ndarray) -> bool:
@@ -111,18 +107,62 @@ def matches(a: np.ndarray, b: np.ndarray) -> bool:
     return both * sum(THRESHOLD) >= THRESHOLD[0] * (len(a) + len(b))
 
 
-def _fits(size_a, at_a, size_b, at_b) -> np.ndarray:
-    """Length and position filters for two lines that share a token at these places."""
+def _fits(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """Length, position and bitmap filters for lines that share a token at these places.
+
+    Every token flips one of 64 bits, so the bits that differ are at most the tokens that differ.
+    """
     top, bottom = THRESHOLD
-    most = np.minimum(at_a, at_b) + np.minimum(size_a - at_a, size_b - at_b)
+    both = a["size"] + b["size"]
+    most = np.minimum(a["place"], b["place"]) + np.minimum(a["size"] - a["place"], b["size"] - b["place"])
+    apart = np.bitwise_count(a["bits"] ^ b["bits"]).astype(np.int64)
     return (
-        (size_a * bottom >= size_b * top)
-        & (size_b * bottom >= size_a * top)
-        & (most * (top + bottom) >= top * (size_a + size_b))
+        (a["size"] * bottom >= b["size"] * top)
+        & (b["size"] * bottom >= a["size"] * top)
+        & (most * (top + bottom) >= top * both)
+        & ((both - apart) * (top + bottom) >= 2 * top * both)
     )
 
 
-def _frequencies(table: DataFrame, id_at: int, text_at: int) -> np.ndarray:
+# ---- what is kept of every block: its lines with tokens, and the prefixes of distinct lines
+
+_LINE = (("line", np.int64), ("owner", np.int64), ("name", np.uint64), ("size", np.int64),
+         ("bits", np.uint64), ("gone", np.int64))
+_SIGNED = "block long, size long, data binary"
+
+
+def _signature(rows: Rows, ids: np.ndarray, weight: np.ndarray) -> bytes:
+    sets = Sets(rows.data, rows.offsets, weight)
+    owner = ids[rows.row[sets.lines]]
+    gone = np.zeros(len(sets.lines), bool)
+    which, token, place = sets.prefixes()
+    _same_row(rows, sets, which, token, place, gone)
+    order = np.lexsort((owner, sets.names))
+    named = sets.names[order]
+    chosen = order[np.r_[True, named[1:] != named[:-1]][: len(named)]]
+    keep = np.isin(which, chosen)
+    columns = [sets.lines.astype(np.int64), owner, sets.names, sets.size, sets.bits, gone.astype(np.int64)]
+    lists = [*columns, which[keep], token[keep], place[keep]]
+    row = pa.record_batch([pa.array([x.tobytes()]) for x in lists], names=[str(k) for k in range(len(lists))])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+class Signature:
+    """A block's lines (arrays of _LINE) and its prefix tokens: which line, token, place."""
+
+    def __init__(self, data):
+        row = blocks.unpack(data)
+        kinds = [*(kind for _, kind in _LINE), np.int64, np.uint64, np.int64]
+        held = [np.frombuffer(c[0].as_buffer(), kind) for c, kind in zip(row.columns, kinds, strict=True)]
+        self.at = dict(zip((n for n, _ in _LINE), held, strict=False))
+        self.which, self.token, self.place = held[len(_LINE) :]
+        self.token = mix(self.token)
+
+
+def _frequencies(table: DataFrame, text_at: int) -> np.ndarray:
     """Words over all documents in each hashed counter."""
     step = COUNTERS // _SLICES
 
@@ -130,8 +170,9 @@ def _frequencies(table: DataFrame, id_at: int, text_at: int) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for data in batch.column(0):
-                rows = Lines(blocks.unpack(data.as_buffer()), id_at, text_at, None)
-                at = rows.found.digest & np.uint64(COUNTERS - 1)
+                data, offsets = texts(blocks.unpack(data.as_buffer()).column(text_at))
+                found = words(LOWER[data], offsets, NOT_BLANK)
+                at = found.digest & np.uint64(COUNTERS - 1)
                 total += np.bincount(at.astype(np.int64), minlength=COUNTERS)
         yield pa.record_batch(
             [np.arange(_SLICES), [total[k * step : (k + 1) * step].tobytes() for k in range(_SLICES)]],
@@ -151,91 +192,97 @@ def _frequencies(table: DataFrame, id_at: int, text_at: int) -> np.ndarray:
 
 
 _ENTRY = (
-    ("token", np.uint64), ("name", np.uint64), ("size", np.int64), ("place", np.int64),
-    ("owner", np.int64), ("asks", np.int64), ("salt", np.int64),
+    ("token", np.uint64), ("name", np.uint64), ("size", np.int64), ("place", np.int64), ("bits", np.uint64),
+    ("owner", np.int64), ("line", np.int64), ("asks", np.int64), ("salt", np.int64),
 )
 _ENTRIES = "part long, block long, " + ", ".join(f"{name} binary" for name, _ in _ENTRY)
-_PAIR = "block long, name long, other long, other_block long, cut boolean"
-_PAIR_ARROW = pa.schema(
-    [("block", pa.int64()), ("name", pa.int64()), ("other", pa.int64()), ("other_block", pa.int64()), ("cut", pa.bool_())]
-)
+_ENTRIES_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64())] + [(n, pa.binary()) for n, _ in _ENTRY])
+# the asking line and the earlier one: block, line in the block, class
+_PAIR_NAMES = ["block", "line", "name", "other_block", "other_line", "other", "cut"]
+_PAIR = "block long, line long, name long, other_block long, other_line long, other long, cut boolean"
+_PAIR_ARROW = pa.schema([(n, pa.int64()) for n in _PAIR_NAMES[:-1]] + [("cut", pa.bool_())])
+_SHORT = 8  # lists of up to one entry more are compared all at once
+_STRIDE = 4096
 
 
 def _candidates(group: pa.Table, limit: int | None) -> pa.Table:
-    """Pairs (asking class, earlier class) of one group that pass the filters, each once.
+    """Pairs (asking line, earlier line) of one group that pass the filters.
 
-    With a limit, the first so many of each list by owner; `cut` tells that there were more.
+    With a limit, only so many of a long list, in the order of owners; `cut` tells of more.
     """
     group = group.combine_chunks()
-    sizes = np.array([len(x) // 8 for x in group.column("token").to_pylist()])
+    sizes = np.array([len(x) // 8 for x in group.column("token").to_pylist()], np.int64)
     block = np.repeat(group.column("block").to_numpy(), sizes)
     e = {n: np.frombuffer(b"".join(group.column(n).to_pylist()), kind) for n, kind in _ENTRY}
     order = np.lexsort((block, e["owner"], e["salt"], e["token"]))
-    block = block[order]
-    e = {n: x[order] for n, x in e.items()}
-    new = (e["token"][1:] != e["token"][:-1]) | (e["salt"][1:] != e["salt"][:-1])
-    edge = np.flatnonzero(np.r_[True, new, True])
-    out: list[tuple[np.ndarray, ...]] = []
-    for lo, hi in zip(edge, edge[1:], strict=False):
-        listed = lo + np.flatnonzero(e["asks"][lo:hi] != 2)  # 2: asks here, listed elsewhere
-        # a class listed by several blocks counts once, with its smallest owner
-        _, keep = np.unique(e["name"][listed], return_index=True)
-        listed = listed[np.sort(keep)]
-        if len(listed) < 1 or hi - lo < 2:
-            continue
-        for k in (lo + np.flatnonzero(e["asks"][lo:hi] > 0)).tolist():
-            n = int(np.searchsorted(e["owner"][listed], e["owner"][k]))
-            if not n:
-                continue
-            before = listed[:n]
-            fit = _fits(e["size"][k], e["place"][k], e["size"][before], e["place"][before])
-            before = before[fit & (e["name"][before] != e["name"][k])]
-            more = limit is not None and len(before) > limit
-            before = before[:limit]
-            m = len(before)
-            if m:
-                out.append((np.full(m, block[k]), np.full(m, e["name"][k]), e["name"][before], block[before], np.full(m, more)))
-    if not out:
-        return _PAIR_ARROW.empty_table()
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-    columns[1], columns[2] = columns[1].view(np.int64), columns[2].view(np.int64)
-    return pa.table(columns, schema=_PAIR_ARROW)
-
-
-def _verified(table: DataFrame, pairs: DataFrame, rows_of) -> DataFrame:
+    e = {n: x[order] for n, x in (e | {"block": block}).items()}
+    n = len(order)
+    new = np.r_[True, (e["token"][1:] != e["token"][:-1]) | (e["salt"][1:] != e["salt"][:-1])]
+    edge = np.r_[np.flatnonzero(new[:n]), n]
+    length = np.repeat(np.diff(edge), np.diff(edge))
+    of = np.cumsum(new[:n])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = (e["asks"][i] > 0) & (e["asks"][j] != 2) & (e["owner"][j] < e["owner"][i]) & (e["name"][i] != e["name"][j])
+        a, b = ({k: e[k][x] for k in ("size", "place", "bits")} for x in (i, j))
+        return ok & _fits(a, b)
+
+    for d in range(1, _SHORT + 1):
+        i = np.flatnonzero((of[d:] == of[:-d]) & (length[d:] <= _SHORT + 1)) + d if n > d else order[:0]
+        i = i[pairs(i, i - d)]
+        found.append((i, i - d, np.zeros(len(i), bool)))
+    for k in np.flatnonzero(np.diff(edge) > _SHORT + 1).tolist():
+        lo, hi = int(edge[k]), int(edge[k + 1])
+        for i in (lo + np.flatnonzero(e["asks"][lo:hi] > 0)).tolist():
+            got: list[np.ndarray] = []
+            total, j = 0, lo
+            while j < i and (limit is None or total <= limit):
+                some = np.arange(j, min(j + _STRIDE, i))
+                got.append(some[pairs(np.full(len(some), i), some)])
+                total += len(got[-1])
+                j += _STRIDE
+            if total:
+                before = np.concatenate(got)
+                cut = limit is not None and len(before) > limit
+                before = before[:limit]
+                found.append((np.full(len(before), i), before, np.full(len(before), cut)))
+    i, j, cut = (np.concatenate(c) for c in zip(*found, strict=True))
+    sides = [e[c][x].view(np.int64) for x in (i, j) for c in ("block", "line", "name")]
+    return pa.table([*sides, cut], schema=_PAIR_ARROW)
+
+
+def _verified(table: DataFrame, pairs: DataFrame, text_at: int, weight) -> DataFrame:
     """(block, name) of the asking classes that match one of their candidates."""
-    pairs = durable(pairs.groupBy("block", "name", "other").agg(F.min("other_block").alias("other_block")), "line-pairs")
-    wanted = (
-        pairs.select("block", "name")
-        .union(pairs.select(F.col("other_block"), F.col("other")))
-        .distinct()
-    )
+    asking = ["block", "line", "name"]
+    pairs = pairs.groupBy(*asking, "other").agg(F.min(F.struct("other_block", "other_line")).alias("o"))
+    pairs = durable(pairs.select(*asking, "other", "o.*"), "line-pairs")
+    other = pairs.select(F.col("other_block").alias("block"), F.col("other_line").alias("line"))
+    wanted = pairs.select("block", "line").union(other).distinct()
+    schema = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def sets(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("block", pa.int64()), ("name", pa.int64()), ("tokens", pa.list_(pa.int64()))])
         if not right.num_rows or not left.num_rows:
             return schema.empty_table()
-        rows = rows_of(left.column("data")[0].as_buffer())
-        chosen = rows.distinct()
-        asked = right.column("name").to_numpy().view(np.uint64)
-        chosen = chosen[np.isin(rows.classes[chosen], asked)]
-        return pa.table(
-            [
-                np.full(len(chosen), left.column("block")[0].as_py()),
-                rows.classes[chosen].view(np.int64),
-                pa.array([rows.tokens(k).view(np.int64) for k in chosen], pa.list_(pa.int64())),
-            ],
-            schema=schema,
-        )
-
-    found = durable(blocks.with_answers(table, wanted, sets, "block long, name long, tokens array<long>"), "line-sets")
+        rows = Rows(blocks.unpack(left.column("data")[0].as_buffer()), text_at)
+        line = np.sort(right.column("line").to_numpy())
+        size = rows.offsets[line + 1] - rows.offsets[line]
+        offsets = np.r_[0, np.cumsum(size)]
+        pieces = [rows.data[rows.offsets[k] : rows.offsets[k + 1]] for k in line.tolist()]
+        found = Sets(np.concatenate(pieces), offsets, weight.value)
+        tokens = pa.ListArray.from_arrays(pa.array(found.begin, pa.int32()), pa.array(found.token.view(np.int64)))
+        block = np.full(len(found.lines), left.column("block")[0].as_py())
+        return pa.table([block, line[found.lines], tokens], schema=schema)
+
+    found = blocks.with_answers(table, wanted, sets, "block long, line long, tokens array<long>")
+    found = durable(found, "line-sets")
     top, bottom = THRESHOLD
     mine = found.withColumnRenamed("tokens", "a")
-    other = found.select(F.col("block").alias("other_block"), F.col("name").alias("other"), F.col("tokens").alias("b"))
+    theirs = found.toDF("other_block", "other_line", "b")
     both = F.size(F.array_intersect("a", "b"))
     return (
-        pairs.join(mine, ["block", "name"])
-        .join(other, ["other_block", "other"])
+        pairs.join(mine, ["block", "line"])
+        .join(theirs, ["other_block", "other_line"])
         .where(both * (top + bottom) >= top * (F.size("a") + F.size("b")))
         .select("block", "name")
         .distinct()
@@ -246,141 +293,145 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """The documents' columns, then the three of ADDED (the last three columns by position)."""
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     table = blocks.pack(docs, "line-blocks")
-    counts = _frequencies(table, id_at, text_at)
+    counts = _frequencies(table, text_at)
     weight = np.floor(np.log2(np.maximum(counts, 1)) * 16).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(weight)
+    weight = docs.sparkSession.sparkContext.broadcast(weight)
     size = blocks.total_size(table)
 
-    def rows_of(data) -> Lines:
-        return Lines(blocks.unpack(data), id_at, text_at, shared.value)
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block"), batch.column("data"), strict=True):
+                held = blocks.unpack(data.as_buffer())
+                signed = _signature(Rows(held, text_at), blocks.owners(held.column(id_at)), weight.value)
+                yield pa.record_batch([[block.as_py()], [len(signed)], [signed]], blocks.PACKED_ARROW)
+
+    signed = durable(table.mapInArrow(sign, _SIGNED), "line-signatures")
 
     def class_keys(data) -> blocks.Keys:
-        rows = rows_of(data)
-        return rows.classes, rows.owner
+        found = Signature(data)
+        return found.at["name"], found.at["owner"]
 
     def prefix_keys(data) -> blocks.Keys:
-        rows = rows_of(data)
-        chosen = rows.distinct()
-        which, token, _ = rows.prefixes(chosen)
-        return mix(token), rows.classes[chosen][which].view(np.int64)
+        found = Signature(data)
+        return found.token, found.at["name"][found.which].view(np.int64)
 
-    same = blocks.shared_keys(table, "data", class_keys, size // 300, "line-classes")
-    often = blocks.shared_keys(table, "data", prefix_keys, size // 40, "line-prefixes")
+    same = blocks.shared_keys(signed, "data", class_keys, size // 300, "line-classes")
+    often = blocks.shared_keys(signed, "data", prefix_keys, size // 40, "line-prefixes")
     parts = max(blocks.LEAST_PARTS, size // (4 << 20))
-
-    def entries(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("part", pa.int64()), ("block", pa.int64())] + [(n, pa.binary()) for n, _ in _ENTRY])
-        first, listed = right.filter(pc.field("kind") == 0), right.filter(pc.field("kind") == 1)
-        if not listed.num_rows or not left.num_rows:
-            return schema.empty_table()
-        rows = rows_of(left.column("data")[0].as_buffer())
-        chosen = rows.distinct()
-        known, low, _ = blocks.answers(first)
-        hit, at = blocks.lookup(rows.classes[chosen], known)
-        asks = np.ones(len(chosen), bool)
-        asks[hit] = low[at[hit]] >= rows.owner[chosen][hit]  # else an equal line is earlier
-        known, _, often_ = blocks.answers(listed)
-        which, token, place = rows.prefixes(chosen)
-        token = mix(token)
-        hit, at = blocks.lookup(token, known)
-        which, token, place, lists = which[hit], token[hit], place[hit], -(-often_[at[hit]] // LIST)
-        asks = asks.astype(np.int64)
-        name, owner, length = rows.classes[chosen][which], rows.owner[chosen][which], rows.size[chosen][which]
-        home = (mix(name) % lists.astype(np.uint64)).astype(np.int64)
-        e = [token, name, length, place, owner, asks[which], home]
-        extra = np.flatnonzero((lists > 1) & (asks[which] > 0))
-        if len(extra):  # asks in every other part of a split list as well
-            rep = np.repeat(extra, lists[extra])
-            salt = np.arange(len(rep)) - np.repeat(np.cumsum(lists[extra]) - lists[extra], lists[extra])
-            rep, salt = rep[salt != home[rep]], salt[salt != home[rep]]
-            more = [x[rep] for x in e]
-            more[5], more[6] = np.full(len(rep), 2, np.int64), salt
-            e = [np.concatenate(pair) for pair in zip(e, more, strict=True)]
-        part = blocks.part_of(mix(e[0] + e[6].astype(np.uint64)), parts).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, e = part[order], [x[order] for x in e]
-        name, begin = np.unique(part, return_index=True)
-        cut = list(zip(begin, np.r_[begin[1:], len(part)], strict=True))
-        block = np.full(len(name), left.column("block")[0].as_py())
-        return pa.table([name, block, *([x[a:b].tobytes() for a, b in cut] for x in e)], schema=schema)
-
     told = same.withColumn("kind", F.lit(0)).union(often.withColumn("kind", F.lit(1)))
-    listed = durable(blocks.with_answers(table, told, entries, _ENTRIES), "line-entries").groupBy("part")
+    entries = blocks.with_answers(signed, told, lambda a, b: _entries(a, b, parts), _ENTRIES)
+    listed = durable(entries, "line-entries").groupBy("part")
     early = durable(listed.applyInArrow(lambda g: _candidates(g, FIRST), _PAIR), "line-candidates")
-    near = durable(_verified(table, early, rows_of), "line-matches")
-    open_ = early.where("cut").select("block", "name").distinct().join(near, ["block", "name"], "left_anti")
-    if open_.limit(1).count():
-        rest = listed.applyInArrow(lambda g: _candidates(g, None), _PAIR).join(open_, ["block", "name"], "left_semi")
-        near = near.union(durable(_verified(table, rest, rows_of), "line-late-matches"))
-    gone = same.withColumn("kind", F.lit(0)).select("block", "kind", "keys", "low").union(
-        near.select("block", F.lit(1), F.encode(F.col("name").cast("string"), "UTF-8"), F.lit(None).cast("binary"))
-    )
+    near = durable(_verified(table, early, text_at, weight), "line-matches")
+    asking = ["block", "name"]
+    open_ = early.where("cut").select(*asking).distinct().join(near, asking, "left_anti")
+    open_ = durable(open_, "line-open")
+    if not open_.isEmpty():
+        rest = listed.applyInArrow(lambda g: _candidates(g, None), _PAIR).join(open_, asking, "left_semi")
+        near = near.union(durable(_verified(table, rest, text_at, weight), "line-late-matches"))
+    nothing = F.lit(None).cast("binary")
+    by_name = near.select("block", F.lit(1).alias("kind"), F.col("name").cast("string").cast("binary").alias("keys"), nothing.alias("low"))
+    by_block = signed.select("block", F.lit(2), "data", nothing)
+    gone = same.select("block", F.lit(0).alias("kind"), "keys", "low").union(by_name).union(by_block)
     schema = T.StructType([*docs.schema.fields, *ADDED])
     arrow = to_arrow_schema(schema)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = rows_of(left.column("data")[0].as_buffer())
+        rows = Rows(blocks.unpack(left.column("data")[0].as_buffer()), text_at)
         kind = right.column("kind").to_numpy()
-        first = right.filter(pa.array(kind == 0))
-        keys = np.frombuffer(b"".join(first.column("keys").to_pylist()), np.uint64)
-        low = np.frombuffer(b"".join(first.column("low").to_pylist()), np.int64)
+        of = [right.filter(pa.array(kind == k)) for k in range(3)]
+        found = Signature(of[2].column("keys")[0].as_buffer()).at
+        keys = np.frombuffer(b"".join(of[0].column("keys").to_pylist()), np.uint64)
+        low = np.frombuffer(b"".join(of[0].column("low").to_pylist()), np.int64)
         order = np.argsort(keys, kind="stable")
-        hit, at = blocks.lookup(rows.classes, keys[order])
-        removed = np.zeros(len(rows.classes), bool)
-        removed[hit] = low[order][at[hit]] < rows.owner[hit]
-        names = [int(x) for x in right.filter(pa.array(kind == 1)).column("keys").to_pylist()]
-        removed |= np.isin(rows.classes, np.array(names, np.int64).view(np.uint64))
-        _same_row(rows, removed)
-        return pa.Table.from_batches([_result(rows, removed, text_at, arrow)])
+        hit, at = blocks.lookup(found["name"], keys[order])
+        removed = found["gone"] > 0
+        removed[hit] |= low[order][at[hit]] < found["owner"][hit]
+        names = np.array([int(x) for x in of[1].column("keys").to_pylist()], np.int64)
+        removed |= np.isin(found["name"], names.view(np.uint64))
+        return pa.Table.from_batches([_result(rows, found["line"][removed], text_at, arrow)])
 
     return blocks.with_answers(table, gone, finish, schema)
 
 
-def _same_row(rows: Lines, removed: np.ndarray) -> None:
+def _entries(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
+    """What one block lists and asks under its shared prefix tokens."""
+    first, listed = (right.filter(pc.field("kind") == k) for k in (0, 1))
+    if not listed.num_rows or not left.num_rows:
+        return _ENTRIES_ARROW.empty_table()
+    found = Signature(left.column("data")[0].as_buffer())
+    at = found.at
+    known, low, _ = blocks.answers(first)
+    hit, place = blocks.lookup(at["name"], known)
+    asks = at["gone"] == 0
+    asks[hit] &= low[place[hit]] >= at["owner"][hit]  # else an equal line is earlier
+    known, _, often = blocks.answers(listed)
+    hit, place = blocks.lookup(found.token, known)
+    which, lists = found.which[hit], -(-often[place[hit]] // LIST)
+    asks = asks[which].astype(np.int64)
+    home = (mix(at["name"][which]) % lists.astype(np.uint64)).astype(np.int64)
+    e = [found.token[hit], at["name"][which], at["size"][which], found.place[hit], at["bits"][which],
+         at["owner"][which], at["line"][which], asks, home]
+    extra = np.flatnonzero((lists > 1) & (asks > 0))
+    if len(extra):  # asks in every other part of a split list as well
+        rep = np.repeat(extra, lists[extra])
+        salt = np.arange(len(rep)) - np.repeat(np.cumsum(lists[extra]) - lists[extra], lists[extra])
+        rep, salt = rep[salt != home[rep]], salt[salt != home[rep]]
+        more = [x[rep] for x in e]
+        more[-2], more[-1] = np.full(len(rep), 2, np.int64), salt
+        e = [np.concatenate(pair) for pair in zip(e, more, strict=True)]
+    part = blocks.part_of(mix(e[0] + e[-1].astype(np.uint64)), parts).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, e = part[order], [x[order] for x in e]
+    name, begin = np.unique(part, return_index=True)
+    cut = list(zip(begin, np.r_[begin[1:], len(part)], strict=True))
+    block = np.full(len(name), left.column("block")[0].as_py())
+    return pa.table([name, block, *([x[a:b].tobytes() for a, b in cut] for x in e)], schema=_ENTRIES_ARROW)
+
+
+def _same_row(rows: Rows, sets: Sets, which, token, place, removed: np.ndarray) -> None:
     """Marks lines that match a line above them in the same document."""
-    chosen = np.arange(len(rows.lines))
-    which, token, place = rows.prefixes(chosen)
-    row = rows.row[rows.lines][which]
+    row = rows.row[sets.lines][which]
     order = np.lexsort((which, token, row))
-    a = order[:-1]
-    b = order[1:]
+    a, b = order[:-1], order[1:]
     met = (token[a] == token[b]) & (row[a] == row[b])
     if not met.any():
         return
     edge = np.flatnonzero(np.r_[True, ~met, True])
-    for lo, hi in zip(edge, edge[1:], strict=False):
-        if hi - lo < 2:
-            continue
-        group = order[lo:hi]
+    for k in np.flatnonzero(np.diff(edge) > 1).tolist():
+        group = order[edge[k] : edge[k + 1]]
         lines = which[group]
-        names = rows.classes[lines]
-        for k in range(1, len(group)):
-            if removed[lines[k]]:
-                continue
-            above, at = np.unique(names[:k], return_index=True)
-            if (above == names[k]).any():
-                removed[lines[k]] = True
-                continue
-            fit = _fits(rows.size[lines[k]], place[group[k]], rows.size[lines[at]], place[group[at]])
-            mine = rows.tokens(lines[k])
-            removed[lines[k]] = any(matches(mine, rows.tokens(j)) for j in lines[at[fit]].tolist())
-
-
-def _result(rows: Lines, removed: np.ndarray, text_at: int, arrow: pa.Schema) -> pa.RecordBatch:
+        seen: dict[int, int] = {}
+        for g, line in zip(group.tolist(), lines.tolist(), strict=True):
+            name = int(sets.names[line])
+            if name in seen:
+                removed[line] = True
+            elif not removed[line]:
+                above = np.fromiter(seen.values(), np.int64, len(seen))
+                mine = {"size": sets.size[line], "place": place[g], "bits": sets.bits[line]}
+                other = which[above]
+                theirs = {"size": sets.size[other], "place": place[above], "bits": sets.bits[other]}
+                fit = other[_fits(mine, theirs)] if len(above) else other
+                own = sets.tokens(line)
+                removed[line] = any(matches(own, sets.tokens(j)) for j in fit.tolist())
+            seen.setdefault(name, g)
+
+
+def _result(rows: Rows, lines: np.ndarray, text_at: int, arrow: pa.Schema) -> pa.RecordBatch:
     batch = rows.batch
     column = batch.column(text_at)
     gone: list[list[int]] = [[] for _ in range(batch.num_rows)]
-    for line in rows.lines[removed].tolist():
+    for line in np.sort(lines).tolist():
         row = int(rows.row[line])
         gone[row].append(line - int(rows.first_line[row]))
     missing = column.is_null().to_numpy(zero_copy_only=False)
     counts = np.where(missing, 0, np.diff(rows.first_line))
     kept = column.cast(pa.string())
-    if removed.any():
+    if len(lines):
         whole = kept.to_pylist()
-        for row, lines in enumerate(gone):
-            if lines:
-                drop = set(lines)
+        for row, some in enumerate(gone):
+            if some:
+                drop = set(some)
                 parts = whole[row].split("\n")
                 whole[row] = "\n".join(x for k, x in enumerate(parts) if k not in drop)
         kept = pa.array(whole, pa.string())
