@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from moundlens.llm.licenses import TEMPLATES
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
 
@@ -121,7 +123,61 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM copies GROUP BY conv_id
 """
 
+_LISTED = ", ".join(
+    "({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES)
+)
+LICENSES = rf"""
+WITH listed(k, license, body) AS (VALUES {_LISTED}),
+parts AS (
+  SELECT k, license, body AS text, TRUE AS entire FROM listed
+  UNION ALL
+  SELECT 100 + 10 * k + i, license, string_split(body, chr(10) || chr(10))[i], FALSE
+  FROM (SELECT *, unnest(range(1, len(string_split(body, chr(10) || chr(10))) + 1)) AS i
+        FROM listed WHERE contains(body, chr(10) || chr(10)))
+), raw AS (
+  SELECT doc_id, i - 1 AS line, ls[i] AS t FROM (
+    SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), begun AS (
+  SELECT *, CASE WHEN line = 0 OR lag(t) OVER (PARTITION BY doc_id ORDER BY line) = '' THEN 1 ELSE 0 END AS b FROM raw
+), par AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY line) AS p FROM begun),
+units AS (
+  SELECT doc_id, 'line' AS unit, line, t AS text FROM raw
+  UNION ALL
+  SELECT doc_id, 'paragraph', min(line), string_agg(t, chr(10) ORDER BY line) FROM par GROUP BY doc_id, p HAVING count(*) > 1
+  UNION ALL
+  SELECT doc_id, 'text', 0, string_agg(t, chr(10) ORDER BY line) FROM par GROUP BY doc_id HAVING max(p) > 1
+), cut AS (
+  SELECT doc_id, unit, line, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM units
+), grams AS (
+  SELECT DISTINCT doc_id, unit, line, w[i] || ' ' || w[i + 1] AS g
+  FROM (SELECT *, unnest(range(1, len(w))) AS i FROM cut WHERE len(w) > 1)
+), sizes AS (SELECT doc_id, unit, line, count(*) AS n FROM grams GROUP BY ALL),
+tcut AS (
+  SELECT k, license, entire, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM parts
+), tgrams AS (
+  SELECT DISTINCT k, license, entire, w[i] || ' ' || w[i + 1] AS g
+  FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tcut WHERE len(w) > 1)
+), tsizes AS (SELECT k, license, count(*) AS n FROM tgrams GROUP BY k, license, entire HAVING entire OR count(*) >= 5),
+met AS (
+  SELECT doc_id, unit, line, k, count(*) AS shared FROM grams JOIN tgrams USING (g) GROUP BY ALL
+), good AS (
+  SELECT doc_id, unit, line, license, shared, s.n + t.n AS size
+  FROM met JOIN sizes s USING (doc_id, unit, line) JOIN tsizes t USING (k)
+  WHERE 20 * shared >= 9 * (s.n + t.n)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit, line ORDER BY shared / (s.n + t.n) DESC, k) = 1
+), told AS (
+  SELECT doc_id, count(*) AS n,
+    array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses,
+    string_agg(concat_ws(':', line, unit, license, shared, size), ';' ORDER BY line, unit) AS places
+  FROM good GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, coalesce(places, '') AS places
+FROM documents LEFT JOIN told USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_licenses": LICENSES,
     "op4_decontaminate": DECONTAMINATE,
     "op5_chat": CHAT,
     "op6_line_dedup": LINE_DEDUP,

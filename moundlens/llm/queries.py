@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from moundlens.llm.bpe import op3_bpe
 from moundlens.llm.chat import op5_chat
 from moundlens.llm.decontaminate import op4_decontaminate
+from moundlens.llm.licenses import op2_licenses
 from moundlens.llm.lines import op6_line_dedup
 from moundlens.llm.oracles import ORACLES
 from moundlens.llm.quality import op7_quality
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_simhash,
+        op2_licenses,
         op3_bpe,
         op4_decontaminate,
         op5_chat,
