@@ -235,11 +235,11 @@ def estimate(stats: DataFrame) -> DataFrame:
     return durable(fit.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "start"), "quality-best")
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents' columns, then COUNTS, base_failed, distance and kept (the last eight).
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """c0, c1, ... for the documents' columns, then COUNTS, base_failed, distance, kept and a row id.
 
-    Texts are read twice, for the estimates and for the verdicts, and are never shuffled unless the
-    table of estimates is too large for Spark to broadcast.
+    The row id does not depend on the data; a filter that names it cannot be moved below the
+    counts, where the optimiser would compute them once more for every mention.
     """
     names = [f"c{k}" for k in range(len(docs.columns))]
     of = dict(zip(docs.columns, names, strict=True))
@@ -251,23 +251,27 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     group = durable(_grouped(stats), "quality-groups")
     fit = estimate(stats.where(~F.col("base_failed")).join(group, ["_lang", "_source"]))
     by_key = durable(group.join(fit, "_group", "left"), "quality-estimates")
-    seen = with_counts(df, of[text_col]).select("*", *_vector())
-    seen = seen.join(by_key, ["_lang", "_source"], "left").withColumn("_d", _distance())
+    seen = with_counts(df, of[text_col]).select("*", F.monotonically_increasing_id().alias("_row"))
+    seen = seen.select("*", *_vector()).join(by_key, ["_lang", "_source"], "left")
+    seen = seen.withColumn("_d", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= LIMIT, F.lit(True))
-    return seen.select(
-        *(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)),
-        *COUNTS,
-        "base_failed",
-        F.when(~F.col("base_failed"), F.col("_d")).alias("distance"),
-        kept.alias("kept"),
-    )
+    distance = F.when(~F.col("base_failed"), F.col("_d"))
+    return seen.select(*names, *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"), "_row")
+
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents' columns, then COUNTS, base_failed, distance and kept (the last eight).
+
+    Texts are read twice, for the estimates and for the verdicts, and are never shuffled unless the
+    table of estimates is too large for Spark to broadcast.
+    """
+    found = _judged(docs, text_col, lang_col, source_col).drop("_row")
+    return found.toDF(*docs.columns, *COUNTS, "base_failed", "distance", "kept")
 
 
-def keep_good(docs: DataFrame, **columns: str) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents' columns, rejected rows left out."""
-    n = len(docs.columns)
-    found = judge(docs, **columns).toDF(*(f"c{k}" for k in range(n + len(COUNTS) + 3)))
-    found = found.where(f"c{n + len(COUNTS) + 2}")
+    found = _judged(docs, text_col, lang_col, source_col).where(F.col("kept") & (F.col("_row") >= 0))
     return found.select(*(F.col(f"c{k}").alias(name) for k, name in enumerate(docs.columns)))
 
 

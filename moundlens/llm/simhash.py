@@ -12,10 +12,12 @@ thresholds with the lowest estimated work, for several numbers of partitions; th
 from the counts of all partition values. Every fingerprint is listed under its value of each
 probed partition and probes all values within t_i bits; each meeting is verified.
 
-A value under which more than `LIST` rows meet is not joined, as its pairs would grow with the
-square. The fingerprints that meet there go another exact way: two of them differ in at most two
-bits if and only if some 64-bit value is within one bit of both, so each writes itself and its 64
-neighbours, and no more than 65 can meet. Distances above 2 are not supported for that reason.
+Lists are walked, not joined: inside one, an unvisited fingerprint is compared with all unvisited
+ones at a time, so a crowd of near copies yields a chain of links as long as the crowd and never
+all its pairs. A list of more than `LIST` rows would be too much for a task. The fingerprints that
+meet there go another exact way: two of them differ in at most two bits if and only if some 64-bit
+value is within one bit of both, so each writes itself and its 64 neighbours, and no more than 65
+can meet. Distances above 2 are not supported for that reason.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other; repeated
 rows and ids share their group; a null id is never the name of a group unless all ids are null.
@@ -39,8 +41,10 @@ from moundlens.llm.components import components
 SHINGLE = 5
 DISTANCE = 2
 SEED = 42
-LIST = 8  # the most rows that are paired with each other
-PARTITIONS = (2, 3, 4, 5)
+LIST = 20_000  # the most fingerprints that are compared with each other in one task
+ROWS_PER_PART = 50_000
+PARTITIONS = (2, 3, 4)
+PER_ROW = 200.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -151,8 +155,10 @@ def plan(fps: DataFrame, distance: int, choices: tuple[int, ...] = PARTITIONS) -
     designs = [group_bits(n, both, m) for m in choices]
     groups = [g for design in designs for g in design]
     keyed = F.explode(F.array(*(F.struct(F.lit(k).alias("g"), _value(g).alias("v")) for k, g in enumerate(groups))))
-    counts = fps.select(keyed.alias("x")).select("x.*").groupBy("g", "v").count()
-    meet = {r.g: float(r.pairs) for r in counts.groupBy("g").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()}
+    counts = fps.select(keyed.alias("x")).select("x.*").groupBy("g", "v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # comparing two numbers costs a small part of what writing a row does
+    work = F.when(F.col("n") > LIST, F.col("n") * 65).otherwise(F.col("n") * F.col("n") / PER_ROW)
+    meet = {r.g: r.work for r in counts.groupBy("g").agg(F.sum(work).alias("work")).collect()}
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     at = 0
     for m, design in zip(choices, designs, strict=True):
@@ -167,7 +173,7 @@ def plan(fps: DataFrame, distance: int, choices: tuple[int, ...] = PARTITIONS) -
             cost = {-1: 0.0}
             for t in range(min(distance, len(bits)) + 1):
                 probes = sum(comb(len(bits), d) for d in range(t + 1))
-                cost[t] = n * (1 + probes) + min(same * ratio[t], float(n) * n)
+                cost[t] = n * probes + same * ratio[t]
             costs.append(cost)
         at += m
         work, chosen = allocate(costs, distance - m + 1)
@@ -185,11 +191,40 @@ def _flips(bits: list[int], radius: int) -> list[int]:
 
 
 def _probes(fps: DataFrame, index: int, bits: list[int], radius: int) -> DataFrame:
-    """(g, v, fp, home): the partition values that a fingerprint probes; home is its own."""
+    """(g, v, fp): the partition values within `radius` bits of a fingerprint's own."""
     masks = F.explode(F.array(*(F.lit(m).cast("long") for m in _flips(bits, radius))))
     probes = fps.select(F.lit(index).alias("g"), "fp", masks.alias("m"))
-    value = _value(bits).bitwiseXOR(F.col("m"))
-    return probes.select("g", value.alias("v"), "fp", (F.col("m") == 0).alias("home"))
+    return probes.select("g", _value(bits).bitwiseXOR(F.col("m")).alias("v"), "fp")
+
+
+def _walk(rows: pa.Table, distance: int) -> pa.Table:
+    """Links that connect, inside each list (g, v), what is within the distance."""
+    rows = rows.combine_chunks()
+    g, v, fp = (rows.column(c).to_numpy() for c in ("g", "v", "fp"))
+    order = np.lexsort((fp, v, g))
+    g, v, fp = g[order], v[order], fp[order].view(np.uint64)
+    edge = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1]), True])
+    size = np.diff(edge)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(fp[:0], fp[:0])]
+    first = edge[:-1][size == 2]  # by far most lists: all at once
+    first = first[np.bitwise_count(fp[first] ^ fp[first + 1]) <= distance]
+    found.append((fp[first], fp[first + 1]))
+    for k in np.flatnonzero(size > 2).tolist():
+        left = np.unique(fp[edge[k] : edge[k + 1]])
+        todo: list[np.uint64] = []
+        while len(left):
+            if todo:
+                here = todo.pop()
+            else:
+                here, left = left[0], left[1:]
+            close = np.bitwise_count(left ^ here) <= distance
+            if close.any():
+                met, left = left[close], left[~close]
+                found.append((np.full(len(met), here), met))
+                todo.extend(met)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    low, high = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
+    return pa.table([low[low < high], high[low < high]], names=["a", "b"])
 
 
 def _apart(a: str, b: str):
@@ -205,14 +240,14 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         some = _probes(fps, k, bits, radius)
         asked = some if asked is None else asked.union(some)
     asked = durable(asked, "simhash-probes")
-    crowd = asked.groupBy("g", "v").count().where(F.col("count") > 1)
-    crowd = crowd.select("g", "v", (F.col("count") > LIST).alias("crowded"))
-    met = durable(asked.join(crowd, ["g", "v"]), "simhash-lists")
-    mine = met.where(~F.col("crowded")).select("g", "v", F.col("fp").alias("a"))
-    other = met.where(~F.col("crowded") & F.col("home")).select("g", "v", F.col("fp").alias("b"))
-    pairs = mine.join(other, ["g", "v"]).where((F.col("a") != F.col("b")) & (_apart("a", "b") <= distance))
-    near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    dense = met.where("crowded").select("fp").distinct()
+    lists = asked.groupBy("g", "v").count()
+    crowd = durable(lists.where(F.col("count") > LIST).select("g", "v"), "simhash-crowds")
+    usual = asked.join(crowd, ["g", "v"], "left_anti")
+    parts = max(256, asked.count() // ROWS_PER_PART)
+    part = F.pmod(F.xxhash64("g", "v"), F.lit(parts)).cast("int")
+    near = usual.select(part.alias("part"), "g", "v", "fp").groupBy("part")
+    near = near.applyInArrow(lambda rows: _walk(rows, distance), "a long, b long").distinct()
+    dense = asked.join(crowd, ["g", "v"], "left_semi").select("fp").distinct()
     around = _probes(dense, 0, list(range(64)), 1).select("v", "fp")
     if distance < 2:  # meeting is then necessary, not sufficient
         around = durable(around, "simhash-around")
