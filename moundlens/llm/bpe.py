@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from moundlens.llm.common import pick, read_table
+from moundlens.llm.common import numbered, pick, read_table
 
 # The pattern of byte-level tokenizers whose file says `use_regex`, as their library documents it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -260,7 +260,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _with(df: DataFrame, column: str, added: T.StructField, of) -> DataFrame:
     """The columns of `df` and one more, computed from the values of a column."""
-    at = df.columns.index(column)
+    at, names = df.columns.index(column), [*df.columns, added.name]
+    df = numbered(df)
     schema = T.StructType([*df.schema.fields, added])
     arrow = to_arrow_schema(schema)
 
@@ -271,7 +272,7 @@ def _with(df: DataFrame, column: str, added: T.StructField, of) -> DataFrame:
                 values = pa.array(of(part.column(at)), arrow.field(len(arrow) - 1).type)
                 yield pa.RecordBatch.from_arrays([*part.columns, values], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).toDF(*names)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:

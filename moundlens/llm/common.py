@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from moundlens.sources.scratch import materialize
 
-from moundlens.sources.scratch import fresh_path, materialize
-
-__all__ = ["durable", "fresh_path", "pick", "read_table", "renamed", "spare"]
+__all__ = ["durable", "numbered", "pick", "read_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spare(prefix: str) -> str:
-    """A column name no user table has."""
-    return f"_{prefix}_{uuid.uuid4().hex[:12]}"
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, under the operator's own names, so nothing else can clash."""
     return df.select(*(F.col(old).alias(new) for new, old in columns.items()))
@@ -43,9 +36,6 @@ def durable(df: DataFrame, name: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
-def renamed(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.toDF(*names)
-
-
-def utf8(col: Column) -> Column:
-    return F.encode(F.coalesce(col, F.lit("")), "UTF-8")
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: no name of the user's can clash with an operator's."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))

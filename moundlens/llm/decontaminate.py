@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from moundlens.llm.common import pick
+from moundlens.llm.common import numbered, pick, read_table
 from moundlens.llm.words import (
     ALPHANUMERIC,
     LOWER,
@@ -156,7 +156,8 @@ def scan(
     rows = items.collect()
     index = Index(item_windows([r.item for r in rows], [r.text for r in rows], window))
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    text_at = docs.columns.index(text_col)
+    text_at, names = docs.columns.index(text_col), [*docs.columns, *(f.name for f in FOUND)]
+    docs = numbered(docs)
     schema = T.StructType([*docs.schema.fields, *FOUND])
     arrow = to_arrow_schema(schema)
 
@@ -165,7 +166,7 @@ def scan(
             hits = shared.value.hits(*_words(batch.column(text_at)))
             yield _result(batch, text_at, hits, arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)
 
 
 def _scan_by_join(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> DataFrame:
@@ -185,8 +186,9 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, text_col: str, window: int)
 
     wanted = items.mapInArrow(cut, fields).distinct()
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most `window`
+    text_at, names = docs.columns.index(text_col), [*docs.columns, *(f.name for f in FOUND)]
+    docs = numbered(docs)
     packed = blocks.pack(docs, "decontaminate-blocks")
-    text_at = docs.columns.index(text_col)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +216,7 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, text_col: str, window: int)
         return pa.Table.from_batches([_result(batch, text_at, ((a, s, [i]) for a, s, i in rows), arrow)])
 
     docs_schema = docs.schema
-    return blocks.with_answers(packed, hits, finish, schema)
+    return blocks.with_answers(packed, hits, finish, schema).toDF(*names)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "spans", text_col: str = "text", **options) -> DataFrame:
@@ -232,8 +234,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "spans", text
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Contract columns from the scan of all documents against the whole benchmark."""
-    from moundlens.llm.common import read_table
-
     docs = pick(read_table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     found = scan(docs, read_table(spark, sf_dir, "benchmark"))
     return found.select(

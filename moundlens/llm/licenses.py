@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from moundlens.llm.common import pick, read_table
+from moundlens.llm.common import numbered, pick, read_table
 from moundlens.llm.words import ALPHANUMERIC, LOWER, texts, window_starts, windows, words
 
 DICE = (9, 10)
@@ -174,7 +174,8 @@ def _chosen(kind, data, offsets, row, line, keep):
 
 def scan(docs: DataFrame, text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """The documents' columns, then the matches by first line (the last column by position)."""
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), [*docs.columns, *(f.name for f in FOUND)]
+    docs = numbered(docs)
     schema = T.StructType([*docs.schema.fields, *FOUND])
     arrow = to_arrow_schema(schema)
     known = Templates(templates)
@@ -192,7 +193,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: Sequence[tuple[str,
                 rows.sort(key=lambda m: (m["line"], m["unit"]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow.field(len(arrow) - 1).type)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:

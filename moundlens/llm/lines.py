@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from moundlens.llm import blocks
-from moundlens.llm.common import durable, pick, read_table
+from moundlens.llm.common import durable, numbered, pick, read_table
 from moundlens.llm.words import LOWER, NOT_BLANK, mix, texts, window_starts, windows, words
 
 SHINGLE = 5
@@ -292,6 +292,8 @@ def _verified(table: DataFrame, pairs: DataFrame, text_at: int, weight) -> DataF
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents' columns, then the three of ADDED (the last three columns by position)."""
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    names = [*docs.columns, *(f.name for f in ADDED)]
+    docs = numbered(docs)
     table = blocks.pack(docs, "line-blocks")
     counts = _frequencies(table, text_at)
     weight = np.floor(np.log2(np.maximum(counts, 1)) * 16).astype(np.int64)
@@ -347,11 +349,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         hit, at = blocks.lookup(found["name"], keys[order])
         removed = found["gone"] > 0
         removed[hit] |= low[order][at[hit]] < found["owner"][hit]
-        names = np.array([int(x) for x in of[1].column("keys").to_pylist()], np.int64)
-        removed |= np.isin(found["name"], names.view(np.uint64))
+        near_ = np.array([int(x) for x in of[1].column("keys").to_pylist()], np.int64)
+        removed |= np.isin(found["name"], near_.view(np.uint64))
         return pa.Table.from_batches([_result(rows, found["line"][removed], text_at, arrow)])
 
-    return blocks.with_answers(table, gone, finish, schema)
+    return blocks.with_answers(table, gone, finish, schema).toDF(*names)
 
 
 def _entries(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from moundlens.llm.common import durable, pick, read_table
+from moundlens.llm.common import durable, numbered, pick, read_table
 from moundlens.llm.components import components
 
 SHINGLE = 5
@@ -70,8 +70,9 @@ def fingerprint(text: str, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, out: str = "fp") -> DataFrame:
     """The documents' columns and their fingerprint as a signed 64-bit number."""
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
+    at, names = docs.columns.index(text_col), [*docs.columns, out]
+    docs = numbered(docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField("out", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +81,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
             values = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)
 
 
 # ---- partitions and thresholds

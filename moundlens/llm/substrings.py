@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from moundlens.llm import blocks
-from moundlens.llm.common import durable, pick, read_table
+from moundlens.llm.common import durable, numbered, pick, read_table
 from moundlens.llm.words import NOT_BLANK, Words, spread, texts, window_starts, windows, words
 
 WINDOW = 13
@@ -74,6 +74,8 @@ def parse(
 ) -> DataFrame:
     """The documents' columns, then the four of PARSED (the last four columns by position)."""
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    names = [*docs.columns, *(f.name for f in PARSED)]
+    docs = numbered(docs)
     table = blocks.pack(docs, "substring-blocks")
 
     def anchor_keys(data) -> blocks.Keys:
@@ -130,7 +132,7 @@ def parse(
         starts, source = starts[later], source[later]
         return pa.Table.from_batches([_parsed(batch, text_at, found, starts, source, window, arrow)])
 
-    return blocks.with_answers(table, first, finish, schema)
+    return blocks.with_answers(table, first, finish, schema).toDF(*names)
 
 
 def _factors(at: np.ndarray, source: np.ndarray, window: int) -> list[dict]:

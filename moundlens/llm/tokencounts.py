@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from moundlens.llm.bpe import PATTERN, Vocabulary, default_path
-from moundlens.llm.common import pick, read_table
+from moundlens.llm.common import numbered, pick, read_table
 
 CHUNK = 16_384  # characters of a chunk's own part
 OVERLAP = 256  # characters by which it runs into the next
@@ -120,7 +120,8 @@ ADDED = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.Lon
 
 def token_counts(docs: DataFrame, path: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The documents' columns, then n_bytes (UTF-8) and n_tokens."""
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), [*docs.columns, *(f.name for f in ADDED)]
+    docs = numbered(docs)
     schema = T.StructType([*docs.schema.fields, *ADDED])
     arrow = to_arrow_schema(schema)
 
@@ -132,7 +133,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", chunk: int
             counts = [known.count(x.as_py() or "", chunk, overlap) for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, size, pa.array(counts, pa.int64())], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
