@@ -103,7 +103,7 @@ def shared_keys(
     table: DataFrame, payload: str, keys_of: Callable[[bytes], Keys], total: int, name: str
 ) -> DataFrame:
     """(block, keys, low, often): for each block its keys with two owners or more over all blocks,
-    the smallest owner of each, and how often the blocks sent it, once for every distinct owner.
+    the smallest owner of each, and how often it came from all blocks.
 
     total: how many keys there are about, which sets the number of groups.
     """
@@ -121,7 +121,7 @@ def shared_keys(
         sent = [_flat(group, name, kind) for name, kind in _KINDS]
         sizes = np.array([len(x) // 8 for x in group.column("keys").to_pylist()], np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(sent[0], kind="stable")
+        order = np.argsort(sent[0])
         keys = sent[0][order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order[:0]
         run = np.diff(np.r_[first, len(keys)])
@@ -155,16 +155,14 @@ _KINDS = (("keys", np.uint64), ("low", np.int64), ("high", np.int64), ("often",
 
 
 def summed(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each key once, ascending, with its smallest and largest owner and its number of owners."""
+    """Each key once, ascending, with its smallest and largest owner and how often it came."""
     if not len(keys):
         return keys, owner, owner, owner.astype(np.int32)
-    order = np.lexsort((owner, keys))
+    order = np.argsort(keys)
     keys, owner = keys[order], owner[order]
-    new = np.r_[True, keys[1:] != keys[:-1]]
-    first = np.flatnonzero(new)
-    other = new | np.r_[True, owner[1:] != owner[:-1]]
-    often = np.add.reduceat(other.astype(np.int32), first, dtype=np.int32)
-    return keys[first], owner[first], owner[np.r_[first[1:], len(keys)] - 1], often
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    often = np.diff(np.r_[first, len(keys)]).astype(np.int32)
+    return keys[first], np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first), often
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

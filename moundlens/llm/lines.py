@@ -15,7 +15,7 @@ everywhere keeps the join exact; rarity only keeps candidate lists short.
 2. A second exchange finds the prefix tokens that several classes have, and in how many lines.
 3. Only those are joined. Lists longer than `LIST` entries are split over several groups: an entry
    is listed in one of them and asks in all. Candidates pass the length and position filters and a
-   bitmap of 64 bits, in which two sets differ in no more places than they differ in tokens. A class
+   bitmap of 128 bits, in which two sets differ in no more places than they differ in tokens. A class
    takes the `FIRST` earliest candidates of a long list, and only if none of them is verified, all
    the others. So a crowd of variants of one line is settled by its first members.
 4. Candidates are verified on their whole token sets.
@@ -77,7 +77,7 @@ class Sets:
         rarity = np.r_[0, np.cumsum(weight[found.digest & np.uint64(COUNTERS - 1)])]
         rarity = (rarity[starts + SHINGLE] - rarity[starts]).astype(np.uint64)
         token = (rarity << np.uint64(48)) | (windows(found.digest, SHINGLE)[starts] >> np.uint64(16))
-        order = np.lexsort((token, line))
+        order = _by_line(line, token)
         token, line = token[order], line[order]
         new = np.r_[True, (token[1:] != token[:-1]) | (line[1:] != line[:-1])][: len(token)]
         self.token, line = token[new], line[new]
@@ -88,7 +88,9 @@ class Sets:
         total = np.add.reduceat(mixed, begin) if len(begin) else mixed
         self.names = mix(total + self.size.astype(np.uint64))
         bit = np.uint64(1) << (mixed & np.uint64(63))
-        self.bits = np.bitwise_xor.reduceat(bit, begin) if len(begin) else bit
+        half = (mixed >> np.uint64(6)) & np.uint64(1)
+        for name, value in (("bits", bit * half), ("more", bit * (np.uint64(1) - half))):
+            setattr(self, name, np.bitwise_xor.reduceat(value, begin) if len(begin) else value)
 
     def tokens(self, k: int) -> np.ndarray:
         return self.token[self.begin[k] : self.begin[k + 1]]
@@ -102,6 +104,18 @@ class Sets:
         return which, self.token[self.begin[which] + place], place
 
 
+def _by_line(line: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Order by line, then token: one sort of packed keys, unless two tokens of a line tie in it."""
+    if not len(line) or line[-1] >= 1 << 20:
+        return np.lexsort((token, line))
+    key = (line.astype(np.uint64) << np.uint64(44)) | (token >> np.uint64(20))
+    order = np.argsort(key)
+    tie = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if (token[order[tie]] != token[order[tie + 1]]).any():
+        return np.lexsort((token, line))
+    return order
+
+
 def matches(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * sum(THRESHOLD) >= THRESHOLD[0] * (len(a) + len(b))
@@ -110,12 +124,12 @@ def matches(a: np.ndarray, b: np.ndarray) -> bool:
 def _fits(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     """Length, position and bitmap filters for lines that share a token at these places.
 
-    Every token flips one of 64 bits, so the bits that differ are at most the tokens that differ.
+    Every token flips one of 128 bits, so the bits that differ are at most the tokens that differ.
     """
     top, bottom = THRESHOLD
     both = a["size"] + b["size"]
     most = np.minimum(a["place"], b["place"]) + np.minimum(a["size"] - a["place"], b["size"] - b["place"])
-    apart = np.bitwise_count(a["bits"] ^ b["bits"]).astype(np.int64)
+    apart = sum(np.bitwise_count(a[x] ^ b[x]).astype(np.int64) for x in ("bits", "more"))
     return (
         (a["size"] * bottom >= b["size"] * top)
         & (b["size"] * bottom >= a["size"] * top)
@@ -126,40 +140,54 @@ def _fits(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
 
 # ---- what is kept of every block: its lines with tokens, and the prefixes of distinct lines
 
-_LINE = (("line", np.int64), ("owner", np.int64), ("name", np.uint64), ("size", np.int64),
-         ("bits", np.uint64), ("gone", np.int64))
-_SIGNED = "block long, size long, data binary"
+_LINE = (("line", np.int64), ("owner", np.int64), ("name", np.uint64), ("gone", np.int64))
+_PREFIX = (("line", np.int64), ("owner", np.int64), ("name", np.uint64), ("gone", np.int64), ("size", np.int64),
+           ("bits", np.uint64), ("more", np.uint64), ("length", np.int64), ("token", np.uint64))
+_SIGNED = "block long, lines binary, prefixes binary"
+_SIGNED_ARROW = pa.schema([("block", pa.int64()), ("lines", pa.binary()), ("prefixes", pa.binary())])
 
 
-def _signature(rows: Rows, ids: np.ndarray, weight: np.ndarray) -> bytes:
-    sets = Sets(rows.data, rows.offsets, weight)
-    owner = ids[rows.row[sets.lines]]
-    gone = np.zeros(len(sets.lines), bool)
-    which, token, place = sets.prefixes()
-    _same_row(rows, sets, which, token, place, gone)
-    order = np.lexsort((owner, sets.names))
-    named = sets.names[order]
-    chosen = order[np.r_[True, named[1:] != named[:-1]][: len(named)]]
-    keep = np.isin(which, chosen)
-    columns = [sets.lines.astype(np.int64), owner, sets.names, sets.size, sets.bits, gone.astype(np.int64)]
-    lists = [*columns, which[keep], token[keep], place[keep]]
-    row = pa.record_batch([pa.array([x.tobytes()]) for x in lists], names=[str(k) for k in range(len(lists))])
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Arrays of any lengths in one compressed row."""
+    row = pa.record_batch([pa.array([x.tobytes()]) for x in columns], names=[str(k) for k in range(len(columns))])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(row)
     return sink.getvalue().to_pybytes()
 
 
-class Signature:
-    """A block's lines (arrays of _LINE) and its prefix tokens: which line, token, place."""
+def _unpacked(data, kinds) -> dict[str, np.ndarray]:
+    row = blocks.unpack(data)
+    return {n: np.frombuffer(c[0].as_buffer(), kind) for c, (n, kind) in zip(row.columns, kinds, strict=True)}
+
+
+def _signature(rows: Rows, ids: np.ndarray, weight: np.ndarray) -> tuple[bytes, bytes]:
+    """(all lines with tokens; one line of each class with its prefix tokens)."""
+    sets = Sets(rows.data, rows.offsets, weight)
+    line, owner = sets.lines.astype(np.int64), ids[rows.row[sets.lines]]
+    gone = np.zeros(len(line), bool)
+    which, token, place = sets.prefixes()
+    _same_row(rows, sets, which, token, place, gone)
+    gone = gone.astype(np.int64)
+    order = np.lexsort((line, owner, sets.names))
+    named = sets.names[order]
+    chosen = np.sort(order[np.r_[True, named[1:] != named[:-1]][: len(named)]])
+    keep = np.zeros(len(line), bool)
+    keep[chosen] = True
+    length = np.bincount(which, minlength=len(line))[chosen]
+    some = [x[chosen] for x in (line, owner, sets.names, gone, sets.size, sets.bits, sets.more)]
+    return _packed([line, owner, sets.names, gone]), _packed([*some, length, token[keep[which]]])
+
+
+class Prefixes:
+    """One line of each class of a block, and its prefix tokens: which line, token, place."""
 
     def __init__(self, data):
-        row = blocks.unpack(data)
-        kinds = [*(kind for _, kind in _LINE), np.int64, np.uint64, np.int64]
-        held = [np.frombuffer(c[0].as_buffer(), kind) for c, kind in zip(row.columns, kinds, strict=True)]
-        self.at = dict(zip((n for n, _ in _LINE), held, strict=False))
-        self.which, self.token, self.place = held[len(_LINE) :]
-        self.token = mix(self.token)
+        self.at = _unpacked(data, _PREFIX)
+        length = self.at["length"]
+        self.which = np.repeat(np.arange(len(length)), length)
+        self.place = np.arange(len(self.which)) - np.repeat(np.cumsum(length) - length, length)
+        self.token = mix(self.at["token"])
 
 
 def _frequencies(table: DataFrame, text_at: int) -> np.ndarray:
@@ -193,7 +221,7 @@ def _frequencies(table: DataFrame, text_at: int) -> np.ndarray:
 
 _ENTRY = (
     ("token", np.uint64), ("name", np.uint64), ("size", np.int64), ("place", np.int64), ("bits", np.uint64),
-    ("owner", np.int64), ("line", np.int64), ("asks", np.int64), ("salt", np.int64),
+    ("more", np.uint64), ("owner", np.int64), ("line", np.int64), ("asks", np.int64), ("salt", np.int64),
 )
 _ENTRIES = "part long, block long, " + ", ".join(f"{name} binary" for name, _ in _ENTRY)
 _ENTRIES_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64())] + [(n, pa.binary()) for n, _ in _ENTRY])
@@ -225,7 +253,7 @@ def _candidates(group: pa.Table, limit: int | None) -> pa.Table:
 
     def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         ok = (e["asks"][i] > 0) & (e["asks"][j] != 2) & (e["owner"][j] < e["owner"][i]) & (e["name"][i] != e["name"][j])
-        a, b = ({k: e[k][x] for k in ("size", "place", "bits")} for x in (i, j))
+        a, b = ({k: e[k][x] for k in ("size", "place", "bits", "more")} for x in (i, j))
         return ok & _fits(a, b)
 
     for d in range(1, _SHORT + 1):
@@ -305,35 +333,39 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for block, data in zip(batch.column("block"), batch.column("data"), strict=True):
                 held = blocks.unpack(data.as_buffer())
                 signed = _signature(Rows(held, text_at), blocks.owners(held.column(id_at)), weight.value)
-                yield pa.record_batch([[block.as_py()], [len(signed)], [signed]], blocks.PACKED_ARROW)
+                yield pa.record_batch([[block.as_py()], [signed[0]], [signed[1]]], _SIGNED_ARROW)
 
     signed = durable(table.mapInArrow(sign, _SIGNED), "line-signatures")
 
     def class_keys(data) -> blocks.Keys:
-        found = Signature(data)
-        return found.at["name"], found.at["owner"]
+        found = _unpacked(data, _LINE)
+        return found["name"], found["owner"]
 
     def prefix_keys(data) -> blocks.Keys:
-        found = Signature(data)
+        found = Prefixes(data)
         return found.token, found.at["name"][found.which].view(np.int64)
 
-    same = blocks.shared_keys(signed, "data", class_keys, size // 300, "line-classes")
-    often = blocks.shared_keys(signed, "data", prefix_keys, size // 40, "line-prefixes")
+    same = blocks.shared_keys(signed, "lines", class_keys, size // 300, "line-classes")
+    often = blocks.shared_keys(signed, "prefixes", prefix_keys, size // 40, "line-prefixes")
     parts = max(blocks.LEAST_PARTS, size // (4 << 20))
     told = same.withColumn("kind", F.lit(0)).union(often.withColumn("kind", F.lit(1)))
-    entries = blocks.with_answers(signed, told, lambda a, b: _entries(a, b, parts), _ENTRIES)
-    listed = durable(entries, "line-entries").groupBy("part")
-    early = durable(listed.applyInArrow(lambda g: _candidates(g, FIRST), _PAIR), "line-candidates")
-    near = durable(_verified(table, early, text_at, weight), "line-matches")
-    asking = ["block", "name"]
+    asking, ask = ["block", "name"], signed.select("block", "prefixes")
+
+    def met(told: DataFrame, limit: int | None, name: str) -> tuple[DataFrame, DataFrame]:
+        entries = blocks.with_answers(ask, told, lambda a, b: _entries(a, b, parts, limit is None), _ENTRIES)
+        pairs = entries.groupBy("part").applyInArrow(lambda g: _candidates(g, limit), _PAIR)
+        pairs = durable(pairs, f"{name}-candidates")
+        return pairs, durable(_verified(table, pairs, text_at, weight), f"{name}-matches")
+
+    early, near = met(told, FIRST, "line")
     open_ = early.where("cut").select(*asking).distinct().join(near, asking, "left_anti")
-    open_ = durable(open_, "line-open")
-    if not open_.isEmpty():
-        rest = listed.applyInArrow(lambda g: _candidates(g, None), _PAIR).join(open_, asking, "left_semi")
-        near = near.union(durable(_verified(table, rest, text_at, weight), "line-late-matches"))
     nothing = F.lit(None).cast("binary")
+    open_ = open_.select("block", F.col("name").cast("string").cast("binary").alias("keys"), nothing.alias("low"), nothing.alias("often"), F.lit(2).alias("kind"))
+    open_ = durable(open_, "line-open")
+    if not open_.isEmpty():  # only these ask again, without a limit
+        near = near.union(met(told.union(open_), None, "line-late")[1])
     by_name = near.select("block", F.lit(1).alias("kind"), F.col("name").cast("string").cast("binary").alias("keys"), nothing.alias("low"))
-    by_block = signed.select("block", F.lit(2), "data", nothing)
+    by_block = signed.select("block", F.lit(2), "lines", nothing)
     gone = same.select("block", F.lit(0).alias("kind"), "keys", "low").union(by_name).union(by_block)
     schema = T.StructType([*docs.schema.fields, *ADDED])
     arrow = to_arrow_schema(schema)
@@ -342,7 +374,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         rows = Rows(blocks.unpack(left.column("data")[0].as_buffer()), text_at)
         kind = right.column("kind").to_numpy()
         of = [right.filter(pa.array(kind == k)) for k in range(3)]
-        found = Signature(of[2].column("keys")[0].as_buffer()).at
+        found = _unpacked(of[2].column("keys")[0].as_buffer(), _LINE)
         keys = np.frombuffer(b"".join(of[0].column("keys").to_pylist()), np.uint64)
         low = np.frombuffer(b"".join(of[0].column("low").to_pylist()), np.int64)
         order = np.argsort(keys, kind="stable")
@@ -356,24 +388,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return blocks.with_answers(table, gone, finish, schema).toDF(*names)
 
 
-def _entries(left: pa.Table, right: pa.Table, parts: int) -> pa.Table:
+def _entries(left: pa.Table, right: pa.Table, parts: int, late: bool) -> pa.Table:
     """What one block lists and asks under its shared prefix tokens."""
-    first, listed = (right.filter(pc.field("kind") == k) for k in (0, 1))
+    first, listed, again = (right.filter(pc.field("kind") == k) for k in (0, 1, 2))
     if not listed.num_rows or not left.num_rows:
         return _ENTRIES_ARROW.empty_table()
-    found = Signature(left.column("data")[0].as_buffer())
+    found = Prefixes(left.column("prefixes")[0].as_buffer())
     at = found.at
     known, low, _ = blocks.answers(first)
     hit, place = blocks.lookup(at["name"], known)
     asks = at["gone"] == 0
     asks[hit] &= low[place[hit]] >= at["owner"][hit]  # else an equal line is earlier
+    if late:  # only what is still open
+        names = np.array([int(x) for x in again.column("keys").to_pylist()], np.int64)
+        asks &= np.isin(at["name"], names.view(np.uint64))
     known, _, often = blocks.answers(listed)
     hit, place = blocks.lookup(found.token, known)
     which, lists = found.which[hit], -(-often[place[hit]] // LIST)
     asks = asks[which].astype(np.int64)
     home = (mix(at["name"][which]) % lists.astype(np.uint64)).astype(np.int64)
     e = [found.token[hit], at["name"][which], at["size"][which], found.place[hit], at["bits"][which],
-         at["owner"][which], at["line"][which], asks, home]
+         at["more"][which], at["owner"][which], at["line"][which], asks, home]
     extra = np.flatnonzero((lists > 1) & (asks > 0))
     if len(extra):  # asks in every other part of a split list as well
         rep = np.repeat(extra, lists[extra])
@@ -410,9 +445,11 @@ def _same_row(rows: Rows, sets: Sets, which, token, place, removed: np.ndarray)
                 removed[line] = True
             elif not removed[line]:
                 above = np.fromiter(seen.values(), np.int64, len(seen))
-                mine = {"size": sets.size[line], "place": place[g], "bits": sets.bits[line]}
                 other = which[above]
-                theirs = {"size": sets.size[other], "place": place[above], "bits": sets.bits[other]}
+                mine, theirs = (
+                    {"size": sets.size[x], "place": place[y], "bits": sets.bits[x], "more": sets.more[x]}
+                    for x, y in ((line, g), (other, above))
+                )
                 fit = other[_fits(mine, theirs)] if len(above) else other
                 own = sets.tokens(line)
                 removed[line] = any(matches(own, sets.tokens(j)) for j in fit.tolist())
