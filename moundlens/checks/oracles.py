@@ -682,9 +682,10 @@ _sql(
   {", ".join(f"{_r(f'm.{a} - l.{b}', 2)} AS {a}_diff" for a, b in _LEAGUE_PAIRS.items())}
 FROM move m JOIN hands h ON m.Pitcher = h.Pitcher JOIN league l
   ON h.p_throws = l.p_throws AND m.pitch_type = replace(l.pitch_type, 'Changeup', 'ChangeUp')""",
-    _MOVEMENT,
-    """hands AS (
-  SELECT Pitcher, PitcherThrows AS p_throws FROM pitches WHERE PitcherThrows IN ('Left', 'Right')
+    _MOVEMENT.replace(LISTED_TYPE, LISTED_TYPE.replace("'ChangeUp'", "'ChangeUp', 'Splitter'")),
+    f"""hands AS (
+  SELECT Pitcher, PitcherThrows AS p_throws FROM pitches
+  WHERE PitcherThrows IN ('Left', 'Right') AND {_CHART}
   GROUP BY Pitcher, PitcherThrows
   QUALIFY row_number() OVER (PARTITION BY Pitcher ORDER BY count(*) DESC, PitcherThrows DESC) = 1)""",
     f"league({', '.join(LEAGUE_AVERAGE_COLUMNS)}) AS (VALUES {_LEAGUE_ROWS})",

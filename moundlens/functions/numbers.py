@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Measures are summed as whole multiples of 1 / SUM_SCALE held in doubles: such additions are
-# exact below 2**53, so the result does not depend on the order in which partitions are merged,
-# and beyond that they lose precision gently instead of overflowing.
+# Measures are summed as whole multiples of 1 / SUM_SCALE, in two parts of 64 bits that are put
+# together as a decimal: exact for any number of rows, so no order of merging changes the result.
 SUM_SCALE = 1e9
+_LOW = float(1 << 30)
 
 
 def round_half_up(col: Column, digits: int) -> Column:
@@ -24,16 +24,30 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole)
 
 
+def not_nan(col: Column) -> Column:
+    """The value, or NULL for NaN: a measurement that is not a number was not made."""
+    return F.when(~F.isnan(col.cast("double")), col.cast("double"))
+
+
 def scaled_sum(col: Column) -> Column:
-    return F.sum(F.rint(col * F.lit(SUM_SCALE)))
+    """Sum in units of 1 / SUM_SCALE, as a decimal without fraction."""
+    units = F.rint(not_nan(col) * F.lit(SUM_SCALE))
+    high = F.floor(units / F.lit(_LOW))
+    low = (units - high * F.lit(_LOW)).cast("long")
+    high_sum, low_sum = F.sum(high.cast("long")).cast("decimal(19,0)"), F.sum(low)
+    return (high_sum * F.lit(1 << 30).cast("decimal(10,0)") + low_sum.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def unscaled(total: Column) -> Column:
+    return total.cast("double") / F.lit(SUM_SCALE)
 
 
 def exact_sum(col: Column) -> Column:
-    return scaled_sum(col) / F.lit(SUM_SCALE)
+    return unscaled(scaled_sum(col))
 
 
 def exact_mean(col: Column) -> Column:
-    return ratio(scaled_sum(col), F.count(col)) / F.lit(SUM_SCALE)
+    return unscaled(ratio(scaled_sum(col).cast("double"), F.count(not_nan(col))))
 
 
 def strict_mean(value: Column, where: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from moundlens.functions.nulls import in_box, in_set
-from moundlens.schema import EXCLUDED_DATE, HEART_ZONE, STRIKE_ZONE
+from moundlens.schema import EXCLUDED_DATE, HEART_ZONE, STORE_SEASON, STRIKE_ZONE
 
 
 def by_level(df: DataFrame, level: str = "D1") -> DataFrame:
@@ -36,19 +36,20 @@ def pitcher_dates(
 ) -> DataFrame:
     """Chosen pitchers (all when not given) in a closed date range (open ends when not given).
 
-    On the store the range also bounds the season, so folders outside it are not opened.
+    On the store the range also bounds the partition column, so folders outside it are not opened.
+    That column has a reserved name; a season column of the user is never looked at.
     """
-    stored = "Season" in df.columns
+    stored = STORE_SEASON in df.columns
     if pitchers is not None:
         df = df.where(F.col("Pitcher").isin(*pitchers))
     if date_from is not None:
         first = F.lit(date_from).cast("date")
         df = df.where(F.col("Date") >= first)
-        df = df.where(F.col("Season") >= F.year(first)) if stored else df
+        df = df.where(F.col(STORE_SEASON) >= F.year(first)) if stored else df
     if date_to is not None:
         last = F.lit(date_to).cast("date")
         df = df.where(F.col("Date") <= last)
-        df = df.where(F.col("Season") <= F.year(last)) if stored else df
+        df = df.where(F.col(STORE_SEASON) <= F.year(last)) if stored else df
     return df
 
 

@@ -120,9 +120,9 @@ def recode_splitter(df: DataFrame) -> DataFrame:
     return df.withColumn("TaggedPitchType", if_known(kind == "Splitter", "ChangeUp", kind))
 
 
-def pitch_type(df: DataFrame) -> DataFrame:
-    """Six listed types; any other type becomes the NULL group."""
-    return df.withColumn("pitch_type", keep_levels(F.col("TaggedPitchType"), PITCH_TYPE_ORDER))
+def pitch_type(df: DataFrame, types: tuple[str, ...] = PITCH_TYPE_ORDER) -> DataFrame:
+    """The listed types; any other type becomes the NULL group."""
+    return df.withColumn("pitch_type", keep_levels(F.col("TaggedPitchType"), types))
 
 
 def pitch_class() -> Column:

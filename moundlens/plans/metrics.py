@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from moundlens.functions.numbers import SUM_SCALE, ratio, round_half_up, scaled_sum
+from moundlens.functions.numbers import not_nan, ratio, round_half_up, scaled_sum, unscaled
 
 
 def _count(cond: Column) -> Column:
@@ -26,7 +26,7 @@ def _sums() -> dict[str, Column]:
         return scaled_sum(F.when(where, value))
 
     def known(value: Column, where: Column) -> Column:
-        return F.count(F.when(where, value))
+        return F.count(F.when(where, not_nan(value)))
 
     return {
         "pitches": F.count(F.lit(1)),
@@ -55,7 +55,7 @@ def _sums() -> dict[str, Column]:
         "xwobacon_sum": total(F.col("xwOBACON_value"), bbe),
         "xwoba_rows": known(F.col("xwOBA_weights"), pa),
         "xwoba_sum": total(F.col("xwOBA_weights"), pa),
-        "run_value_rows": F.count(run_value),
+        "run_value_rows": F.count(not_nan(run_value)),
         "run_value_sum": scaled_sum(run_value),
     }
 
@@ -73,11 +73,11 @@ def _rate(part: str, whole: str) -> Column:
 
 
 def _woba(name: str) -> Column:
-    return round_half_up(ratio(F.col(f"{name}_sum"), F.col(f"{name}_rows")) / SUM_SCALE, 3)
+    return round_half_up(unscaled(ratio(F.col(f"{name}_sum").cast("double"), F.col(f"{name}_rows"))), 3)
 
 
 def _metrics() -> dict[str, Column]:
-    run_value = F.col("run_value_sum")
+    run_value = F.col("run_value_sum").cast("double")
     return {
         "pitches": F.col("pitches"),
         "strike_pct": _rate("strikes", "pitches"),
@@ -93,9 +93,9 @@ def _metrics() -> dict[str, Column]:
             F.col("zone_swing_unknown") == 0, _rate("zone_whiffs", "zone_swings")
         ),
         "rv_per_100": round_half_up(
-            ratio(run_value, F.col("run_value_rows")) / SUM_SCALE * F.lit(100.0), 2
+            unscaled(ratio(run_value, F.col("run_value_rows"))) * F.lit(100.0), 2
         ),
-        "rv": round_half_up(F.coalesce(run_value, F.lit(0.0)) / SUM_SCALE, 2),
+        "rv": round_half_up(unscaled(F.coalesce(run_value, F.lit(0.0))), 2),
         "bbe": F.col("bbe"),
         "wobacon": _woba("wobacon"),
         "woba": _woba("woba"),

@@ -19,8 +19,8 @@ from moundlens.operators.flags import (
 )
 from moundlens.plans.metrics import finish, merge_grains, summarize, summarize_sets
 from moundlens.schema import (
-    ATTACK_ZONE_ORDER, LEAGUE_AVERAGE_COLUMNS, LEAGUE_AVERAGES, PITCH_CLASS_ORDER,
-    PITCH_TYPE_ORDER,
+    ATTACK_ZONE_ORDER, LEAGUE_AVERAGE_COLUMNS, LEAGUE_AVERAGES, LEAGUE_TYPE_ORDER,
+    PITCH_CLASS_ORDER, PITCH_TYPE_ORDER,
 )
 
 _PLATE_DISCIPLINE = ["zone_pct", "swing_pct", "chase_pct"]
@@ -155,16 +155,21 @@ def all_grains(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
     return finish(merged, ["report", *REPORT_KEYS], [*FULL_METRICS, "rv"])
 
 
-def movement(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
-    """Velocity, break, spin, release, approach angle and pitch models by pitch type."""
+def movement(
+    df, pitchers=None, date_from=None, date_to=None, types=PITCH_TYPE_ORDER, hands: bool = False
+) -> DataFrame:
+    """Velocity, break, spin, release, approach angle and pitch models by pitch type.
+
+    `hands` adds how many of the pitches are thrown with either hand.
+    """
     chosen = exclude_date(pitcher_dates(df, pitchers, date_from, date_to))
-    typed = movement_bands(pitch_type(tagged_pitches(chosen)))
+    typed = movement_bands(pitch_type(tagged_pitches(chosen), types))
     vaa = F.col("VertApprAngle")
 
     def mean(name: str, digits: int):
         return round_half_up(exact_mean(F.col(name)), digits)
 
-    keys = ["Pitcher", "pitch_type"]
+    keys, sides = ["Pitcher", "pitch_type"], ("Right", "Left") if hands else ()
     report = typed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pitches"),
         mean("RelSpeed", 1).alias("velo"),
@@ -182,10 +187,9 @@ def movement(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
         ),
         mean("wStuff_plus_2", 0).alias("wstuff_plus"),
         mean("Stuff_plus", 0).alias("stuff_plus"),
+        *(F.count_if(F.col("PitcherThrows") == side).alias(f"{side.lower()}_handed") for side in sides),
     )
-    return add_mix(report, ["Pitcher"]).orderBy(
-        "Pitcher", *_most_used("pitch_type", PITCH_TYPE_ORDER)
-    )
+    return add_mix(report, ["Pitcher"]).orderBy("Pitcher", *_most_used("pitch_type", types))
 
 
 def pitcher_names(df, pitchers=None, date_from=None, date_to=None, dated=True) -> DataFrame:
@@ -207,21 +211,21 @@ def league_averages(spark: SparkSession) -> DataFrame:
 
 
 def league_comparison(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
-    """Movement report against the league, by hand and pitch type: own value minus league value."""
-    hands = (
-        df.where(F.col("PitcherThrows").isin("Left", "Right"))
-        .groupBy("Pitcher", "PitcherThrows")
-        .agg(F.count(F.lit(1)).alias("hand_pitches"))
-    )
-    # one hand per pitcher: the more frequent one, Right on a tie
-    hands = hands.groupBy("Pitcher").agg(
-        F.max_by("PitcherThrows", F.struct("hand_pitches", "PitcherThrows")).alias("p_throws")
+    """Movement report against the league, by hand and pitch type: own value minus league value.
+
+    A pitcher's hand is the more frequent one of the chosen pitches, Right on a tie; it is counted
+    in the same scan as the report. All seven league types are compared.
+    """
+    own = movement(df, pitchers, date_from, date_to, LEAGUE_TYPE_ORDER, hands=True)
+    whole = Window.partitionBy("Pitcher")
+    right, left = (F.sum(f"{side}_handed").over(whole) for side in ("right", "left"))
+    own = own.withColumn(
+        "p_throws", F.when(right + left > 0, F.when(right >= left, F.lit("Right")).otherwise(F.lit("Left")))
     )
     league = league_averages(df.sparkSession).withColumn(
         "pitch_type",
         F.when(F.col("pitch_type") == "Changeup", "ChangeUp").otherwise(F.col("pitch_type")),
     )
-    own = movement(df, pitchers, date_from, date_to).join(hands, "Pitcher")
     pairs = {
         "velo": "velo", "ivb": "ivb", "hb": "hb", "spin_rate": "spinrate", "spin_axis": "spinaxis",
         "rel_height": "relht", "rel_side": "relsi", "ext": "ext", "top_zone_vaa": "topvaa",
@@ -241,4 +245,4 @@ def league_comparison(df, pitchers=None, date_from=None, date_to=None) -> DataFr
             )
             for mine, theirs in pairs.items()
         ],
-    ).orderBy("Pitcher", level_rank(F.col("pitch_type"), PITCH_TYPE_ORDER))
+    ).orderBy("Pitcher", level_rank(F.col("pitch_type"), LEAGUE_TYPE_ORDER))

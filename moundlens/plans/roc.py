@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from moundlens.functions.numbers import not_nan
 from moundlens.operators.ranking import running_totals, with_sampled_bucket
 from moundlens.sources.scratch import materialize
 
 
 def _score_table(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score, with those below it and in total."""
+    """Positives and negatives per distinct score, with those below it and in total.
+
+    Rows without a label or with a score that is no number do not count; no rows give no scores.
+    """
     counted = materialize(
-        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+        df.where(F.col(label).isNotNull() & not_nan(F.col(score)).isNotNull())
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(
             F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")

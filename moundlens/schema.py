@@ -54,8 +54,17 @@ FREE_PASS_WEIGHT = 0.7
 MODEL_SWINGS = ("InPlay", "FoulBall", "StrikeSwinging")
 MODEL_CONTACT = ("InPlay", "FoulBall")
 
+# Partition column of the store; no pitch log has a column of this name.
+STORE_SEASON = "_store_season"
+# Columns that season files lack and that later steps, or the reader, add.
+LATER_COLUMNS = (
+    "PitchUID", "woba_value", "woba_denom", "Run_Value", "pitchzone", "Stuff_plus",
+    "wStuff_plus_2", "xwOBACON_value", "xwOBA_weights",
+)
+
 # Label orders. A label that is not listed counts as missing.
 PITCH_TYPE_ORDER = ("Fastball", "Sinker", "Cutter", "Slider", "Curveball", "ChangeUp")
+LEAGUE_TYPE_ORDER = (*PITCH_TYPE_ORDER, "Splitter")
 ATTACK_ZONE_ORDER = ("Heart", "Shadow", "Chase", "Waste")
 PITCH_CLASS_ORDER = ("Fastball", "Breaking Ball", "Off-speed")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from moundlens.schema import PITCH_SCHEMA
+from moundlens.schema import LATER_COLUMNS, PITCH_SCHEMA, STORE_SEASON
 
 
 def read_season_csv(
@@ -14,19 +14,54 @@ def read_season_csv(
 
     Columns outside the schema are ignored, so a season with extra columns lines up with the
     others; a value that does not fit its type becomes NULL. The files of one call share a
-    layout: read seasons with different headers one by one and stack them.
+    layout, and a file with another header is refused: read such seasons one by one and stack them.
     """
-    # Without a schema and without inference only the header is read ahead; naming the schema
-    # here would bind columns by position and shift a season whose columns are in another order.
-    raw = spark.read.option("header", True).option("nullValue", "NA").csv(path)
-    return align_schema(raw, schema)
+    # Without a schema and without inference only the first header is read ahead. With it as the
+    # schema, not enforced, Spark compares it to the header of every other file.
+    options = {"header": True, "nullValue": "NA", "enforceSchema": False}
+    names = spark.read.options(**options).csv(path).columns
+    layout = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return align_schema(spark.read.options(**options).schema(layout).csv(path), schema)
 
 
-def align_schema(df: DataFrame, schema: T.StructType = PITCH_SCHEMA) -> DataFrame:
-    """Keep the agreed columns, by name, in the agreed order and type."""
-    return df.select(
-        *[F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name) for field in schema]
-    )
+def align_schema(
+    df: DataFrame, schema: T.StructType = PITCH_SCHEMA, optional: tuple[str, ...] = ()
+) -> DataFrame:
+    """Keep the agreed columns, by name, in the agreed order and type; `optional` ones may be
+    missing and are NULL then."""
+    have = set(df.columns)
+
+    def column(field: T.StructField):
+        if field.name in optional and field.name not in have:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        return F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name)
+
+    return df.select(*[column(field) for field in schema])
+
+
+def add_pitch_uid(df: DataFrame, name: str = "PitchUID") -> DataFrame:
+    """A key made from all values of a row; equal rows are told apart by a number.
+
+    The same rows get the same keys in whatever order they come, since only equal rows share one
+    window, however many there are of the others.
+    """
+    values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns if c != name]
+    keyed = df.drop(name).withColumn("_digest", F.md5(F.concat_ws("\x1f", *values)))
+    same = Window.partitionBy("_digest").orderBy("_digest")
+    number = F.row_number().over(same).cast("string")
+    return keyed.withColumn(name, F.concat_ws("-", "_digest", number)).drop("_digest")
+
+
+def read_raw_season(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A season file as tracking systems write it: without the columns that later steps derive,
+    and without a key. The former are NULL, the latter is made from the row."""
+    names = spark.read.option("header", True).csv(path).columns
+    missing = tuple(c for c in LATER_COLUMNS if c not in names)
+    schema = T.StructType([f for f in PITCH_SCHEMA if f.name not in missing])
+    log = read_season_csv(spark, path, schema)
+    if "PitchUID" in missing:
+        log = add_pitch_uid(log)
+    return align_schema(log, PITCH_SCHEMA, LATER_COLUMNS)
 
 
 def union_seasons(*seasons: DataFrame) -> DataFrame:
@@ -45,14 +80,14 @@ def write_store(df: DataFrame, path: str, clustered: bool = True) -> None:
     """Parquet partitioned by season, so that a date filter skips whole folders.
 
     `clustered` also lays each season out by pitcher, so that the report of one pitcher skips most
-    row groups. The date and the key end the ordering: a pitcher with very many pitches is cut
-    into several files.
+    row groups. Partitions follow the size of the data: small pitchers share one, and one with
+    very many pitches is cut into several files. The partition column has a reserved name.
     """
-    seasoned = df.withColumn("Season", F.year("Date"))
+    seasoned = df.withColumn(STORE_SEASON, F.year("Date"))
     if clustered:
-        order = ["Season", "Pitcher", "Date", "PitchUID"]
-        seasoned = seasoned.repartitionByRange(*order).sortWithinPartitions(*order)
-    seasoned.write.partitionBy("Season").parquet(path)
+        order = [STORE_SEASON, "Pitcher", "Date", "PitchUID"]
+        seasoned = seasoned.hint("rebalance", *order[:2]).sortWithinPartitions(*order)
+    seasoned.write.partitionBy(STORE_SEASON).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

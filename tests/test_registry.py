@@ -7,8 +7,10 @@ import pytest
 import __spark_entry__ as entry
 from check_oracles import compare, connect
 from conftest import SMALL
+from moundlens.checks.oracles import all_oracles
+from moundlens.checks.queries import all_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 WITHOUT_SQL = {"train_swing_model", "score_swing", "feature_selection"}
 SLOW = {"model_roundtrip"}  # covered by test_models
 
