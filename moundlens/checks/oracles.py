@@ -71,10 +71,12 @@ LISTED_TYPE = f"CASE WHEN TaggedPitchType IN ({_quoted(*TYPES)}) THEN TaggedPitc
 
 _FX1 = ", ".join(PITCH_COLUMNS)
 _sql("scan_csv", f"SELECT {_FX1} FROM pitches")
-_sql("align_schema", f"SELECT {_FX1} FROM pitches WHERE year(Date) = 2023")
+_sql("align_schema", f"SELECT {_FX1} FROM pitches")
 _sql(
     "sink_csv",
-    "SELECT PitchUID, Date, is_Swing, xSwing_Pred, SpinRate, TaggedHitType FROM pitches",
+    f"SELECT {_FX1}, is_Swing, xSwing_Pred FROM pitches"
+    if "is_Swing" not in PITCH_COLUMNS
+    else f"SELECT {_FX1} FROM pitches",
 )
 
 # --- projections and filters
@@ -175,7 +177,7 @@ FROM pitches""",
 )
 _sql(
     "having_min_sample",
-    """SELECT Pitcher, count(*) AS pitches FROM pitches WHERE year(Date) = 2023
+    """SELECT Pitcher, count(*) AS pitches FROM pitches
 GROUP BY Pitcher HAVING count(*) >= 100""",
 )
 

@@ -28,7 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 DATE_FROM, DATE_TO = "2022-03-03", "2023-04-10"
-GRID = 20
+GRID = 20  # the default of 100 makes 8 million result rows at the scale of the SQL check
 SAMPLE = 30_000
 SEED = 2004
 
@@ -59,7 +59,7 @@ def scan_csv(log):
 
 @_query
 def align_schema_(log):
-    wider = filters.in_year(log, 2023).select(
+    wider = log.select(
         *reversed(PITCH_COLUMNS), F.lit("x").alias("Extra Col."), F.lit(1).alias("wExtra+")
     )
     return align_schema(wider)
@@ -69,7 +69,7 @@ def align_schema_(log):
 @_query
 def sink_csv(log):
     spark, path = log.sparkSession, fresh_path(log.sparkSession, "csv")
-    scored = log.select("PitchUID", "Date", "is_Swing", "xSwing_Pred", "SpinRate", "TaggedHitType")
+    scored = log.select(*PITCH_COLUMNS, *[c for c in ("is_Swing", "xSwing_Pred") if c not in PITCH_COLUMNS])
     write_csv(scored, path)
     return align_schema(
         spark.read.option("header", True).option("nullValue", "NA").csv(path), scored.schema
@@ -190,7 +190,7 @@ def zone_bands(log):
 
 @_query
 def having_min_sample(log):
-    counted = filters.in_year(log, 2023).groupBy("Pitcher").agg(F.count(F.lit(1)).alias("pitches"))
+    counted = log.groupBy("Pitcher").agg(F.count(F.lit(1)).alias("pitches"))
     return filters.min_sample(counted, "pitches", 100)
 
 
