@@ -235,7 +235,9 @@ def estimate(stats: DataFrame) -> DataFrame:
     return durable(fit.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k", "start"), "quality-best")
 
 
-def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def _judged(
+    docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: list[str] | None
+) -> DataFrame:
     """c0, c1, ... for the documents' columns, then COUNTS, base_failed, distance, kept and a row id.
 
     The row id does not depend on the data; a filter that names it cannot be moved below the
@@ -243,38 +245,51 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> D
     """
     names = [f"c{k}" for k in range(len(docs.columns))]
     of = dict(zip(docs.columns, names, strict=True))
+    out = names if carry is None else [of[c] for c in carry]
     df = docs.toDF(*names)
     df = df.select(*names, *_key(of[lang_col], of[source_col]))
-    lean = df.select(F.col(of[text_col]).alias("_text"), "_lang", "_source")
-    stats = with_counts(lean, "_text").drop("_text")
-    stats = durable(stats.select("_lang", "_source", "base_failed", *_vector()), "quality-statistics")
+    lean = df.select(*(out if carry else []), F.col(of[text_col]).alias("_text"), "_lang", "_source")
+    stats = with_counts(lean, "_text").drop("_text").select("*", *_vector())
+    stats = durable(stats, "quality-statistics")
     group = durable(_grouped(stats), "quality-groups")
-    fit = estimate(stats.where(~F.col("base_failed")).join(group, ["_lang", "_source"]))
+    judged = stats.where(~F.col("base_failed")).select("_lang", "_source", *(f"x{k}" for k in range(P)))
+    fit = estimate(judged.join(group, ["_lang", "_source"]))
     by_key = durable(group.join(fit, "_group", "left"), "quality-estimates")
-    seen = with_counts(df, of[text_col]).select("*", F.monotonically_increasing_id().alias("_row"))
-    seen = seen.select("*", *_vector()).join(by_key, ["_lang", "_source"], "left")
-    seen = seen.withColumn("_d", _distance())
+    number = F.monotonically_increasing_id().alias("_row")
+    if carry is None:
+        seen = with_counts(df, of[text_col]).select("*", number).select("*", *_vector())
+    else:
+        seen = stats.select("*", number)
+    seen = seen.join(by_key, ["_lang", "_source"], "left").withColumn("_d", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= LIMIT, F.lit(True))
     distance = F.when(~F.col("base_failed"), F.col("_d"))
-    return seen.select(*names, *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"), "_row")
+    return seen.select(*out, *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"), "_row")
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(
+    docs: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    carry: list[str] | None = None,
+) -> DataFrame:
     """The documents' columns, then COUNTS, base_failed, distance and kept (the last eight).
 
     Texts are read twice, for the estimates and for the verdicts, and are never shuffled unless the
-    table of estimates is too large for Spark to broadcast.
+    table of estimates is too large for Spark to broadcast. Who only needs some columns names them
+    in `carry`: these are written beside the counts, and the texts are read once.
     """
-    found = _judged(docs, text_col, lang_col, source_col).drop("_row")
-    return found.toDF(*docs.columns, *COUNTS, "base_failed", "distance", "kept")
+    found = _judged(docs, text_col, lang_col, source_col, carry).drop("_row")
+    return found.toDF(*(docs.columns if carry is None else carry), *COUNTS, "base_failed", "distance", "kept")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents' columns, rejected rows left out."""
-    found = _judged(docs, text_col, lang_col, source_col).where(F.col("kept") & (F.col("_row") >= 0))
+    found = _judged(docs, text_col, lang_col, source_col, None).where(F.col("kept") & (F.col("_row") >= 0))
     return found.select(*(F.col(f"c{k}").alias(name) for k, name in enumerate(docs.columns)))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
+    found = judge(docs, carry=["doc_id"])
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "distance")

@@ -184,6 +184,8 @@ def test_quality(docs, odd, empty):
     got = by_k(quality.judge(docs), 8)
     for k, r in enumerate(odd):
         assert got[k][:6] == brute.counts(r[2])[:6]
+    lean = {tuple(r)[0]: tuple(r)[2:] for r in quality.judge(docs, carry=["k", "n_words"]).collect()}
+    assert lean == got
     want = brute.quality([(r[2], r[3], r[4]) for r in odd])
     assert [got[k][7] for k in range(len(odd))] == want
     kept = quality.keep_good(docs)
