@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from moundlens.sources.scratch import materialize
 
-BROADCAST_ROWS = 200_000  # a narrow table of this many rows stays in the tens of megabytes
+BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 0.001  # a key with more than this share of all rows is split
 HOT_SPLITS = 1_024
 
@@ -24,34 +24,47 @@ def null_safe_join(
     return left.join(renamed, condition, how).drop(*[f"_right_{key}" for key in keys])
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Size of a table in memory, about: its text, and 8 bytes for any other value."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    fixed = 16 + 8 * len(df.columns)
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)) for c in texts], F.lit(fixed))
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+
+
 def join_group_table(
     fact: DataFrame,
     groups: DataFrame,
     keys: list[str],
     row_hash: Column,
     weight: str = "group_rows",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     hot_share: float = HOT_SHARE,
     splits: int = HOT_SPLITS,
 ) -> DataFrame:
-    """Inner join of `fact` with a table holding one row per key and its row count in `weight`.
+    """Inner join of `fact` with a table holding one row per key; `weight` (row counts) is dropped.
 
-    The group table is written out first, so its size is known. A small one is broadcast and the
-    fact table never moves. Beyond `broadcast_rows` both sides are shuffled, and keys holding more
-    than `hot_share` of the rows (at most 1 / hot_share of them) are spread over `splits` tasks:
-    the fact side by `row_hash`, the group side by repeating the row.
+    The group table is written out first, so its size is known. One of up to `broadcast_bytes` is
+    broadcast and the fact table never moves. Beyond that both sides are shuffled, and keys that
+    hold more than `hot_share` of the fact's rows (at most 1 / hot_share of them, whether the group
+    table has them or not) are spread over `splits` tasks: the fact side by `row_hash`, the group
+    side by repeating the row.
     """
     groups = materialize(groups, "group_table")
-    size = groups.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("rows")).first()
-    if size["n"] <= broadcast_rows:
+    if table_bytes(groups) <= broadcast_bytes:
         return null_safe_join(fact, F.broadcast(groups.drop(weight)), keys)
 
-    hot = groups.where(F.col(weight) > F.lit(float(size["rows"]) * hot_share))
-    hot_keys = hot.select(*keys, F.lit(True).alias("_hot"))
+    sizes = materialize(fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), "key_sizes")
+    total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    hot_keys = sizes.where(F.col("_rows") > F.lit(float(total) * hot_share)).select(
+        *keys, F.lit(True).alias("_hot")
+    )
     marked = null_safe_join(fact, F.broadcast(hot_keys), keys, "left").withColumn(
         "_split", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(splits))).otherwise(F.lit(0))
     )
-    is_hot = F.col(weight) > F.lit(float(size["rows"]) * hot_share)
-    repeats = F.when(is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
-    spread = groups.withColumn("_split", F.explode(repeats)).drop(weight)
+    known = null_safe_join(groups.drop(weight), F.broadcast(hot_keys), keys, "left")
+    repeats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    spread = known.withColumn("_split", F.explode(repeats)).drop("_hot")
     return null_safe_join(marked, spread, [*keys, "_split"]).drop("_hot", "_split")

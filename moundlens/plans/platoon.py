@@ -11,7 +11,7 @@ from moundlens.functions.numbers import exact_mean
 from moundlens.functions.student_t import two_sided_p
 from moundlens.operators.filters import by_level, by_membership
 from moundlens.operators.flags import platoon_side
-from moundlens.operators.joins import BROADCAST_ROWS, join_group_table
+from moundlens.operators.joins import BROADCAST_BYTES, join_group_table
 from moundlens.sources.scratch import materialize
 
 BATTER = ["Batter", "BatterTeam"]
@@ -40,7 +40,7 @@ def appearance_counts(finals: DataFrame) -> DataFrame:
 
 
 def platoon_sample(
-    df: DataFrame, min_pa: int = 150, min_side: int = 35, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, min_pa: int = 150, min_side: int = 35, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Plate appearances of batters with enough of them, overall and on each side."""
     finals = final_pitches(df)
@@ -51,7 +51,7 @@ def platoon_sample(
     )
     return join_group_table(
         finals, enough.withColumn("group_rows", F.col("PA")), BATTER, F.xxhash64("PitchUID"),
-        broadcast_rows=broadcast_rows,
+        broadcast_bytes=broadcast_bytes,
     )
 
 
@@ -100,11 +100,11 @@ def paired_split_join(splits: DataFrame) -> DataFrame:
     return sides["oppo"].join(sides["same"], BATTER)
 
 
-def join_pa_counts(finals: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_pa_counts(finals: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every plate appearance with its batter's counts."""
     counts = appearance_counts(finals).withColumn("group_rows", F.col("PA"))
     return join_group_table(
-        finals, counts, BATTER, F.xxhash64("PitchUID"), broadcast_rows=broadcast_rows
+        finals, counts, BATTER, F.xxhash64("PitchUID"), broadcast_bytes=broadcast_bytes
     )
 
 

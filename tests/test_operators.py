@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import as_set
+from moundlens.functions.numbers import exact_mean, exact_sum
 from moundlens.operators.joins import join_group_table, null_safe_join
 from moundlens.operators.ranking import exact_quantiles, running_totals, with_sampled_bucket
 from moundlens.operators.sampling import sample_n, stratified_split
+from moundlens.plans import roc
+from moundlens.plans.swing import add_event_weights
 
 
 def _skewed(spark):
@@ -20,7 +23,7 @@ def _skewed(spark):
     return spark.range(3000).select("id", key.alias("k"), (F.col("id") % 97).alias("v"))
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "hot_share": 0.1, "splits": 16}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "hot_share": 0.1, "splits": 16}])
 def test_group_join_matches_plain_join(spark, options):
     fact = _skewed(spark)
     groups = fact.groupBy("k").agg(
@@ -37,7 +40,7 @@ def test_hot_key_is_spread(spark):
     fact = _skewed(spark)
     groups = fact.groupBy("k").agg(F.count(F.lit(1)).alias("group_rows"))
     plan = join_group_table(
-        fact, groups.withColumn("total", F.lit(1)), ["k"], F.xxhash64("id"), broadcast_rows=0,
+        fact, groups.withColumn("total", F.lit(1)), ["k"], F.xxhash64("id"), broadcast_bytes=0,
         hot_share=0.1, splits=16,
     )._jdf.queryExecution().toString()
     assert "_split" in plan and "pmod" in plan
@@ -96,3 +99,44 @@ def test_split_is_exact_in_every_label(spark):
         assert row["train"] == -(-3 * row["n"] // 4)
     again = stratified_split(df.repartition(7), "y", 0.75, 5)
     assert as_set(split) == as_set(again)
+
+
+def test_hot_key_that_no_group_keeps_is_spread(spark):
+    fact = spark.range(40_000).select("id", F.when(F.col("id") % 10 > 0, F.lit(0)).otherwise(F.col("id")).alias("k"))
+    groups = spark.range(1, 40_000).select(F.col("id").alias("k"), F.lit(1).alias("group_rows"), F.lit("x").alias("v"))
+    joined = join_group_table(fact, groups, ["k"], F.xxhash64("id"), broadcast_bytes=0, hot_share=0.01, splits=64)
+    assert joined.count() == 3_999
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_split" in plan and "_hot" in plan
+
+
+def test_sums_do_not_depend_on_partitions(spark):
+    df = spark.range(300_000).select((F.rand(3) * 3000 + 1e7).alias("x"))
+    values = [r[0] for r in df.collect()]
+    table = spark.createDataFrame([(v,) for v in values], "x double")
+    found = {table.repartition(n).agg(exact_sum(F.col("x"))).first()[0] for n in (1, 3, 8, 13)}
+    assert len(found) == 1
+    assert found.pop() == sum(round(v * 1e9) for v in values) / 1e9
+    odd = spark.createDataFrame([(1.5,), (float("nan"),), (None,)], "x double")
+    assert odd.agg(exact_mean(F.col("x"))).first()[0] == 1.5
+
+
+def test_roc_of_nothing_and_of_nan(spark):
+    empty = spark.createDataFrame([], "is_Swing int, xSwing_Pred double")
+    assert roc.auc(empty).first()["auc"] is None and roc.roc_curve(empty).count() == 0
+    rows = [(1, 0.9), (0, 0.1), (1, float("nan")), (None, 0.5), (0, None)]
+    some = spark.createDataFrame(rows, "is_Swing int, xSwing_Pred double")
+    assert roc.auc(some).first()["auc"] == 1.0
+
+
+def test_split_takes_any_number_of_labels(spark):
+    df = spark.range(4_500).select(F.col("id").cast("string").alias("PitchUID"), (F.col("id") % 1_500).alias("label"))
+    sizes = stratified_split(df, "label", 0.5).groupBy("label").agg(F.count_if("is_train").alias("n"))
+    assert {r.n for r in sizes.collect()} == {2}
+
+
+def test_lookup_with_two_rows_for_a_key_is_refused(spark):
+    events = spark.createDataFrame([("single", 0.9, 1), ("single", 0.8, 1)], "event string, woba_weight double, is_pa int")
+    runs = spark.createDataFrame([], "balls int, strikes int, event string, run_value double")
+    with pytest.raises(ValueError, match="single"):
+        add_event_weights(spark.range(1).toDF("x"), events, runs)

@@ -67,7 +67,7 @@ def location_cells(df) -> dict:
 
 def test_density_without_broadcast_is_the_same(log):
     plain = density.location_density(log, n=5).select("Pitcher", "TaggedPitchType", "ix", "iy", F.round("ndensity", 9))
-    spread = density.location_density(log, n=5, broadcast_rows=0).select(
+    spread = density.location_density(log, n=5, broadcast_bytes=0).select(
         "Pitcher", "TaggedPitchType", "ix", "iy", F.round("ndensity", 9)
     )
     assert as_set(plain) == as_set(spread)
@@ -88,7 +88,7 @@ def test_sample_thresholds_and_salted_join(log):
     sample = _sample(log)
     low = sample.agg(F.min("PA"), F.min("Same_Side_PA"), F.min("Oppo_Side_PA")).first()
     assert low[0] >= 30 and low[1] >= 5 and low[2] >= 5
-    spread = platoon.platoon_sample(log, 30, 5, broadcast_rows=0)
+    spread = platoon.platoon_sample(log, 30, 5, broadcast_bytes=0)
     assert as_set(sample) == as_set(spread)
 
 
@@ -236,11 +236,11 @@ def test_a_pitcher_with_a_third_of_all_pitches(log):
     pitches = swing.pipeline_pitches(skewed)
     names = ["PitchUID", "Fastball_Velo", "Fastball_HB", "Fastball_IVB"]
     small = swing.join_fastball_baseline(pitches).select(*names)
-    spread = swing.join_fastball_baseline(pitches, broadcast_rows=0).select(*names)
+    spread = swing.join_fastball_baseline(pitches, broadcast_bytes=0).select(*names)
     assert as_set(small) == as_set(spread)
     # the hot key's rows end in many tasks, not in one
     tasks = (
-        swing.join_fastball_baseline(pitches, broadcast_rows=0)
+        swing.join_fastball_baseline(pitches, broadcast_bytes=0)
         .where("Pitcher = 'Hot, One'")
         .select(F.spark_partition_id().alias("task"))
         .distinct()
