@@ -893,13 +893,14 @@ _sql(
     "SELECT * FROM chase ORDER BY chase_diff, Batter, BatterTeam LIMIT 15",
     _chase(200),
 )
-_sql(
-    "heart_swing_diff",
-    f"""SELECT *, heart_swing_pct - heart_xswing_pct AS swing_diff FROM (
+_HEART_BOARD = f"""SELECT *, heart_swing_pct - heart_xswing_pct AS swing_diff FROM (
   SELECT Batter, BatterTeam, count(*) AS heart_pitches, avg(is_Swing) AS heart_swing_pct,
     {_avg("xSwing_Pred")} AS heart_xswing_pct
-  FROM pitches WHERE year(Date) = 2023 AND {HEART} GROUP BY Batter, BatterTeam)
-WHERE heart_pitches >= 150 ORDER BY swing_diff DESC, Batter, BatterTeam LIMIT 15""",
+  FROM pitches WHERE year(Date) = 2023 AND {HEART} GROUP BY Batter, BatterTeam)"""
+_sql("heart_swing_board", _HEART_BOARD)
+_sql(
+    "heart_swing_diff",
+    f"{_HEART_BOARD} WHERE heart_pitches >= 150 ORDER BY swing_diff DESC, Batter, BatterTeam LIMIT 15",
 )
 
 # --- models

@@ -826,6 +826,12 @@ def heart_swing_diff(log):
     return leaderboards.heart_diff(log)
 
 
+@_query
+def heart_swing_board(log):
+    """The whole board, which has rows at any scale."""
+    return leaderboards.heart_diff(log, min_n=1, k=None)
+
+
 # --- models
 
 
