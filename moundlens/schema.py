@@ -130,3 +130,20 @@ LEAGUE_AVERAGES = (
     ("Left", "Cutter", 87.2, 7.7, 1.7, 2289, 172, 5.8, 2.0, 6.2, -5.46, -7.10),
     ("Left", "Splitter", 84.2, 4.2, -8.6, 1041, 120, 5.8, 1.5, 6.6, -6.45, -7.62),
 )
+
+# Columns of the model table, and those of the scored table in its natural join.
+MODEL_COLUMNS = [
+    "PitchUID", "Date", "Pitcher", "PitcherTeam", "Inning", "Balls", "Strikes", "PitchCall",
+    "Outs", "PitcherThrows", "Batter", "BatterSide", "BatterTeam", "TaggedPitchType", "RelSpeed",
+    "PlateLocHeight", "PlateLocSide", "HB_adjusted", "InducedVertBreak", "SpinRate", "SpinAxis",
+    "RelSide_adjusted", "RelHeight", "Extension", "FB_Velo_Diff", "FB_HB_Diff", "FB_IVB_Diff",
+    "Type", "woba_denom", "woba_value", "Event", "Count", "new_Count", "Run_Value", "is_Swing",
+    "is_Whiff", "is_Foul", "is_BBE", "is_CalledStrike", "is_Groundball", "is_Linedrive",
+    "is_Flyball", "is_Popup", "is_HardHit", "is_SweetSpot", "BatterLoR", "PitcherLoR",
+    "PlatoonAdv", "ExitSpeed", "Angle", "PlayResult", "gameID", "Catcher",
+]
+SCORED_COLUMNS = [
+    "RelSpeed", "HB_adjusted", "InducedVertBreak", "SpinRate", "SpinAxis", "RelSide_adjusted",
+    "RelHeight", "Extension", "PlateLocHeight", "PlateLocSide", "PlatoonAdv", "Balls", "Strikes",
+    "is_Swing", "xSwing_Pred",
+]
