@@ -8,6 +8,7 @@ from __future__ import annotations
 from moundlens.checks.fixture import FIXTURE_CTES
 from moundlens.schema import (
     FASTBALL_FEATURES, DIFF_FEATURES, LEAGUE_AVERAGE_COLUMNS, LEAGUE_AVERAGES, PITCH_COLUMNS,
+    SCORED_COLUMNS,
 )
 
 _ORACLES: dict[str, str] = {}
@@ -297,10 +298,9 @@ ready AS (
     AND RelHeight IS NOT NULL AND RelSide IS NOT NULL AND Extension IS NOT NULL
     AND SpinAxis IS NOT NULL AND PitcherThrows IS NOT NULL)"""
 _READY_CTES = (_PIPELINE, _BASELINE, _BASED, _READY)
-_KEYS14 = (
-    "RelSpeed HB_adjusted InducedVertBreak SpinRate SpinAxis RelSide_adjusted RelHeight Extension "
-    "PlateLocHeight PlateLocSide PlatoonAdv Balls Strikes m_swing"
-).split()
+_KEYS14 = tuple(
+    "m_swing" if c == "is_Swing" else c for c in SCORED_COLUMNS if c != "xSwing_Pred"
+)
 _sql(
     "natural_join_nullsafe",
     f"""SELECT b.PitchUID, b.Pitcher, b.Batter, b.SpinRate, b.m_swing AS is_Swing, a.xSwing_Pred,
