@@ -23,11 +23,13 @@ everywhere keeps the join exact; rarity only keeps candidate lists short.
 Defined cases: a null text has no lines and stays null; lines with fewer than five words match
 nothing; ids may repeat, and rows with the same id never precede one another; rows without an id
 come last and never cost another row a line; the rest of the columns pass through.
+
+`dedup_texts` is the same join over whole documents: each text is one line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +56,15 @@ ADDED = [
 
 
 class Rows:
-    """The texts of one block and where their lines begin."""
+    """The texts of one block and where their lines begin; `whole`: a text is a single line."""
 
-    def __init__(self, batch: pa.RecordBatch, text_at: int):
+    def __init__(self, batch: pa.RecordBatch, text_at: int, whole: bool = False):
         self.batch = batch
         self.data, offsets = texts(batch.column(text_at))
+        if whole:
+            self.offsets, self.first_line = offsets, np.arange(len(offsets))
+            self.row = self.first_line[:-1]
+            return
         breaks = np.flatnonzero(self.data == 10)
         start = np.sort(np.r_[offsets[:-1], breaks + 1])
         self.offsets = np.r_[start, len(self.data)]
@@ -68,15 +74,27 @@ class Rows:
 
 
 class Sets:
-    """The token sets of lines, each in the order of rarity; lines without tokens are left out."""
+    """The token sets of lines, each in the order of rarity; lines without tokens are left out.
+
+    `whole`: a text of fewer words than a shingle has one token, all its words (or that it has none).
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, weight: np.ndarray, whole: bool = False):
         found = words(LOWER[data], offsets, NOT_BLANK)
         starts = window_starts(found.first, SHINGLE)
         line = np.searchsorted(found.first, starts, side="right") - 1
         rarity = np.r_[0, np.cumsum(weight[found.digest & np.uint64(COUNTERS - 1)])]
-        rarity = (rarity[starts + SHINGLE] - rarity[starts]).astype(np.uint64)
-        token = (rarity << np.uint64(48)) | (windows(found.digest, SHINGLE)[starts] >> np.uint64(16))
+
+        def tokens(starts: np.ndarray, size: int) -> np.ndarray:
+            rare = (rarity[starts + size] - rarity[starts]).astype(np.uint64)
+            return (rare << np.uint64(48)) | (windows(found.digest, size)[starts] >> np.uint64(16))
+
+        token = tokens(starts, SHINGLE)
+        if whole:
+            short = [np.flatnonzero(found.counts == k) for k in range(SHINGLE)]
+            some = [tokens(found.first[at], k) for k, at in enumerate(short) if k]
+            token = np.concatenate([token, np.zeros(len(short[0]), np.uint64), *some])
+            line = np.concatenate([line, *short])
         order = _by_line(line, token)
         token, line = token[order], line[order]
         new = np.r_[True, (token[1:] != token[:-1]) | (line[1:] != line[:-1])][: len(token)]
@@ -106,7 +124,7 @@ class Sets:
 
 def _by_line(line: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Order by line, then token: one sort of packed keys, unless two tokens of a line tie in it."""
-    if not len(line) or line[-1] >= 1 << 20:
+    if not len(line) or line.max() >= 1 << 20:
         return np.lexsort((token, line))
     key = (line.astype(np.uint64) << np.uint64(44)) | (token >> np.uint64(20))
     order = np.argsort(key)
@@ -161,13 +179,14 @@ def _unpacked(data, kinds) -> dict[str, np.ndarray]:
     return {n: np.frombuffer(c[0].as_buffer(), kind) for c, (n, kind) in zip(row.columns, kinds, strict=True)}
 
 
-def _signature(rows: Rows, ids: np.ndarray, weight: np.ndarray) -> tuple[bytes, bytes]:
+def _signature(rows: Rows, ids: np.ndarray, weight: np.ndarray, whole: bool) -> tuple[bytes, bytes]:
     """(all lines with tokens; one line of each class with its prefix tokens)."""
-    sets = Sets(rows.data, rows.offsets, weight)
+    sets = Sets(rows.data, rows.offsets, weight, whole)
     line, owner = sets.lines.astype(np.int64), ids[rows.row[sets.lines]]
     gone = np.zeros(len(line), bool)
     which, token, place = sets.prefixes()
-    _same_row(rows, sets, which, token, place, gone)
+    if not whole:
+        _same_row(rows, sets, which, token, place, gone)
     gone = gone.astype(np.int64)
     order = np.lexsort((line, owner, sets.names))
     named = sets.names[order]
@@ -280,30 +299,73 @@ def _candidates(group: pa.Table, limit: int | None) -> pa.Table:
     return pa.table([*sides, cut], schema=_PAIR_ARROW)
 
 
-def _verified(table: DataFrame, pairs: DataFrame, text_at: int, weight) -> DataFrame:
+def _sketch(token: np.ndarray) -> bytes:
+    """Parities of a set: every token flips one of as many bits as the next power of two of its size."""
+    bits = 1 << max(6, (len(token) - 1).bit_length())
+    at = (mix(token) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _may_match(a: bytes, b: bytes, both: int) -> bool:
+    """The bitmap filter on sketches; the longer one is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    top, bottom = THRESHOLD
+    return (both - int(np.bitwise_count(x ^ y).sum())) * (top + bottom) >= 2 * top * both
+
+
+def _sketched(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The pairs whose sketches do not rule them out."""
+    arrow = to_arrow_schema(pairs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(x).to_pylist() for x in ("a", "b", "n", "m"))
+            both = (x + y for x, y in zip(n, m, strict=True))
+            keep = pa.array([_may_match(*x) for x in zip(a, b, both, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(arrow)], schema=arrow).filter(keep)
+
+    mine, theirs = drawn.toDF("block", "line", "a", "n"), drawn.toDF("other_block", "other_line", "b", "m")
+    both = pairs.join(mine, ["block", "line"]).join(theirs, ["other_block", "other_line"])
+    return both.select(*pairs.columns, "a", "b", "n", "m").mapInArrow(run, pairs.schema)
+
+
+def _verified(table: DataFrame, pairs: DataFrame, text_at: int, weight, whole: bool) -> DataFrame:
     """(block, name) of the asking classes that match one of their candidates."""
     asking = ["block", "line", "name"]
     pairs = pairs.groupBy(*asking, "other").agg(F.min(F.struct("other_block", "other_line")).alias("o"))
     pairs = durable(pairs.select(*asking, "other", "o.*"), "line-pairs")
-    other = pairs.select(F.col("other_block").alias("block"), F.col("other_line").alias("line"))
-    wanted = pairs.select("block", "line").union(other).distinct()
-    schema = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-
-    def sets(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows or not left.num_rows:
-            return schema.empty_table()
-        rows = Rows(blocks.unpack(left.column("data")[0].as_buffer()), text_at)
-        line = np.sort(right.column("line").to_numpy())
-        size = rows.offsets[line + 1] - rows.offsets[line]
-        offsets = np.r_[0, np.cumsum(size)]
-        pieces = [rows.data[rows.offsets[k] : rows.offsets[k + 1]] for k in line.tolist()]
-        found = Sets(np.concatenate(pieces), offsets, weight.value)
-        tokens = pa.ListArray.from_arrays(pa.array(found.begin, pa.int32()), pa.array(found.token.view(np.int64)))
-        block = np.full(len(found.lines), left.column("block")[0].as_py())
-        return pa.table([block, line[found.lines], tokens], schema=schema)
-
-    found = blocks.with_answers(table, wanted, sets, "block long, line long, tokens array<long>")
-    found = durable(found, "line-sets")
+
+    def read(sketch: bool) -> DataFrame:
+        """(block, line, tokens) of the lines of all pairs, or (block, line, sketch, size)."""
+        other = pairs.select(F.col("other_block").alias("block"), F.col("other_line").alias("line"))
+        wanted = pairs.select("block", "line").union(other).distinct()
+        kinds = [("sketch", pa.binary()), ("size", pa.int64())] if sketch else [("tokens", pa.list_(pa.int64()))]
+        schema = pa.schema([("block", pa.int64()), ("line", pa.int64()), *kinds])
+
+        def sets(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not right.num_rows or not left.num_rows:
+                return schema.empty_table()
+            rows = Rows(blocks.unpack(left.column("data")[0].as_buffer()), text_at, whole)
+            line = np.sort(right.column("line").to_numpy())
+            size = rows.offsets[line + 1] - rows.offsets[line]
+            offsets = np.r_[0, np.cumsum(size)]
+            pieces = [rows.data[rows.offsets[k] : rows.offsets[k + 1]] for k in line.tolist()]
+            found = Sets(np.concatenate(pieces), offsets, weight.value, whole)
+            block = np.full(len(found.lines), left.column("block")[0].as_py())
+            if sketch:
+                drawn = [_sketch(found.tokens(k)) for k in range(len(found.lines))]
+                return pa.table([block, line[found.lines], drawn, found.size], schema=schema)
+            tokens = pa.ListArray.from_arrays(pa.array(found.begin, pa.int32()), pa.array(found.token.view(np.int64)))
+            return pa.table([block, line[found.lines], tokens], schema=schema)
+
+        named = "sketch binary, size long" if sketch else "tokens array<long>"
+        return durable(blocks.with_answers(table, wanted, sets, f"block long, line long, {named}"), "line-sets")
+
+    if whole:  # 128 bits tell nothing of sets of hundreds of tokens
+        pairs = durable(_sketched(pairs, read(sketch=True)), "line-pairs-left")
+    found = read(sketch=False)
     top, bottom = THRESHOLD
     mine = found.withColumnRenamed("tokens", "a")
     theirs = found.toDF("other_block", "other_line", "b")
@@ -321,7 +383,42 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """The documents' columns, then the three of ADDED (the last three columns by position)."""
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     names = [*docs.columns, *(f.name for f in ADDED)]
+    schema = T.StructType([*numbered(docs).schema.fields, *ADDED])
+    arrow = to_arrow_schema(schema)
+
+    def cut(rows: Rows, removed: np.ndarray) -> pa.RecordBatch:
+        return _result(rows, removed, text_at, arrow)
+
+    return _searched(numbered(docs), id_at, text_at, False, cut, schema).toDF(*names)
+
+
+def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose whole text matches no earlier one: the join of lines, a text being one line.
+
+    Texts of fewer than five words match equal texts, and texts without words each other. Unlike
+    lines, rows that share an id or have none do precede one another, in any order.
+    """
+    names, fields = docs.columns, numbered(docs).schema
+    id_at, text_at = names.index(id_col), names.index(text_col)
     docs = numbered(docs)
+    owner, place = F.col(f"c{id_at}"), f"c{len(names)}"
+    order, owner_at = docs, id_at
+    if not docs.groupBy(owner).count().where((F.col("count") > 1) | owner.isNull()).isEmpty():
+        order = docs.orderBy(owner.asc_nulls_last(), F.xxhash64(f"c{text_at}"))
+        order = durable(order.withColumn(place, F.monotonically_increasing_id()), "text-order")
+        owner_at = len(names)
+
+    def keep(rows: Rows, removed: np.ndarray) -> pa.RecordBatch:
+        stay = np.ones(rows.batch.num_rows, bool)
+        stay[removed] = False
+        batch = rows.batch.filter(pa.array(stay))
+        return pa.RecordBatch.from_arrays(batch.columns[: len(fields)], schema=to_arrow_schema(fields))
+
+    return _searched(order, owner_at, text_at, True, keep, fields).toDF(*names)
+
+
+def _searched(docs: DataFrame, id_at: int, text_at: int, whole: bool, cut: Callable[[Rows, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """What `cut` makes of every block and its lines that match an earlier one."""
     table = blocks.pack(docs, "line-blocks")
     counts = _frequencies(table, text_at)
     weight = np.floor(np.log2(np.maximum(counts, 1)) * 16).astype(np.int64)
@@ -332,7 +429,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             for block, data in zip(batch.column("block"), batch.column("data"), strict=True):
                 held = blocks.unpack(data.as_buffer())
-                signed = _signature(Rows(held, text_at), blocks.owners(held.column(id_at)), weight.value)
+                signed = _signature(Rows(held, text_at, whole), blocks.owners(held.column(id_at)), weight.value, whole)
                 yield pa.record_batch([[block.as_py()], [signed[0]], [signed[1]]], _SIGNED_ARROW)
 
     signed = durable(table.mapInArrow(sign, _SIGNED), "line-signatures")
@@ -355,7 +452,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         entries = blocks.with_answers(ask, told, lambda a, b: _entries(a, b, parts, limit is None), _ENTRIES)
         pairs = entries.groupBy("part").applyInArrow(lambda g: _candidates(g, limit), _PAIR)
         pairs = durable(pairs, f"{name}-candidates")
-        return pairs, durable(_verified(table, pairs, text_at, weight), f"{name}-matches")
+        return pairs, durable(_verified(table, pairs, text_at, weight, whole), f"{name}-matches")
 
     early, near = met(told, FIRST, "line")
     open_ = early.where("cut").select(*asking).distinct().join(near, asking, "left_anti")
@@ -367,11 +464,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     by_name = near.select("block", F.lit(1).alias("kind"), F.col("name").cast("string").cast("binary").alias("keys"), nothing.alias("low"))
     by_block = signed.select("block", F.lit(2), "lines", nothing)
     gone = same.select("block", F.lit(0).alias("kind"), "keys", "low").union(by_name).union(by_block)
-    schema = T.StructType([*docs.schema.fields, *ADDED])
-    arrow = to_arrow_schema(schema)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = Rows(blocks.unpack(left.column("data")[0].as_buffer()), text_at)
+        rows = Rows(blocks.unpack(left.column("data")[0].as_buffer()), text_at, whole)
         kind = right.column("kind").to_numpy()
         of = [right.filter(pa.array(kind == k)) for k in range(3)]
         found = _unpacked(of[2].column("keys")[0].as_buffer(), _LINE)
@@ -383,9 +478,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         removed[hit] |= low[order][at[hit]] < found["owner"][hit]
         near_ = np.array([int(x) for x in of[1].column("keys").to_pylist()], np.int64)
         removed |= np.isin(found["name"], near_.view(np.uint64))
-        return pa.Table.from_batches([_result(rows, found["line"][removed], text_at, arrow)])
+        return pa.Table.from_batches([cut(rows, found["line"][removed])])
 
-    return blocks.with_answers(table, gone, finish, schema).toDF(*names)
+    return blocks.with_answers(table, gone, finish, schema)
 
 
 def _entries(left: pa.Table, right: pa.Table, parts: int, late: bool) -> pa.Table:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -127,6 +128,61 @@ def test_lines(monkeypatch, docs, odd, empty, tight):
     assert lines.find(empty).count() == 0
 
 
+def shingles(text):
+    w = brute.WORD.findall(brute.low(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def alike(a, b):
+    return 9 * len(a & b) >= 4 * (len(a) + len(b))
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_whole_texts(monkeypatch, docs, odd, empty, tight):
+    if tight:
+        for name, value in {"FIRST": 1, "LIST": 10, "_SHORT": 2, "_STRIDE": 3}.items():
+            monkeypatch.setattr(lines, name, value)
+    found = lines.dedup_texts(docs)
+    assert found.columns == docs.columns and lines.dedup_texts(empty).count() == 0
+    rows = [tuple(r) for r in found.collect()]
+    stay, sets = {r[0] for r in rows}, [shingles(r[2]) for r in odd]
+    assert set(rows) <= set(odd) and len(stay) == len(rows)
+    assert not any(alike(sets[a], sets[b]) for a in stay for b in stay if a < b)
+
+    def place(k):
+        return odd[k][1] is None, odd[k][1] or 0
+
+    for k in set(range(len(odd))) - stay:
+        assert any(j != k and place(j) <= place(k) and alike(sets[j], sets[k]) for j in range(len(odd)))
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_near_copies_beyond_two_bits_go(monkeypatch, spark, tight):
+    import corpus_pipeline
+
+    if tight:
+        for name, value in {"FIRST": 1, "LIST": 10, "_SHORT": 2, "_STRIDE": 3}.items():
+            monkeypatch.setattr(lines, name, value)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = words(rng, rng.randint(40, 400), 5000).split()
+        texts.append(" ".join(base))
+        for _ in range(6):  # each changed word costs five shingles
+            other = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(1, max(1, len(base) // 40))):
+                other[at] = "new"
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    want = {k for k in range(len(texts)) if not any(alike(sets[j], sets[k]) for j in range(k))}
+    prints = [brute.fingerprint(t, 5) for t in texts]
+    far = [k for k in set(range(len(texts))) - want if all((prints[j] ^ prints[k]).bit_count() > 2 for j in range(len(texts)) if j != k)]
+    assert far  # texts that no fingerprint within two bits would find
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, made, SMALL).collect()} == want
+
+
 @pytest.mark.parametrize("tight", [False, True])
 def test_simhash(monkeypatch, docs, odd, empty, tight):
     if tight:
@@ -316,3 +372,18 @@ def test_licenses(spark, docs, odd, empty):
     assert all([tuple(m) for m in got[k + 1][0]] == plain(t) for k, t in enumerate(texts))
     assert got[0][0] == [] and sum(len(v[0]) for v in got.values()) > 100
     assert licenses.scan(docs).count() == len(odd) and licenses.scan(empty).count() == 0
+
+
+def test_sketches_never_rule_out_a_match():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 600))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        may = lines._may_match(lines._sketch(a), lines._sketch(b), len(a) + len(b))
+        assert may or not lines.matches(a, b)
+        other = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        ruled_out += not lines._may_match(lines._sketch(a), lines._sketch(other), len(a) + n)
+    assert ruled_out > 1900
