@@ -79,15 +79,19 @@ def sink_csv(log):
 @_query
 def model_roundtrip(log):
     ready = _ready(log)
-    model = swing_models.train_swing(ready, "Offspeed", rounds=2, seed=SEED)
-    path = fresh_path(log.sparkSession, "model")
-    swing_models.save_model(model, path)
-    first = swing_models.score_class(ready, model, "Offspeed")
-    again = swing_models.score_class(
-        first.withColumnRenamed("xSwing_Pred", "before"), swing_models.load_model(path), "Offspeed"
-    )
-    return again.agg(
-        F.count(F.lit(1)).alias("scored"),
+    parts = []
+    for name in SWING_CLASSES:
+        model = swing_models.train_swing(ready, name, seed=SEED)
+        path = fresh_path(log.sparkSession, "model")
+        swing_models.save_model(model, path)
+        first = swing_models.score_class(ready, model, name)
+        again = swing_models.score_class(
+            first.withColumnRenamed("xSwing_Pred", "before"), swing_models.load_model(path), name
+        )
+        parts.append(again.select("before", "xSwing_Pred", F.lit(name).alias("swing_class")))
+    # all three classes count for the change; `scored` has always been the offspeed pitches
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(
+        F.count(F.when(F.col("swing_class") == "Offspeed", 1)).alias("scored"),
         F.max(F.abs(F.col("xSwing_Pred") - F.col("before"))).alias("max_change"),
     )
 
@@ -859,7 +863,7 @@ def roc_curve(log):
 
 @_query
 def train_swing_model(log):
-    _, held_out = swing_models.train_all(swing.model_ready(log), rounds=5, seed=SEED)
+    _, held_out = swing_models.train_all(swing.model_ready(log), seed=SEED)
     held_out = held_out.select("swing_class", "is_Swing", "xSwing_Pred")
     parts = [
         roc.auc(held_out.where(F.col("swing_class") == name)).withColumn("swing_class", F.lit(name))
@@ -872,7 +876,7 @@ def train_swing_model(log):
 def score_swing(log):
     ready = _ready(log)
     models = {
-        name: swing_models.train_swing(ready, name, rounds=3, seed=SEED) for name in SWING_CLASSES
+        name: swing_models.train_swing(ready, name, seed=SEED) for name in SWING_CLASSES
     }
     scored = swing_models.score_swing(ready, models)
     return scored.select("PitchUID", "TaggedPitchType", "is_Swing", "xSwing_Pred")
@@ -884,8 +888,7 @@ def feature_selection(log):
     parts = []
     for name, (_, features) in SWING_CLASSES.items():
         chosen = selection.select_features(
-            swing.feature_set(ready, name), "is_Swing", features, max_runs=12, trees=20, depth=4,
-            seed=SEED,
+            swing.feature_set(ready, name), "is_Swing", features, seed=SEED
         )
         parts.append(chosen.withColumn("swing_class", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from conftest import as_set
+from conftest import SMALL, as_set
 from moundlens.plans import roc, selection, swing, swing_models
 from moundlens.schema import SWING_CLASSES
 
@@ -82,3 +82,38 @@ def test_shadow_copies_keep_values_and_move_rows(spark):
     rows = selection._with_shadows(df, {"shadow_0": "v"}, 50, Random(1)).collect()
     assert sorted(r["shadow_0"] for r in rows) == [float(i) for i in range(50)]
     assert all(r["shadow_0"] != r["v"] for r in rows)
+
+
+class Called(Exception):
+    pass
+
+
+def test_registered_queries_run_the_defaults(spark, monkeypatch):
+    from moundlens.checks import queries
+
+    def caught(name, module, function):
+        seen = []
+
+        def run(*args, **options):
+            seen.append((args[1:], options))
+            raise Called
+
+        with monkeypatch.context() as patch:
+            patch.setattr(module, function, run)
+            with pytest.raises(Called):
+                queries.all_queries()[name](spark, SMALL)
+        return seen[0][1]
+
+    assert set(caught("train_swing_model", swing_models, "train_all")) == {"seed"}
+    assert set(caught("score_swing", swing_models, "train_swing")) == {"seed"}
+    assert set(caught("model_roundtrip", swing_models, "train_swing")) == {"seed"}
+    assert set(caught("feature_selection", selection, "select_features")) == {"seed"}
+
+
+def test_roundtrip_saves_all_classes(spark, monkeypatch):
+    from moundlens.checks import queries
+
+    train, saved = swing_models.train_swing, []
+    monkeypatch.setattr(swing_models, "train_swing", lambda df, name, seed: saved.append(name) or train(df, name, rounds=1, seed=seed))
+    row = queries.all_queries()["model_roundtrip"](spark, SMALL).first()
+    assert saved == list(swing_models.SWING_CLASSES) and row.scored > 0 and row.max_change == 0
