@@ -176,10 +176,83 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS li
 FROM documents LEFT JOIN told USING (doc_id)
 """
 
+DIVERGENCE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), grps AS (SELECT DISTINCT lang, source FROM docs),
+toks AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS l FROM toks GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+own AS (SELECT lang, source, term, count(*) AS c FROM toks GROUP BY ALL),
+langs AS (SELECT lang, sum(l) AS nl, count(*) AS v FROM kept GROUP BY lang),
+cnt AS (
+  SELECT g.lang, g.source, k.term, k.l, coalesce(o.c, 0) AS c
+  FROM grps g JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), sized AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n FROM cnt),
+shares AS (
+  SELECT lang, source, term, c, (1 + 1000000000::HUGEINT * (c + 1) // (n + v)::HUGEINT)::BIGINT AS p,
+    (1 + 1000000000::HUGEINT * (l + 1) // (nl + v)::HUGEINT)::BIGINT AS q
+  FROM sized JOIN langs USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p)::HUGEINT * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), ranked AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value,
+    row_number() OVER (PARTITION BY a.lang, a.source ORDER BY coalesce(p.value, 0) DESC, b.source)::INTEGER AS rank
+  FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q)::HUGEINT * (p - q)) // q)::BIGINT AS f,
+    row_number() OVER (PARTITION BY lang, source ORDER BY ((p - q)::HUGEINT * (p - q)) // q DESC, term)::INTEGER
+  FROM shares WHERE c > 0 AND p > q
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+_BLANK_WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+INTERACTION = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+rules AS (
+  SELECT doc_id, part, len({_BLANK_WORDS}) < 200 AS a,
+    100 * len(list_distinct({_BLANK_WORDS})) < 50 * len({_BLANK_WORDS}) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e
+  FROM texts
+), told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+    count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+  FROM rules LEFT JOIN told USING (doc_id) GROUP BY ALL
+), letters AS (SELECT unnest(range(5)) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT o, step, o[step] AS f, list_sum(list_transform(o[1:step], lambda k: 1 << k))::INT AS after
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+), counted AS (
+  SELECT part, o, step, f,
+    sum(CASE WHEN mask & after = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & after = 1 << f THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask >> f & 1 = 1 AND mask & after <> 1 << f THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = 1 << f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & after = 1 << f THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & after = 1 << f THEN bad ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(o, lambda k: chr(65 + k::INT)), '') AS filter_order, step,
+  kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
 ORACLES: dict[str, str] = {
     "op2_licenses": LICENSES,
     "op4_decontaminate": DECONTAMINATE,
     "op5_chat": CHAT,
     "op6_line_dedup": LINE_DEDUP,
     "op10_substring_dedup": SUBSTRING_DEDUP,
+    "op12_source_divergence": DIVERGENCE,
+    "op13_filter_interaction": INTERACTION,
 }

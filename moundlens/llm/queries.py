@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from moundlens.llm.bpe import op3_bpe
 from moundlens.llm.chat import op5_chat
 from moundlens.llm.decontaminate import op4_decontaminate
+from moundlens.llm.divergence import op12_source_divergence
+from moundlens.llm.interaction import op13_filter_interaction
 from moundlens.llm.licenses import op2_licenses
 from moundlens.llm.lines import op6_line_dedup
 from moundlens.llm.oracles import ORACLES
@@ -33,5 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_sharding,
         op10_substring_dedup,
+        op12_source_divergence,
+        op13_filter_interaction,
     )
 }
