@@ -14,6 +14,7 @@ from moundlens.llm.interaction import op13_filter_interaction
 from moundlens.llm.licenses import op2_licenses
 from moundlens.llm.lines import op6_line_dedup
 from moundlens.llm.oracles import ORACLES
+from moundlens.llm.packing import op11_packing
 from moundlens.llm.quality import op7_quality
 from moundlens.llm.sharding import op9_sharding
 from moundlens.llm.simhash import op1_simhash
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_sharding,
         op10_substring_dedup,
+        op11_packing,
         op12_source_divergence,
         op13_filter_interaction,
     )
