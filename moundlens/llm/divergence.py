@@ -67,8 +67,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
             terms = list(often)
             yield pa.record_batch(
                 [
-                    pa.array([lang] * len(terms)),
-                    pa.array([source] * len(terms)),
+                    pa.array([lang] * len(terms), pa.string()),
+                    pa.array([source] * len(terms), pa.string()),
                     pa.array(terms, pa.binary()).cast(pa.string()),
                     pa.array(list(often.values()), pa.int64()),
                     pa.array(list(map(holding.__getitem__, terms)), pa.int64()),
@@ -140,7 +140,7 @@ def _standing_out(terms: DataFrame, sizes: DataFrame) -> DataFrame:
     """Part `term`: the first terms of every group by f against the language."""
     flat = terms.select("lang", "term", "l", F.explode("by").alias("s")).select("lang", "s.source", "term", F.col("s.c").alias("c"), "l")
     cell = flat.groupBy("lang", "source", "c", "l").agg(F.count(F.lit(1)).alias("m"))
-    known = cell.join(sizes, ["lang", "source"])
+    known = join_group_table(cell, sizes, ["lang", "source"], F.xxhash64("c", "l"))
     p, q = _share(F.col("c"), F.col("n"), F.col("v")), _share(F.col("l"), F.col("nl"), F.col("v"))
     valued = known.select("lang", "source", "c", "l", "m", p.alias("p"), q.alias("q")).where("p > q")
     valued = durable(valued.select("lang", "source", "c", "l", "m", _apart(F.col("p"), F.col("q")).alias("value")), "divergence-cells")
@@ -150,8 +150,7 @@ def _standing_out(terms: DataFrame, sizes: DataFrame) -> DataFrame:
     upto = F.sum("m").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     merged = merged.withColumn("before", upto - F.col("m")).where(F.col("before") < TOP)
     chosen = valued.join(merged.select("lang", "source", "value"), ["lang", "source", "value"])
-    hashed = F.xxhash64("term")
-    terms_of = join_group_table(flat, chosen, ["lang", "source", "c", "l"], hashed, weight="m")
+    terms_of = join_group_table(flat, chosen, ["lang", "source", "c", "l"], F.xxhash64("term"), weight="m")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")
     ranked = terms_of.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
     return ranked.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")

@@ -17,9 +17,6 @@ and so at most 4 T runs, whatever the number of documents: that is all the drive
 the result is that of packing all pieces of all documents one by one. Spark numbers the pieces of
 each length (a count per task and length, running sums over the tasks) and looks up their places.
 
-Words are looked up in a worker's table of known words; the tokenizer itself, which drops blanks
-and treats what lies between them independently, only sees new ones.
-
 Defined cases: null and empty texts are a piece of the end mark alone. Repeated rows and ids are
 packed each. A text of any length is walked in stretches that end at a blank. An empty table has no
 pieces. All columns but the text are carried along, by position, so names may clash.
@@ -27,7 +24,10 @@ pieces. All columns but the text are carried along, by position, so names may cl
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,17 +35,21 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from moundlens.llm.bpe import _byte_of_char
 from moundlens.llm.common import durable, numbered, pick, read_table
 
 END = 1
+# The pattern by which tokenizers with word ends cut their normal form, as their files hold it.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STRETCH = 1 << 20  # bytes of a text split into words at a time
-WORD_BYTES = 64  # longer words are not remembered
+WORD_BYTES = 64  # longer words are forgotten at once
 CACHED = 300_000  # words a worker remembers; beyond that it starts afresh
 ROWS = 200  # rows handed on together
 
@@ -75,42 +79,122 @@ class Limits:
 
 # ---- tokens
 
+_MARK = "\x01"  # ends a word inside the merging engine; no plain word holds it
+# characters whose class is beyond doubt, as they come and in normal form
+_RAW = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
+_PLAIN = re.compile("[\x21-\x7e\xdf-\xf6\xf8-\u017f]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
+
 
 class WordEncoder:
-    """Token ids of whole texts by looking up their words."""
+    """Token ids of whole texts by looking up their words.
+
+    The tokenizer separates at blanks and cuts words into parts that it merges by themselves. Words
+    not met before are put into the tokenizer's normal form; plain ones, of printable ASCII and
+    European letters, are cut here and merged by tiktoken, which is given the merges with the end of
+    a word as a byte of its own. That merges alike if every token is what its own bytes merge to,
+    which `check` holds against the file. All other words go to the tokenizers library.
+    """
 
     def __init__(self, path: str):
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        if self.library.encode("a \t\n\x0b\x0c\r b", add_special_tokens=False).ids != self._ids(["a", "b"]):
-            raise ValueError("blanks are not mere separators in this tokenizer")
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model = spec["model"]
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        if model["end_of_word_suffix"] != "</w>" or split["pattern"]["Regex"] != PARTS:
+            raise ValueError("only tokenizer files that mark word ends by </w> and cut words as expected")
+        byte = _byte_of_char()
+
+        def raw(token: str) -> bytes:
+            ended = token.endswith("</w>")
+            return bytes(byte[c] for c in (token[:-4] if ended else token)) + _MARK.encode() * ended
+
+        # a byte at the end of a word comes first: there it is a symbol of its own from the start
+        single = [c for c, b in byte.items() if b != 1]
+        order = [c + "</w>" for c in single] + single
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        joint = [a + b for a, b in merges]
+        ranks = {raw(t): k for k, t in enumerate(order + joint)}
+        if len(ranks) != len(order) + len(joint):
+            raise ValueError("two merges make the same token")
+        self.merges, self.joint = merges, joint
+        self.ids = np.array([model["vocab"][t] for t in order + joint] + [0], np.uint32)
+        self.ends = np.array([t.endswith("</w>") for t in order + joint] + [False])
+        self.engine = tiktoken.Encoding(
+            "words", pat_str=f"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks | {b"\x01": len(ranks)}, special_tokens={}
+        )
         self.cache: dict[bytes, bytes] = {}
 
-    def _ids(self, parts: list[str]) -> list[int]:
-        return [i for e in self.library.encode_batch_fast(parts, add_special_tokens=False) for i in e.ids]
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; the short ones are remembered."""
-        if len(self.cache) + len(words) > CACHED:
+    def check(self) -> None:
+        """Every token is made by the merges that come before it from its own bytes."""
+        rank = {tuple(pair): k for k, pair in enumerate(self.merges)}
+        for token in self.joint:
+            ended = token.endswith("</w>")
+            some = list(token[:-4] if ended else token)
+            some[-1] += "</w>" * ended
+            while len(some) > 1:
+                found = [rank.get(pair, len(rank)) for pair in zip(some, some[1:], strict=False)]
+                best = min(found)
+                if best == len(rank):
+                    raise ValueError(f"token {token!r} is not what its bytes merge to")
+                k = found.index(best)
+                some[k : k + 2] = [self.joint[best]]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Puts the ids of new words into the cache."""
+        text = [w.decode() for w in words]
+        raw = [k for k, x in enumerate(text) if _RAW.fullmatch(x) and "<|" not in x]  # no other blanks, no marks
+        normal = self.library.normalizer.normalize_str(" ".join([text[k] for k in raw])).split(" ") if raw else []
+        plain = [(words[k], _PARTS.findall(x)) for k, x in zip(raw, normal, strict=True) if _PLAIN.fullmatch(x)]
+        done = dict(zip([w for w, _ in plain], self._merged([x for _, x in plain]), strict=True))
+        self.cache.update(done)
+        if rest := [(w, x) for w, x in zip(words, text, strict=True) if w not in done]:
+            found = self.library.encode_batch_fast([x for _, x in rest], add_special_tokens=False)
+            self.cache.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for (w, _), e in zip(rest, found, strict=True))
+
+    def _merged(self, words: list[list[str]]) -> Iterator[bytes]:
+        flat = "".join(x + _MARK for parts in words for x in parts)
+        found = np.array(self.engine.encode_ordinary(flat), np.int64)
+        stop = np.r_[0, np.flatnonzero(self.ends[found]) + 1]
+        upto = stop[np.cumsum([0, *map(len, words)])] * 4
+        ids = self.ids[found].astype("<u4").tobytes()
+        return (ids[a:b] for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            data = text.encode()
+            if len(data) > STRETCH:
+                yield from self._encode(group)
+                group, size = [], 0
+                yield b"".join(x for part in _stretches(data) for x in self._encode([part]))
+                continue
+            group.append(data)
+            size += len(data)
+            if size > STRETCH:
+                yield from self._encode(group)
+                group, size = [], 0
+        yield from self._encode(group)
+
+    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        cut = [x.split() for x in texts]  # at the six ASCII blanks
+        distinct = set().union(*cut)
+        new = [w for w in distinct if w not in self.cache]
+        if len(self.cache) + len(new) > CACHED:
             self.cache.clear()
-        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        packed = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, found, strict=True)}
-        self.cache.update((w, ids) for w, ids in packed.items() if len(w) <= WORD_BYTES)
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        out = []
-        for part in _stretches(text.encode()):
-            words = part.split()  # the six ASCII blanks
-            if new := [w for w in set(words) if w not in self.cache]:
-                known = self._learn(new)
-                get = self.cache.get
-                out.extend(ids if (ids := get(w)) is not None else known[w] if w in known else self._learn([w])[w] for w in words)
-            else:
-                out.extend(map(self.cache.__getitem__, words))
-        return b"".join(out)
+            new = list(distinct)
+        if new:
+            self._learn(new)
+        for words in cut:
+            yield b"".join(map(self.cache.__getitem__, words))
+        for w in new:
+            if len(w) > WORD_BYTES:
+                del self.cache[w]
 
 
 def _stretches(data: bytes) -> Iterator[bytes]:
@@ -144,8 +228,7 @@ ADDED = [
 def pieces(docs: DataFrame, path: str, longest: int, text_col: str = "text") -> DataFrame:
     """Durable table of the documents' other columns c0, c1, ... and of each piece: its number, first
     token, length, ids and their CRC-32, and its place among the equally long ones of its task."""
-    import zlib
-
+    word_encoder(path).check()
     at = docs.columns.index(text_col)
     docs = numbered(docs)
     kept = [k for k in range(len(docs.columns)) if k != at]
@@ -164,8 +247,8 @@ def pieces(docs: DataFrame, path: str, longest: int, text_col: str = "text") ->
             for lo in range(0, batch.num_rows, ROWS):
                 some = batch.slice(lo, ROWS)
                 row, made = [], []
-                for k, text in enumerate(some.column(at)):
-                    for piece, ids in cut(known.encode(text.as_py() or "") + end):
+                for k, found in enumerate(known.encode(x.as_py() or "" for x in some.column(at))):
+                    for piece, ids in cut(found + end):
                         n = len(ids) // 4
                         row.append(k)
                         made.append((piece, piece * longest, n, ids, zlib.crc32(ids), part, int(seen[n])))
