@@ -43,14 +43,14 @@ from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from moundlens.llm.bpe import _byte_of_char
-from moundlens.llm.common import durable, numbered, pick, read_table
+from moundlens.llm.common import durable, numbered, pick, read_table, tidy
 
 END = 1
 # The pattern by which tokenizers with word ends cut their normal form, as their files hold it.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-STRETCH = 1 << 20  # bytes of a text split into words at a time
+STRETCH = 1 << 18  # bytes of text split into words at a time
 WORD_BYTES = 64  # longer words are forgotten at once
-CACHED = 300_000  # words a worker remembers; beyond that it starts afresh
+CACHED = 500_000  # words a worker remembers; beyond that it starts afresh
 ROWS = 200  # rows handed on together
 
 
@@ -83,6 +83,7 @@ _MARK = "\x01"  # ends a word inside the merging engine; no plain word holds it
 # characters whose class is beyond doubt, as they come and in normal form
 _RAW = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
 _PLAIN = re.compile("[\x21-\x7e\xdf-\xf6\xf8-\u017f]+")
+_STOPS = (b",", b".", b";", b":", b"!", b"?", b"|")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
 
 
@@ -145,23 +146,37 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Puts the ids of new words into the cache."""
-        text = [w.decode() for w in words]
+        plain, parts, sizes, other = [], [], [], []  # words, their parts with marks, how many parts
+        for w in words:
+            if w.isalpha():  # ASCII letters alone
+                plain.append(w)
+                parts.append(w.lower().decode() + _MARK)
+                sizes.append(1)
+            elif (last := w[-1:]) in _STOPS and (body := w[:-1]).isalpha():
+                plain.append(w)
+                parts.append(f"{body.lower().decode()}{_MARK}{last.decode()}{_MARK}")
+                sizes.append(2)
+            else:
+                other.append(w)
+        text = [w.decode() for w in other]
         raw = [k for k, x in enumerate(text) if _RAW.fullmatch(x) and "<|" not in x]  # no other blanks, no marks
         normal = self.library.normalizer.normalize_str(" ".join([text[k] for k in raw])).split(" ") if raw else []
-        plain = [(words[k], _PARTS.findall(x)) for k, x in zip(raw, normal, strict=True) if _PLAIN.fullmatch(x)]
-        done = dict(zip([w for w, _ in plain], self._merged([x for _, x in plain]), strict=True))
-        self.cache.update(done)
-        if rest := [(w, x) for w, x in zip(words, text, strict=True) if w not in done]:
-            found = self.library.encode_batch_fast([x for _, x in rest], add_special_tokens=False)
-            self.cache.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for (w, _), e in zip(rest, found, strict=True))
-
-    def _merged(self, words: list[list[str]]) -> Iterator[bytes]:
-        flat = "".join(x + _MARK for parts in words for x in parts)
-        found = np.array(self.engine.encode_ordinary(flat), np.int64)
+        sure = {k: _PARTS.findall(x) for k, x in zip(raw, normal, strict=True) if _PLAIN.fullmatch(x)}
+        plain.extend(other[k] for k in sure)
+        parts.extend(_MARK.join(x) + _MARK for x in sure.values())
+        sizes.extend(map(len, sure.values()))
+        self.cache.update(zip(plain, self._merged("".join(parts), sizes), strict=True))
+        if rest := [k for k in range(len(other)) if k not in sure]:
+            found = self.library.encode_batch_fast([text[k] for k in rest], add_special_tokens=False)
+            self.cache.update((other[k], struct.pack(f"<{len(e.ids)}I", *e.ids)) for k, e in zip(rest, found, strict=True))
+
+    def _merged(self, parts: str, sizes: list[int]) -> Iterator[bytes]:
+        """Ids of words, given their parts with marks one after the other, and how many each has."""
+        found = np.array(self.engine.encode_ordinary(parts), np.int64)
         stop = np.r_[0, np.flatnonzero(self.ends[found]) + 1]
-        upto = stop[np.cumsum([0, *map(len, words)])] * 4
+        upto = (stop[np.r_[0, np.cumsum(sizes, dtype=np.int64)]] * 4).tolist()
         ids = self.ids[found].astype("<u4").tobytes()
-        return (ids[a:b] for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False))
+        return (ids[a:b] for a, b in zip(upto, upto[1:], strict=False))
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -182,7 +197,8 @@ class WordEncoder:
         yield from self._encode(group)
 
     def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        cut = [x.split() for x in texts]  # at the six ASCII blanks
+        # split() cuts at the six ASCII blanks; lower case has fewer words, and in ASCII it is the normal form
+        cut = [(x.lower() if x.isascii() and b"<|" not in x else x).split() for x in texts]
         distinct = set().union(*cut)
         new = [w for w in distinct if w not in self.cache]
         if len(self.cache) + len(new) > CACHED:
@@ -257,7 +273,7 @@ def pieces(docs: DataFrame, path: str, longest: int, text_col: str = "text") ->
                 columns = [pa.array(c, arrow.field(len(kept) + j).type) for j, c in enumerate(zip(*made, strict=True))]
                 yield pa.RecordBatch.from_arrays([*carried, *columns], schema=arrow)
 
-    return durable(docs.mapInArrow(run, schema), "packing-pieces")
+    return durable(docs.mapInArrow(tidy(run), schema), "packing-pieces")
 
 
 # ---- bins
