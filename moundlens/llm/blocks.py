@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from moundlens.llm.common import durable
+from moundlens.llm.common import durable, returned, tidy
 
 BLOCK_BYTES = 8 << 20  # text in one block; a longer document is a block of its own
 KEYS_PER_PART = 250_000  # keys that one group of the exchange should hold
@@ -64,7 +64,7 @@ def pack(df: DataFrame, name: str) -> DataFrame:
         if held:
             yield flush()
 
-    return durable(df.mapInArrow(run, PACKED), name)
+    return durable(df.mapInArrow(tidy(run), PACKED), name)
 
 
 PACKED_ARROW = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
@@ -146,9 +146,9 @@ def shared_keys(
         )
 
     sent = table.select("block", payload).mapInArrow(
-        send, "part long, block long, keys binary, low binary, high binary, often binary"
+        tidy(send), "part long, block long, keys binary, low binary, high binary, often binary"
     )
-    return durable(sent.groupBy("part").applyInArrow(gather, ANSWER), name)
+    return durable(sent.groupBy("part").applyInArrow(lambda group: returned(gather(group)), ANSWER), name)
 
 
 _KINDS = (("keys", np.uint64), ("low", np.int64), ("high", np.int64), ("often", np.int32))
@@ -205,7 +205,7 @@ def with_answers(
     """`run(block row, its answer rows)` for every block, answered or not."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left, right)
+        return returned(run(left, right))
 
     return table.groupBy("block").cogroup(answer.groupBy("block")).applyInArrow(each, schema)
 

@@ -22,17 +22,19 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from moundlens.llm.common import numbered, pick, read_table
+from moundlens.llm.common import numbered, pick, read_table, tidy
 
 # The pattern of byte-level tokenizers whose file says `use_regex`, as their library documents it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 STRETCH = 1 << 18  # characters handled at a time
 SHORT = 32  # bytes of a piece for which merging by plain scans is the faster way
 _NONE = (1 << 62, -1)
+PORTION = 4 << 20  # bytes of texts or ids handed on together
 CACHED = 400_000  # pieces whose tokens a worker remembers; beyond that it starts afresh
 
 
@@ -258,41 +260,66 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _with(df: DataFrame, column: str, added: T.StructField, of) -> DataFrame:
-    """The columns of `df` and one more, computed from the values of a column."""
-    at, names = df.columns.index(column), [*df.columns, added.name]
+def _with(df: DataFrame, column: str, added: list[T.StructField], of) -> DataFrame:
+    """The columns of `df` and those of `added`, computed from the values of a column."""
+    at, names = df.columns.index(column), [*df.columns, *(f.name for f in added)]
     df = numbered(df)
-    schema = T.StructType([*df.schema.fields, added])
+    schema = T.StructType([*df.schema.fields, *added])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                values = pa.array(of(part.column(at)), arrow.field(len(arrow) - 1).type)
-                yield pa.RecordBatch.from_arrays([*part.columns, values], schema=arrow)
+            for lo, hi in _portions(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                found = zip(of(part.column(at)), arrow.types[-len(added) :], strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, t in found)], schema=arrow)
 
-    return df.mapInArrow(run, schema).toDF(*names)
+    return df.mapInArrow(tidy(run), schema).toDF(*names)
+
+
+def _portions(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `PORTION` bytes each, one row at least."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(sizes, dtype=np.int64), 0
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PORTION, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Adds the token ids as binary: little-endian unsigned 32-bit integers, one after the other."""
 
-    def of(column: pa.Array) -> list[bytes]:
+    def of(column: pa.Array) -> list[list[bytes]]:
         texts = (x or "" for x in column.to_pylist())
-        return list(vocabulary(path).encode(texts))
+        return [list(vocabulary(path).encode(texts))]
 
-    return _with(df, text_col, T.StructField(out, T.BinaryType()), of)
+    return _with(df, text_col, [T.StructField(out, T.BinaryType())], of)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of the token ids in a column made by `encode`; null ids are none."""
 
-    def of(column: pa.Array) -> list[str]:
+    def of(column: pa.Array) -> list[list[str]]:
         known = vocabulary(path)
-        return [known.decode(x or b"") for x in column.to_pylist()]
+        return [[known.decode(x or b"") for x in column.to_pylist()]]
+
+    return _with(df, ids_col, [T.StructField(out, T.StringType())], of)
+
+
+def encode_checked(df: DataFrame, path: str, text_col: str = "text", names: tuple[str, str] = ("ids", "round_trip")) -> DataFrame:
+    """Adds the token ids, and whether the text decoded from them is the text (of a null: empty).
+
+    Both in one Python worker a task: a worker for each would hold the vocabulary twice.
+    """
+
+    def of(column: pa.Array) -> tuple[list[bytes], list[bool]]:
+        known, texts = vocabulary(path), [x or "" for x in column.to_pylist()]
+        ids = list(known.encode(texts))
+        return ids, [known.decode(i) == x for i, x in zip(ids, texts, strict=True)]
 
-    return _with(df, ids_col, T.StructField(out, T.StringType()), of)
+    added = [T.StructField(names[0], T.BinaryType()), T.StructField(names[1], T.BooleanType())]
+    return _with(df, text_col, added, of)
 
 
 def default_path() -> str:

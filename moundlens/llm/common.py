@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from moundlens.sources.scratch import materialize
 
-__all__ = ["durable", "numbered", "pick", "read_table"]
+__all__ = ["durable", "hand_back", "numbered", "pick", "read_table", "returned", "tidy"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +45,31 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """The same columns as c0, c1, ...: no name of the user's can clash with an operator's."""
     return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def hand_back() -> None:
+    """Gives the system the memory that a Python worker no longer uses but holds for later.
+
+    Workers outlive their tasks; what one stage's arrays took would otherwise stay in every
+    executor while later stages need it for the JVM.
+    """
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def returned(table: pa.Table) -> pa.Table:
+    """The table of one group; the memory that making it took is handed back."""
+    hand_back()
+    return table
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function of batches; memory is handed back when a task has read them all."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        hand_back()
+
+    return tidied

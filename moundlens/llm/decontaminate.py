@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from moundlens.llm.common import numbered, pick, read_table
+from moundlens.llm.common import numbered, pick, read_table, tidy
 from moundlens.llm.words import (
     ALPHANUMERIC,
     LOWER,
@@ -166,7 +166,7 @@ def scan(
             hits = shared.value.hits(*_words(batch.column(text_at)))
             yield _result(batch, text_at, hits, arrow)
 
-    return docs.mapInArrow(run, schema).toDF(*names)
+    return docs.mapInArrow(tidy(run), schema).toDF(*names)
 
 
 def _scan_by_join(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, text_col: str, window: int)
                         yield pa.record_batch([pa.array(np.full(n, size), pa.int32()), digests[lo : lo + n], pa.array(text, pa.string()),
                                                np.full(n, block), at], names=["size", "digest", "words", "block", "at"])
 
-    every = packed.mapInArrow(emit, "size int, digest long, words string, block long, at long")
+    every = packed.mapInArrow(tidy(emit), "size int, digest long, words string, block long, at long")
     hits = every.join(wanted, ["size", "digest", "words"]).select("block", "at", "size", "item")
     schema = T.StructType([*docs.schema.fields, *FOUND])
     arrow = to_arrow_schema(schema)

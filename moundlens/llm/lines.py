@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from moundlens.llm import blocks
-from moundlens.llm.common import durable, numbered, pick, read_table
+from moundlens.llm.common import durable, numbered, pick, read_table, returned, tidy
 from moundlens.llm.words import LOWER, NOT_BLANK, mix, texts, window_starts, windows, words
 
 SHINGLE = 5
@@ -231,7 +231,7 @@ def _frequencies(table: DataFrame, text_at: int) -> np.ndarray:
         return pa.table([group.column("slice")[:1], [total.tobytes()]], names=["slice", "counts"])
 
     kind = "slice long, counts binary"
-    sent = table.select("data").mapInArrow(count, kind).groupBy("slice").applyInArrow(add, kind)
+    sent = table.select("data").mapInArrow(tidy(count), kind).groupBy("slice").applyInArrow(add, kind)
     out = np.zeros(COUNTERS, np.int64)
     for k, counts in sent.collect():  # COUNTERS numbers at any corpus size
         out[k * step : (k + 1) * step] = np.frombuffer(bytes(counts), np.int64)
@@ -328,7 +328,7 @@ def _sketched(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
 
     mine, theirs = drawn.toDF("block", "line", "a", "n"), drawn.toDF("other_block", "other_line", "b", "m")
     both = pairs.join(mine, ["block", "line"]).join(theirs, ["other_block", "other_line"])
-    return both.select(*pairs.columns, "a", "b", "n", "m").mapInArrow(run, pairs.schema)
+    return both.select(*pairs.columns, "a", "b", "n", "m").mapInArrow(tidy(run), pairs.schema)
 
 
 def _verified(table: DataFrame, pairs: DataFrame, text_at: int, weight, whole: bool) -> DataFrame:
@@ -432,7 +432,7 @@ def _searched(docs: DataFrame, id_at: int, text_at: int, whole: bool, cut: Calla
                 signed = _signature(Rows(held, text_at, whole), blocks.owners(held.column(id_at)), weight.value, whole)
                 yield pa.record_batch([[block.as_py()], [signed[0]], [signed[1]]], _SIGNED_ARROW)
 
-    signed = durable(table.mapInArrow(sign, _SIGNED), "line-signatures")
+    signed = durable(table.mapInArrow(tidy(sign), _SIGNED), "line-signatures")
 
     def class_keys(data) -> blocks.Keys:
         found = _unpacked(data, _LINE)
@@ -450,7 +450,7 @@ def _searched(docs: DataFrame, id_at: int, text_at: int, whole: bool, cut: Calla
 
     def met(told: DataFrame, limit: int | None, name: str) -> tuple[DataFrame, DataFrame]:
         entries = blocks.with_answers(ask, told, lambda a, b: _entries(a, b, parts, limit is None), _ENTRIES)
-        pairs = entries.groupBy("part").applyInArrow(lambda g: _candidates(g, limit), _PAIR)
+        pairs = entries.groupBy("part").applyInArrow(lambda g: returned(_candidates(g, limit)), _PAIR)
         pairs = durable(pairs, f"{name}-candidates")
         return pairs, durable(_verified(table, pairs, text_at, weight, whole), f"{name}-matches")
 

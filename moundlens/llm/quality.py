@@ -238,32 +238,23 @@ def estimate(stats: DataFrame) -> DataFrame:
 def _judged(
     docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: list[str] | None
 ) -> DataFrame:
-    """c0, c1, ... for the documents' columns, then COUNTS, base_failed, distance, kept and a row id.
-
-    The row id does not depend on the data; a filter that names it cannot be moved below the
-    counts, where the optimiser would compute them once more for every mention.
-    """
+    """c0, c1, ... for the documents' columns (those of `carry`), then COUNTS, base_failed, distance, kept."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     of = dict(zip(docs.columns, names, strict=True))
     out = names if carry is None else [of[c] for c in carry]
+    text = of[text_col]
     df = docs.toDF(*names)
-    df = df.select(*names, *_key(of[lang_col], of[source_col]))
-    lean = df.select(*(out if carry else []), F.col(of[text_col]).alias("_text"), "_lang", "_source")
-    stats = with_counts(lean, "_text").drop("_text").select("*", *_vector())
+    df = df.select(*dict.fromkeys([*out, text]), *_key(of[lang_col], of[source_col]))
+    stats = with_counts(df, text).select(*out, "_lang", "_source", *COUNTS, "n_lines", "base_failed", *_vector())
     stats = durable(stats, "quality-statistics")
     group = durable(_grouped(stats), "quality-groups")
     judged = stats.where(~F.col("base_failed")).select("_lang", "_source", *(f"x{k}" for k in range(P)))
     fit = estimate(judged.join(group, ["_lang", "_source"]))
     by_key = durable(group.join(fit, "_group", "left"), "quality-estimates")
-    number = F.monotonically_increasing_id().alias("_row")
-    if carry is None:
-        seen = with_counts(df, of[text_col]).select("*", number).select("*", *_vector())
-    else:
-        seen = stats.select("*", number)
-    seen = seen.join(by_key, ["_lang", "_source"], "left").withColumn("_d", _distance())
+    seen = stats.join(by_key, ["_lang", "_source"], "left").withColumn("_d", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= LIMIT, F.lit(True))
     distance = F.when(~F.col("base_failed"), F.col("_d"))
-    return seen.select(*out, *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"), "_row")
+    return seen.select(*out, *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"))
 
 
 def judge(
@@ -275,17 +266,17 @@ def judge(
 ) -> DataFrame:
     """The documents' columns, then COUNTS, base_failed, distance and kept (the last eight).
 
-    Texts are read twice, for the estimates and for the verdicts, and are never shuffled unless the
-    table of estimates is too large for Spark to broadcast. Who only needs some columns names them
-    in `carry`: these are written beside the counts, and the texts are read once.
+    The columns are written beside the counts, so texts are read and counted once; they are never
+    shuffled unless the table of estimates is too large for Spark to broadcast. Who needs only some
+    columns names them in `carry`.
     """
-    found = _judged(docs, text_col, lang_col, source_col, carry).drop("_row")
+    found = _judged(docs, text_col, lang_col, source_col, carry)
     return found.toDF(*(docs.columns if carry is None else carry), *COUNTS, "base_failed", "distance", "kept")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents' columns, rejected rows left out."""
-    found = _judged(docs, text_col, lang_col, source_col, None).where(F.col("kept") & (F.col("_row") >= 0))
+    found = _judged(docs, text_col, lang_col, source_col, None).where("kept")
     return found.select(*(F.col(f"c{k}").alias(name) for k, name in enumerate(docs.columns)))
 
 

@@ -35,10 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from moundlens.llm.common import durable, numbered, pick, read_table
+from moundlens.llm.common import durable, numbered, pick, read_table, returned, tidy
 from moundlens.llm.components import components
 
 SHINGLE = 5
+QUERY_SHINGLE = 3  # of the registered query and the pipeline's stage
 DISTANCE = 2
 SEED = 42
 LIST = 20_000  # the most fingerprints that are compared with each other in one task
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
             values = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], schema=arrow)
 
-    return docs.mapInArrow(run, schema).toDF(*names)
+    return docs.mapInArrow(tidy(run), schema).toDF(*names)
 
 
 # ---- partitions and thresholds
@@ -247,7 +248,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     parts = max(256, asked.count() // ROWS_PER_PART)
     part = F.pmod(F.xxhash64("g", "v"), F.lit(parts)).cast("int")
     near = usual.select(part.alias("part"), "g", "v", "fp").groupBy("part")
-    near = near.applyInArrow(lambda rows: _walk(rows, distance), "a long, b long").distinct()
+    near = near.applyInArrow(lambda rows: returned(_walk(rows, distance)), "a long, b long").distinct()
     dense = asked.join(crowd, ["g", "v"], "left_semi").select("fp").distinct()
     around = _probes(dense, 0, list(range(64)), 1).select("v", "fp")
     if distance < 2:  # meeting is then necessary, not sufficient
@@ -295,5 +296,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of shingles of three words, and the groups within two bits."""
-    found = groups(read_table(spark, sf_dir, "documents"), shingle=3)
+    found = groups(read_table(spark, sf_dir, "documents"), shingle=QUERY_SHINGLE)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -86,7 +86,7 @@ def test_pipeline_against_plain_versions(spark):
             text = "\n".join(left)
             cut.append((r[0], text, r[2], r[3], len(text)))
     steps.append(cut)
-    root = brute.components({r[0]: brute.fingerprint(r[1], 5) for r in cut})
+    root = brute.components({r[0]: brute.fingerprint(r[1], 3) for r in cut})
     steps.append([r for r in cut if root[r[0]] == r[0]])
     steps.append([r for r, h in zip(steps[2], brute.hits([r[1] for r in steps[2]], bench), strict=True) if not h[1]])
     for (name, stage), want in zip(list(stages.items())[:4], steps, strict=True):
