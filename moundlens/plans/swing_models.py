@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from moundlens.operators.sampling import stratified_split
+from moundlens.plans import boosting
+from moundlens.plans.boosting import BoostedModel, Settings, Task
 from moundlens.plans.swing import class_pitches
 from moundlens.schema import SWING_CLASSES, SWING_DEPTHS
-from moundlens.sources.scratch import ensure_checkpoint_dir, materialize
+from moundlens.sources.scratch import materialize
 
 
-
-def _as_doubles(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    return df.withColumns({f"_in_{name}": F.col(name).cast("double") for name in features})
+def _task(train: DataFrame, swing_class: str, depth: int | None = None) -> Task:
+    _, features = SWING_CLASSES[swing_class]
+    return Task(_own_pitches(train, swing_class), tuple(features), depth or SWING_DEPTHS[swing_class], "is_Swing")
 
 
 def train_swing(
@@ -27,43 +25,24 @@ def train_swing(
     depth: int | None = None,
     rate: float = 0.1,
     rounds: int = 300,
+    subsample: float = 1.0,
     seed: int = 2004,
-) -> PipelineModel:
-    """Boosted trees on the class's features; missing measurements take the training mean."""
-    ensure_checkpoint_dir(train.sparkSession)
-    _, features = SWING_CLASSES[swing_class]
-    inputs = [f"_in_{name}" for name in features]
-    filled = [f"_filled_{name}" for name in features]
-    stages = [
-        Imputer(strategy="mean", inputCols=inputs, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-        GBTClassifier(
-            labelCol="_label",
-            maxDepth=depth or SWING_DEPTHS[swing_class],
-            stepSize=rate,
-            maxIter=rounds,
-            checkpointInterval=10,
-            seed=seed,
-        ),
-    ]
-    rows = _as_doubles(_own_pitches(train, swing_class), features)
-    rows = rows.select(*inputs, F.col("is_Swing").cast("double").alias("_label"))
-    return Pipeline(stages=stages).fit(rows)
+) -> BoostedModel:
+    """Boosted trees on the class's features; missing measurements take the side learnt for them."""
+    settings = Settings(rounds, rate, subsample=subsample, seed=seed)
+    return boosting.train({swing_class: _task(train, swing_class, depth)}, settings)[swing_class]
 
 
 def _own_pitches(df: DataFrame, swing_class: str) -> DataFrame:
     return class_pitches(df, swing_class) if "TaggedPitchType" in df.columns else df
 
 
-def score_class(df: DataFrame, model: PipelineModel, swing_class: str) -> DataFrame:
+def score_class(df: DataFrame, model: BoostedModel, swing_class: str) -> DataFrame:
     """Add xSwing_Pred to the pitches of one class."""
-    _, features = SWING_CLASSES[swing_class]
-    scored = model.transform(_as_doubles(_own_pitches(df, swing_class), features))
-    scored = scored.withColumn("xSwing_Pred", vector_to_array("probability")[1])
-    return scored.select(*df.columns, "xSwing_Pred")
+    return model.score(_own_pitches(df, swing_class), "xSwing_Pred")
 
 
-def score_swing(ready: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
+def score_swing(ready: DataFrame, models: dict[str, BoostedModel]) -> DataFrame:
     """Every class scored by its model and stacked; pitch columns stay on the row, so no join."""
     parts = [score_class(ready, model, name) for name, model in models.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -71,22 +50,22 @@ def score_swing(ready: DataFrame, models: dict[str, PipelineModel]) -> DataFrame
 
 def train_all(
     ready: DataFrame, p: float = 0.75, rounds: int = 300, rate: float = 0.1, seed: int = 2004
-) -> tuple[dict[str, PipelineModel], DataFrame]:
+) -> tuple[dict[str, BoostedModel], DataFrame]:
     """All three models, and the held-out pitches with their scores and class."""
     ready = materialize(ready, "model_ready")
-    models, held_out = {}, []
-    for name in SWING_CLASSES:
-        split = stratified_split(class_pitches(ready, name), "is_Swing", p, seed)
-        train, test = split.where("is_train"), split.where("NOT is_train")
-        models[name] = train_swing(train, name, rate=rate, rounds=rounds, seed=seed)
-        scored = score_class(test, models[name], name)
-        held_out.append(scored.withColumn("swing_class", F.lit(name)))
+    splits = {name: stratified_split(class_pitches(ready, name), "is_Swing", p, seed) for name in SWING_CLASSES}
+    tasks = {name: _task(split.where("is_train"), name) for name, split in splits.items()}
+    models = boosting.train(tasks, Settings(rounds, rate, seed=seed))
+    held_out = [
+        score_class(split.where("NOT is_train"), models[name], name).withColumn("swing_class", F.lit(name))
+        for name, split in splits.items()
+    ]
     return models, reduce(DataFrame.unionByName, held_out)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: BoostedModel, path: str) -> None:
+    model.save(SparkSession.active(), path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> BoostedModel:
+    return BoostedModel.load(SparkSession.active(), path)
