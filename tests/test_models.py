@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -75,13 +76,72 @@ def test_selection_confirms_signal_and_rejects_noise(planted):
     assert {chosen[0]["feature"], chosen[1]["feature"]} == {"PlateLocSide", "RelSpeed"}
 
 
-def test_shadow_copies_keep_values_and_move_rows(spark):
-    from random import Random
-
-    df = spark.range(50).select(F.col("id").alias("place"), F.col("id").cast("double").alias("v"))
-    rows = selection._with_shadows(df, {"shadow_0": "v"}, 50, Random(1)).collect()
-    assert sorted(r["shadow_0"] for r in rows) == [float(i) for i in range(50)]
-    assert all(r["shadow_0"] != r["v"] for r in rows)
+def test_shadow_copies_keep_values_and_move_rows():
+    codes = np.arange(100, dtype=np.uint8).reshape(50, 2)
+    wide = selection.with_shadows(codes, [1, 0, 1], (1, 2))
+    assert np.array_equal(wide[:, :2], codes)
+    for j, c in enumerate([1, 0, 1]):
+        assert sorted(wide[:, 2 + j]) == sorted(codes[:, c]) and (wide[:, 2 + j] != codes[:, c]).sum() > 40
+    assert not np.array_equal(wide[:, 2], wide[:, 4])
+
+
+def test_bins_rise_with_the_values():
+    values = np.array([5.0, 1.0, 1.0, 3.0] * 100 + list(range(10, 500)))
+    codes = selection.binned(values)
+    order = np.argsort(values, kind="stable")
+    assert (np.diff(codes[order].astype(int)) >= 0).all() and len({codes[1], codes[2]}) == 1
+    assert np.bincount(codes).max() <= 200 and codes[0] > codes[3] > codes[1]
+
+
+def plain_tree(codes, label, weight, depth, choose):
+    """Votes of all rows by a tree that tries every cut, node by node."""
+    votes = np.zeros(len(label), bool)
+
+    def gini(rows):
+        n, p = weight[rows].sum(), (weight * label)[rows].sum()
+        return (p**2 + (n - p) ** 2) / n if n else -1.0
+
+    def build(rows, level):
+        best = (gini(rows) + 1e-9, None)
+        n, p = weight[rows].sum(), (weight * label)[rows].sum()
+        if level < depth and 0 < p < n:
+            for f in choose:
+                for c in range(255):
+                    left = codes[rows, f] <= c
+                    a, b = rows[left], rows[~left]
+                    if weight[a].sum() and weight[b].sum() and gini(a) + gini(b) > best[0]:
+                        best = (gini(a) + gini(b), (a, b))
+        if best[1] is None:
+            votes[rows] = 2 * p > n
+        else:
+            for part in best[1]:
+                build(part, level + 1)
+
+    build(np.arange(len(label)), 0)
+    return votes
+
+
+def test_tree_equals_one_that_tries_every_cut():
+    rng = np.random.default_rng(5)
+    for _ in range(5):
+        codes = rng.integers(0, 40, (120, 3)).astype(np.uint8)
+        label = ((codes[:, 0] > 20) ^ (rng.random(120) < 0.2)).astype(np.uint8)
+        weight = np.bincount(rng.integers(0, 120, 120), minlength=120)
+        # one feature to try leaves no ties between features
+        one = codes[:, :1]
+        tree = selection.grow_tree(one, label, weight, 4, 1, rng)
+        assert np.array_equal(selection._votes(tree, one, 4), plain_tree(one, label, weight, 4, [0]))
+
+
+def test_losses_name_the_feature_that_matters():
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 256, (800, 4)).astype(np.uint8)
+    label = (codes[:, 2] > 128).astype(np.uint8)
+    mean = np.zeros(4)
+    for seed in range(20):
+        for f, x in selection.losses(codes, label, 6, np.random.default_rng(seed)).items():
+            mean[f] += x / 20
+    assert mean[2] > 0.2 and (np.abs(np.delete(mean, 2)) < 0.05).all()
 
 
 class Called(Exception):
