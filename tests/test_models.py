@@ -90,7 +90,7 @@ def test_bins_rise_with_the_values():
     codes = selection.binned(values)
     order = np.argsort(values, kind="stable")
     assert (np.diff(codes[order].astype(int)) >= 0).all() and len({codes[1], codes[2]}) == 1
-    assert np.bincount(codes).max() <= 200 and codes[0] > codes[3] > codes[1]
+    assert codes.max() < selection.BINS and np.bincount(codes).max() <= 200 and codes[0] > codes[3] > codes[1]
 
 
 def plain_tree(codes, label, weight, depth, choose):
@@ -130,13 +130,13 @@ def test_tree_equals_one_that_tries_every_cut():
         # one feature to try leaves no ties between features
         one = codes[:, :1]
         tree = selection.grow_tree(one, label, weight, 4, 1, rng)
-        assert np.array_equal(selection._votes(tree, one, 4), plain_tree(one, label, weight, 4, [0]))
+        assert np.array_equal(tree[2][selection._paths(tree, one, 4)[0]], plain_tree(one, label, weight, 4, [0]))
 
 
 def test_losses_name_the_feature_that_matters():
     rng = np.random.default_rng(8)
-    codes = rng.integers(0, 256, (800, 4)).astype(np.uint8)
-    label = (codes[:, 2] > 128).astype(np.uint8)
+    codes = rng.integers(0, 64, (800, 4)).astype(np.uint8)
+    label = (codes[:, 2] > 32).astype(np.uint8)
     mean = np.zeros(4)
     for seed in range(20):
         for f, x in selection.losses(codes, label, 6, np.random.default_rng(seed)).items():
