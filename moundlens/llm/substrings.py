@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents.
-
-The reference is the whole corpus. Its phrases of `window` words are indexed in hash-range blocks
-(the groups of `blocks.shared_keys`), and every document is parsed against all of them: a phrase is
-looked up in the one block that could hold it and comes back with the smallest document id that has
-it. Greedily read from the left, phrases found in the same reference document run together into
-one factor; a phrase that straddles the end of a factor has been looked up by itself, so a match
-that begins there is never missed. Factors have at least `window` words and become the duplicate
-spans of every document but the first that holds them.
+"""Substring dedup by windows of words looked up in an index of all documents.
+
+This hash exchange stands in place of a relative Lempel-Ziv parse, which is not done. The phrases of
+`window` words of the whole corpus are indexed in hash-range blocks (the groups of
+`blocks.shared_keys`); a phrase is looked up in the one block that could hold it and comes back with
+the smallest document id that has it. Its words are removed from every document but that one.
+Consecutive phrases with the same smallest owner are reported as one factor: each of its windows
+occurs in the source, while the factor as a whole need not.
 
 Two exchanges keep this small. Each phrase is represented by its anchor, the smallest digest among
 its runs of `ANCHOR` words; overlapping phrases mostly share one, and equal phrases always do. The
