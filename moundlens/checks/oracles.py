@@ -838,6 +838,17 @@ _sql(
     *_SAMPLE_CTES, _FIT,
 )
 
+_QUARTS = (("min", 0), ("q1", "25e-2"), ("median", "5e-1"), ("q3", "75e-2"), ("max", 1))
+_sql(
+    "ols_summary",
+    f"""SELECT {", ".join(f"(SELECT {_r(f'quantile_cont(y - b0 - b1 * x, {q})', 6)} FROM obs, fit) AS residual_{name}" for name, q in _QUARTS)},
+  {_r("sqrt(rss / df)", 6)} AS sigma, {_r("1e0 - rss / syy", 6)} AS r_squared,
+  {_r("1e0 - rss / syy * (n - 1) / df", 6)} AS adj_r_squared, {_r("t_value * t_value", 6)} AS f_value,
+  1e0 AS df1, df AS df2, {_r(_P, 6)} AS p_value
+FROM (SELECT *, b1 / sqrt(rss / df / sxx) AS t_value FROM fit)""",
+    *_SAMPLE_CTES, _FIT,
+)
+
 # --- swing pipeline
 
 _sql("fastball_baseline", "SELECT * FROM baseline", _PIPELINE, _BASELINE)
@@ -993,3 +1004,35 @@ _sql(
 UNION ALL SELECT Batter, 'Oppo Side', {_r("own0 + own1 / 2", 4)} FROM effects""",
     *_SAMPLE_CTES, _FIT, *_reml_rounds(),
 )
+_INFO = """info AS (
+  SELECT *, a00 * a11 - a01 * a01 AS det, (q - beta0 * v0 - beta1 * v1) / (total - 2) AS s2 FROM (
+    SELECT psi, beta0, beta1, crit, sum(n) AS total, CAST(count(*) AS DOUBLE) AS groups,
+      sum(n - c * n * n) AS a00, sum(sx - c * n * sx) AS a01, sum(sxx - c * sx * sx) AS a11,
+      sum(t - c * n * t) AS v0, sum(sxy - c * sx * t) AS v1, sum(syy - c * t * t) AS q
+    FROM (SELECT *, psi / (1 + n * psi) AS c FROM sums, best) GROUP BY psi, beta0, beta1, crit)),
+scaled AS (
+  SELECT (y - own0 - own1 * x) / sqrt(s2) AS r FROM obs JOIN effects USING (Batter), info)"""
+_SUMMARY = (
+    ("fixed", "(Intercept) estimate", "beta0"),
+    ("fixed", "(Intercept) std_error", "sqrt(s2 * a11 / det)"),
+    ("fixed", "(Intercept) t_value", "beta0 / sqrt(s2 * a11 / det)"),
+    ("fixed", "platoon_effect estimate", "beta1"),
+    ("fixed", "platoon_effect std_error", "sqrt(s2 * a00 / det)"),
+    ("fixed", "platoon_effect t_value", "beta1 / sqrt(s2 * a00 / det)"),
+    ("fixed", "correlation", "-a01 / sqrt(a00 * a11)"),
+    ("random", "Batter variance", "psi * s2"),
+    ("random", "Batter std_dev", "sqrt(psi * s2)"),
+    ("random", "residual variance", "s2"),
+    ("random", "residual std_dev", "sqrt(s2)"),
+    ("fit", "reml_criterion", "crit"),
+    ("fit", "observations", "total"),
+    ("fit", "groups", "groups"),
+)
+_sql(
+    "mixed_model_summary",
+    " UNION ALL ".join(
+        [f"SELECT '{part}' AS part, '{name}' AS name, {_r(value, 4)} AS value FROM info" for part, name, value in _SUMMARY]
+        + [f"SELECT 'scaled_residual', '{name}', {_r(f'quantile_cont(r, {q})', 4)} FROM scaled" for name, q in _QUARTS]
+    ),
+    *_SAMPLE_CTES, _FIT, *_reml_rounds(), _INFO,
+)

@@ -679,6 +679,17 @@ def location_hdr(log):
     return cells.select("Pitcher", "BatterSide", "TaggedPitchType", "ix", "iy", "region")
 
 
+@_query
+def location_density_full(log):
+    """The default grid of 100 x 100, binned and convolved."""
+    return density.location_density(log, convolve=True)
+
+
+@_query
+def location_hdr_full(log):
+    return density.location_regions(log, convolve=True)
+
+
 @_query
 def movement_centroids(log):
     return mix.movement_centroids(log)
@@ -773,6 +784,20 @@ def mixed_model_splits(log):
     return splits.withColumn("wOBA", round_half_up(F.col("wOBA"), 4))
 
 
+@_query
+def ols_summary(log):
+    row = platoon.ols_summary(_effect_sample(log), "woba_value", "platoon_effect")
+    return row.select(*[round_half_up(F.col(name), 6).alias(name) for name in row.columns])
+
+
+@_query
+def mixed_model_summary(log):
+    sample = _effect_sample(log)
+    names = ("woba_value", "platoon_effect", "Batter")
+    rows = platoon.mixed_summary(sample, platoon.random_intercept(sample, *names), *names)
+    return rows.withColumn("value", round_half_up(F.col("value"), 4))
+
+
 # --- swing pipeline
 
 

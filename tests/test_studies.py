@@ -73,6 +73,55 @@ def test_density_without_broadcast_is_the_same(log):
     assert as_set(plain) == as_set(spread)
 
 
+def _error_bound(width, step):
+    return step**2 / (8 * width**2) + 0.61 * step / (2048 * width)
+
+
+@pytest.mark.parametrize(("n", "fine"), [(100, density.FINE), (13, 3)])
+def test_convolved_density_within_its_bound(spark, n, fine):
+    rng = np.random.default_rng(3)
+    spots = np.r_[rng.normal([0.3, 2.4], [0.5, 0.8], (400, 2)), [[1.7, 4.5], [-1.7, 0.0], [1.71, 2.0]]]
+    rows = [("a", float(x), float(y)) for x, y in spots] + [(None, float(x) / 9, float(y) / 3) for x, y in spots[:40]]
+    rows += [("flat", 0.5, float(y)) for y in rng.uniform(1, 4, 30)] + [("a", None, 1.0), ("a", float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "g string, PlateLocSide double, PlateLocHeight double").repartition(5)
+    found = {}
+    for r in density.convolved_grid(df, ["g"], n, fine).collect():
+        grids = found.setdefault(r["g"], np.full((4, n, n), np.nan))
+        grids[:, r["ix"], r["iy"]] = r["density"], r["ndensity"], r["region"] or np.nan, r["side"]
+    assert set(found) == {"a", None}  # no spread, no density
+    grid = np.linspace(-1.7, 1.7, n), np.linspace(0, 4.5, n)
+    for name, (got, scaled, region, side) in found.items():
+        pts = np.array([(x, y) for g, x, y in rows if g == name and x is not None and abs(x) <= 1.7 and 0 <= y <= 4.5])
+        parts, bound, widths = [], 0, []
+        for axis, at in zip(pts.T, grid, strict=True):
+            q25, q75 = np.quantile(axis, [0.25, 0.75])
+            width = 1.06 * min(axis.std(ddof=1), (q75 - q25) / 1.34) * len(axis) ** -0.2
+            parts.append(np.exp(-0.5 * ((at[:, None] - axis) / width) ** 2))
+            bound += _error_bound(width, (at[1] - at[0]) / fine)
+            widths.append(width)
+        peak = 1 / (2 * np.pi * widths[0] * widths[1])
+        dense = parts[0] @ parts[1].T * peak / len(pts)
+        assert np.abs(got - dense).max() <= bound * peak
+        assert scaled == pytest.approx(got / got.max()) and side[:, 0] == pytest.approx(grid[0])
+        for prob in density.REGION_PROBS:
+            inside = got[region <= prob]
+            assert inside.sum() >= prob * got.sum() > inside.sum() - inside.min() * np.sum(inside == inside.min()) - 1e-12
+            assert inside.min() > np.max(got[~(region <= prob)], initial=-1)
+
+
+def test_convolved_density_near_the_exact_one(log):
+    one = ["Last1, First1"]
+    exact = location_cells(density.location_density(log, one, n=9))
+    binned = location_cells(density.location_density(log, one, n=9, convolve=True, fine=88))
+    assert binned == pytest.approx(exact, abs=2e-3)
+    wide = density.location_regions(log, one, n=9).count()
+    assert abs(density.location_regions(log, one, n=9, convolve=True, fine=88).count() - wide) <= wide // 50
+
+
+def test_convolved_density_without_pitches(log):
+    assert density.location_density(log.where("false"), convolve=True).collect() == []
+
+
 def _sample(log):
     return platoon.platoon_sample(log, min_pa=30, min_side=5)
 
@@ -146,10 +195,71 @@ def test_random_intercept_equals_dense_matrices(spark, spread):
     np.testing.assert_allclose(own, beta[0] + effects, atol=1e-8)
 
 
+def test_summary_of_the_random_intercept_equals_dense_matrices(spark):
+    rng = np.random.default_rng(5)
+    g = rng.integers(0, 9, 150)
+    x = rng.integers(0, 2, 150).astype(float)
+    y = 0.3 + 0.1 * x + 0.7 * rng.normal(size=9)[g] + rng.normal(size=150)
+    rows = [(f"b{i}", float(a), float(b)) for i, a, b in zip(g, x, y, strict=True)]
+    df = spark.createDataFrame(rows + rows[:7] + [(None, 1.0, 1.0), ("b1", None, 1.0)], "g string, x double, y double")
+    g, x, y = (np.r_[v, v[:7]] for v in (g, x, y))
+    fit = platoon.random_intercept(df, "y", "x", "g")
+    got = {(r["part"], r["name"]): r["value"] for r in platoon.mixed_summary(df, fit, "y", "x", "g").collect()}
+    z = (g[:, None] == np.unique(g)[None, :]).astype(float)
+    design = np.column_stack([np.ones(len(y)), x])
+    vi = np.linalg.inv(np.eye(len(y)) + fit.psi * z @ z.T)
+    cov = np.linalg.inv(design.T @ vi @ design) * fit.sigma2
+    _, beta, effects = _dense_reml(y, x, g, fit.psi)
+    errors = np.sqrt(np.diag(cov))
+    for k, name in enumerate(("(Intercept)", "x")):
+        assert got["fixed", f"{name} std_error"] == pytest.approx(errors[k])
+        assert got["fixed", f"{name} t_value"] == pytest.approx(beta[k] / errors[k])
+    assert got["fixed", "correlation"] == pytest.approx(cov[0, 1] / errors.prod())
+    assert got["random", "g variance"] == pytest.approx(fit.psi * fit.sigma2)
+    scaled = (y - design @ beta - z @ effects) / np.sqrt(fit.sigma2)
+    want = np.quantile(scaled, list(platoon.QUARTILES.values()))
+    assert [got["scaled_residual", q] for q in platoon.QUARTILES] == pytest.approx(list(want))
+    assert (got["fit", "observations"], got["fit", "groups"]) == (157, 9)
+    spread = platoon.mixed_summary(df, fit, "y", "x", "g", broadcast_bytes=0).collect()
+    assert {(r["part"], r["name"]): r["value"] for r in spread} == pytest.approx(got)
+
+
+def test_groups_far_apart_are_not_clipped(spark):
+    rng = np.random.default_rng(8)
+    g = np.repeat(np.arange(6), 5)
+    x = np.tile([0.0, 1.0, 0.0, 1.0, 1.0], 6)
+    y = 1e4 * g + x + rng.normal(size=30)
+    rows = [(f"b{i}", float(a), float(b)) for i, a, b in zip(g, x, y, strict=True)]
+    fit = platoon.random_intercept(spark.createDataFrame(rows, "g string, x double, y double"), "y", "x", "g")
+    between = np.var([(y - x)[g == k].mean() for k in range(6)], ddof=1)
+    assert fit.psi > 1e7 and fit.group_variance == pytest.approx(between, rel=0.01)
+
+
+def test_ols_summary_equals_least_squares(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 3, 90).astype(float), rng.normal(size=90).round(1)
+    rows = [*zip(x.tolist(), y.tolist(), strict=True), (None, 1.0), (1.0, None)]
+    row = platoon.ols_summary(spark.createDataFrame(rows, "x double, y double"), "y", "x").first()
+    slope, start = np.polyfit(x, y, 1)
+    rest = y - start - slope * x
+    want = np.quantile(rest, list(platoon.QUARTILES.values()))
+    assert [row[f"residual_{q}"] for q in platoon.QUARTILES] == pytest.approx(list(want))
+    explained = 1 - (rest**2).sum() / ((y - y.mean()) ** 2).sum()
+    assert row["adj_r_squared"] == pytest.approx(1 - (1 - explained) * 89 / 88)
+    assert row["f_value"] == pytest.approx(explained / (1 - explained) * 88)
+    assert (row["df1"], row["df2"]) == (1.0, 88.0)
+
+
+def test_ols_summary_without_rows(spark):
+    assert platoon.ols_summary(spark.createDataFrame([], "x double, y double"), "y", "x").first()["f_value"] is None
+
+
 def test_random_intercept_without_data(spark):
     schema = "g string, x double, y double"
     empty = platoon.random_intercept(spark.createDataFrame([], schema), "y", "x", "g")
     assert empty.coefficients.collect() == []
+    nothing = spark.createDataFrame([], schema)
+    assert platoon.mixed_summary(nothing, empty, "y", "x", "g").collect() == []
     flat = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 2.0), ("b", 1.0, 3.0)], schema)
     with pytest.raises(ValueError, match="two values"):
         platoon.random_intercept(flat, "y", "x", "g")
