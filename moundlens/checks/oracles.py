@@ -669,6 +669,19 @@ _MOVEMENT = f"""move AS (
     {_r(_avg("VertApprAngle", f"{_SIDE} AND PlateLocHeight BETWEEN 14e-1 AND 215e-2"), 2)} AS bot_zone_vaa
   FROM pitches WHERE {_CHART} GROUP BY Pitcher, {LISTED_TYPE})"""
 _sql("report_movement", _with_mix("SELECT * FROM move", "Pitcher"), _MOVEMENT)
+_sql(
+    "report_from_daily_sums",
+    "\nUNION ALL BY NAME ".join(
+        f"SELECT '{name}' AS report, * FROM ({_report(keys, list(_METRICS))})"
+        for name, keys in _ALL_GRAINS.items()
+    ),
+    _FLAGGED.replace("WHERE", f"WHERE {_RANGE} AND", 1),
+)
+_sql(
+    "movement_from_daily_sums",
+    _with_mix("SELECT * FROM move", "Pitcher"),
+    _MOVEMENT.replace(f"WHERE {_CHART}", f"WHERE {_RANGE} AND {_CHART}"),
+)
 _LEAGUE_ROWS = ", ".join(
     "(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" for v in row) + ")"
     for row in LEAGUE_AVERAGES

@@ -1,6 +1,7 @@
 """Pitcher reports. Each computes every pitcher (or the chosen ones) in one job.
 
-All of them take the pitch log, optional pitchers, and an optional closed date range.
+All of them take the pitch log, optional pitchers, and an optional closed date range. In place of
+the log, the stored sums of `plans.daily` give the same rows without reading pitches.
 """
 
 from __future__ import annotations
@@ -47,6 +48,29 @@ COUNT_METRICS = [
 REPORT_KEYS = [
     "Pitcher", "BatterSide", "pitch_type", "pitchzone", "Count", "CountType", "pitch_class",
 ]
+# The smallest key sets from which every report can be merged.
+REPORT_SETS = [
+    ["Pitcher", "BatterSide", "pitch_type"],
+    ["Pitcher", "Count", "CountType", "pitch_class"],
+    ["Pitcher", "pitchzone"],
+]
+# Means of the movement report: column of the log and decimal places.
+MOVEMENT_MEANS = {
+    "velo": ("RelSpeed", 1),
+    "ivb": ("InducedVertBreak", 1),
+    "hb": ("HorzBreak", 1),
+    "spin_rate": ("SpinRate", 0),
+    "spin_axis": ("SpinAxis", 0),
+    "rel_height": ("RelHeight", 1),
+    "rel_side": ("RelSide", 1),
+    "ext": ("Extension", 1),
+    "wstuff_plus": ("wStuff_plus_2", 0),
+    "stuff_plus": ("Stuff_plus", 0),
+}
+_MOVEMENT_COLUMNS = [
+    "Pitcher", "pitch_type", "pitches", "velo", "max_velo", "ivb", "hb", "spin_rate", "spin_axis",
+    "rel_height", "rel_side", "ext", "top_zone_vaa", "bot_zone_vaa", "wstuff_plus", "stuff_plus",
+]
 
 
 def labelled_pitches(
@@ -74,6 +98,8 @@ def add_mix(report: DataFrame, within: Sequence[str]) -> DataFrame:
 
 
 def _grain(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], dates) -> DataFrame:
+    if not isinstance(df, DataFrame):  # stored daily sums
+        return finish(df.sums(keys, *dates), keys, metrics)
     return finish(summarize(labelled_pitches(df, *dates), keys), keys, metrics)
 
 
@@ -136,11 +162,6 @@ def all_grains(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
     Every task sums its pitches at three small grains (side and type, count and class, attack
     zone); the reports are merged from those sums. Columns outside a report's grain are NULL.
     """
-    sets = [
-        ["Pitcher", "BatterSide", "pitch_type"],
-        ["Pitcher", "Count", "CountType", "pitch_class"],
-        ["Pitcher", "pitchzone"],
-    ]
     grains = {
         "overall": (0, ["Pitcher"]),
         "pitch_type": (0, ["Pitcher", "pitch_type"]),
@@ -150,7 +171,10 @@ def all_grains(df, pitchers=None, date_from=None, date_to=None) -> DataFrame:
         "count_type": (1, ["Pitcher", "CountType", "pitch_class"]),
         "attack_zone": (2, ["Pitcher", "pitchzone"]),
     }
-    summary = summarize_sets(labelled_pitches(df, pitchers, date_from, date_to), sets)
+    if isinstance(df, DataFrame):
+        summary = summarize_sets(labelled_pitches(df, pitchers, date_from, date_to), REPORT_SETS)
+    else:
+        summary = df.days(pitchers, date_from, date_to)
     merged = merge_grains(summary, REPORT_KEYS, grains)
     return finish(merged, ["report", *REPORT_KEYS], [*FULL_METRICS, "rv"])
 
@@ -162,34 +186,36 @@ def movement(
 
     `hands` adds how many of the pitches are thrown with either hand.
     """
-    chosen = exclude_date(pitcher_dates(df, pitchers, date_from, date_to))
+    sides = ("Right", "Left") if hands else ()
+    if isinstance(df, DataFrame):
+        report = _movement(df, (pitchers, date_from, date_to), types, sides)
+    else:
+        report = df.movement(types, sides, pitchers, date_from, date_to)
+    handed = [f"{side.lower()}_handed" for side in sides]
+    return add_mix(report.select(*_MOVEMENT_COLUMNS, *handed), ["Pitcher"]).orderBy(
+        "Pitcher", *_most_used("pitch_type", types)
+    )
+
+
+def _movement(df: DataFrame, dates, types: tuple[str, ...], sides: Sequence[str]) -> DataFrame:
+    chosen = exclude_date(pitcher_dates(df, *dates))
     typed = movement_bands(pitch_type(tagged_pitches(chosen), types))
     vaa = F.col("VertApprAngle")
 
-    def mean(name: str, digits: int):
-        return round_half_up(exact_mean(F.col(name)), digits)
+    def band_mean(band: str):
+        return round_half_up(exact_mean(F.when(F.col(band), vaa)), 2)
 
-    keys, sides = ["Pitcher", "pitch_type"], ("Right", "Left") if hands else ()
-    report = typed.groupBy(*keys).agg(
+    return typed.groupBy("Pitcher", "pitch_type").agg(
         F.count(F.lit(1)).alias("pitches"),
-        mean("RelSpeed", 1).alias("velo"),
         round_half_up(F.max("RelSpeed"), 1).alias("max_velo"),
-        mean("InducedVertBreak", 1).alias("ivb"),
-        mean("HorzBreak", 1).alias("hb"),
-        mean("SpinRate", 0).alias("spin_rate"),
-        mean("SpinAxis", 0).alias("spin_axis"),
-        mean("RelHeight", 1).alias("rel_height"),
-        mean("RelSide", 1).alias("rel_side"),
-        mean("Extension", 1).alias("ext"),
-        round_half_up(exact_mean(F.when(F.col("TopZone"), vaa)), 2).alias("top_zone_vaa"),
-        round_half_up(exact_mean(F.when(F.col("BotZone"), vaa)), 2).alias(
-            "bot_zone_vaa"
+        *(
+            round_half_up(exact_mean(F.col(column)), digits).alias(name)
+            for name, (column, digits) in MOVEMENT_MEANS.items()
         ),
-        mean("wStuff_plus_2", 0).alias("wstuff_plus"),
-        mean("Stuff_plus", 0).alias("stuff_plus"),
+        band_mean("TopZone").alias("top_zone_vaa"),
+        band_mean("BotZone").alias("bot_zone_vaa"),
         *(F.count_if(F.col("PitcherThrows") == side).alias(f"{side.lower()}_handed") for side in sides),
     )
-    return add_mix(report, ["Pitcher"]).orderBy("Pitcher", *_most_used("pitch_type", types))
 
 
 def pitcher_names(df, pitchers=None, date_from=None, date_to=None, dated=True) -> DataFrame:
@@ -197,9 +223,12 @@ def pitcher_names(df, pitchers=None, date_from=None, date_to=None, dated=True) -
 
     Tables count inside the date range (`dated`), charts over all dates.
     """
-    chosen = pitcher_dates(df, pitchers, *((date_from, date_to) if dated else ()))
+    dates = (pitchers, *((date_from, date_to) if dated else ()))
     first, last = name_parts("Pitcher")
-    counted = chosen.groupBy("Pitcher").agg(F.count(F.lit(1)).alias("pitches"))
+    if isinstance(df, DataFrame):
+        counted = pitcher_dates(df, *dates).groupBy("Pitcher").agg(F.count(F.lit(1)).alias("pitches"))
+    else:
+        counted = df.names(*dates)
     return counted.withColumns({"first_name": first, "last_name": last}).orderBy("Pitcher")
 
 
