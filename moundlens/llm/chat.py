@@ -10,7 +10,8 @@ they are repeated, so each is learnt from once.
 
 A turn is written `<s>role\ntext</s>\n`. Control strings inside a text get a backslash after their
 first character, and texts that already have backslashes there get one more, so that unescaping
-takes exactly one away. In roles, backslashes and line breaks are escaped.
+takes exactly one away. In roles, `%`, line breaks, `<` and `[` are written as `%25`, `%0A`, `%3C` and
+`%5B`, so a role reads back whatever it holds.
 
 Defined cases: a null text or role is an empty one; turns are ordered by number (nulls first), then
 role and text, and repeated rows are turns of their own; rows without a conversation id form one
@@ -31,6 +32,8 @@ OPEN, CLOSE = "<s>", "</s>"
 # Control strings of this template and of a widespread other one.
 _CONTROL = r"([<\[])({0}\\*)(/?s>|</?SYS>>|/?INST\])"
 _ESCAPE, _UNESCAPE = _CONTROL.replace("{0}", ""), _CONTROL.replace("({0}", r"\\(")
+# What a role may not hold as it is: the marks, the line break after it, and the sign of a code.
+_ROLE_CODES = {"%": "%25", "\n": "%0A", "<": "%3C", "[": "%5B"}
 
 
 def escape(text: Column) -> Column:
@@ -42,13 +45,16 @@ def unescape(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    for char, code in _ROLE_CODES.items():
+        role = F.replace(role, F.lit(char), F.lit(code))
+    return role
 
 
 def _unescape_role(role: Column) -> Column:
-    # the mark keeps a doubled backslash apart from the one of a line break
-    kept = F.replace(role, F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(kept, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # the percent sign last: until then each one is the start of a code
+    for char, code in reversed(_ROLE_CODES.items()):
+        role = F.replace(role, F.lit(code), F.lit(char))
+    return role
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -13,7 +13,7 @@ from moundlens.llm import chat
 def conversations():
     rng = random.Random(2)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "<\\s>", "<\\\\/s>", "[\\/INST]", "<", "[", "\n", "é😀", "a", "word ", ""]
-    roles = ["user", "assistant", "system", None, "a\\n\nb", "\\"]
+    roles = ["user", "assistant", "system", None, "a\\n\nb", "\\", "x</s>", "x</s>\n<s>y", "a\0b", "\\n", "%3C%250A", "[INST]"]
     texts = [None, "", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 500))) for _ in range(30))]
     rows = [(rng.choice([None, *range(9)]), rng.choice([None, *range(12)]), rng.choice(roles), rng.choice(texts)) for _ in range(200)]
     return rows + rows[:5] + [(50, 0, "system", "be brief"), (51, 0, "assistant", "x" * 20_000)]
@@ -58,6 +58,14 @@ def test_budget_system_and_history(spark):
     assert sum(s.loss for r in got for s in r.spans) == 10
 
 
+def test_a_role_takes_no_text_with_it(spark):
+    rows = [(1, 0, "x</s>", "hello"), (1, 1, "assistant", "hi"), (1, 2, "a\0b", "</s>"), (1, 3, "\\n", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (got,) = chat.read_back(chat.windows(df)).collect()
+    assert [tuple(t) for t in got.turns] == [r[2:] for r in rows] and got.targets == ["hi"]
+    assert chat.windows(df).first().formatted.count("</s>") == 4
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.windows(df).count() == 0
