@@ -72,6 +72,7 @@ LISTED_TYPE = f"CASE WHEN TaggedPitchType IN ({_quoted(*TYPES)}) THEN TaggedPitc
 
 _FX1 = ", ".join(PITCH_COLUMNS)
 _sql("scan_csv", f"SELECT {_FX1} FROM pitches")
+_sql("season_loads", f"SELECT {_FX1} FROM pitches")
 _sql("align_schema", f"SELECT {_FX1} FROM pitches")
 _sql(
     "sink_csv",

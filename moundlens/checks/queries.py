@@ -19,10 +19,11 @@ from moundlens.plans import (
 )
 from moundlens.schema import (
     PIPELINE_TYPES, PITCH_COLUMNS, PITCH_TYPE_ORDER, REPORT_SWINGS,
-    SWING_CLASSES,
+    STORE_SEASON, SWING_CLASSES,
 )
-from moundlens.sources.pitch_log import align_schema, read_season_csv, union_seasons, write_csv
+from moundlens.sources.pitch_log import align_schema, read_season_csv, read_store, union_seasons, write_csv
 from moundlens.sources.scratch import fresh_path, materialize
+from moundlens.sources.season_load import load_games
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -57,6 +58,21 @@ def scan_csv(log):
     return read_season_csv(log.sparkSession, path)
 
 
+@_query
+def season_loads(log):
+    """The log by way of a wrong early delivery, a correction, and the same files once more."""
+    path, pitches_ = fresh_path(log.sparkSession, "loaded"), log.drop(STORE_SEASON)
+    wrong = pitches_.where((F.col("Inning") > 2) | (F.year("Date") != 2023))
+    late = wrong.withColumn("Date", F.when(F.month("Date") == 3, F.date_add("Date", 400)).otherwise(F.col("Date")))
+    stray = late.withColumn("gameID", F.concat(F.lit("stray"), F.pmod(F.xxhash64("PitchUID"), F.lit(9))))
+    load_games(late.unionByName(stray), path)
+    names = stray.select("gameID").distinct()
+    first, again = load_games(pitches_, path, names), load_games(pitches_, path)
+    if (again.inserted, again.replaced, again.deleted) != (0, 0, 0) or not first.deleted:
+        raise RuntimeError("a second load of the same games changed the store")
+    return read_store(log.sparkSession, path).select(*PITCH_COLUMNS)
+
+
 @_query
 def align_schema_(log):
     wider = log.select(

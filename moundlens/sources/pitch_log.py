@@ -76,18 +76,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("nullValue", "NA").csv(path)
 
 
-def write_store(df: DataFrame, path: str, clustered: bool = True) -> None:
+def write_store(df: DataFrame, path: str, clustered: bool = True, mode: str = "error") -> None:
     """Parquet partitioned by season, so that a date filter skips whole folders.
 
     `clustered` also lays each season out by pitcher, so that the report of one pitcher skips most
     row groups. Partitions follow the size of the data: small pitchers share one, and one with
-    very many pitches is cut into several files. The partition column has a reserved name.
+    very many pitches is cut into several files. The partition column has a reserved name. With the
+    mode `overwrite`, the seasons of `df` are replaced and others stay.
     """
     seasoned = df.withColumn(STORE_SEASON, F.year("Date"))
     if clustered:
         order = [STORE_SEASON, "Pitcher", "Date", "PitchUID"]
         seasoned = seasoned.hint("rebalance", *order[:2]).sortWithinPartitions(*order)
-    seasoned.write.partitionBy(STORE_SEASON).parquet(path)
+    writer = seasoned.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(STORE_SEASON).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
