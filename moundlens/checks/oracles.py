@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from moundlens.checks.fixture import FIXTURE_CTES
 from moundlens.schema import (
-    FASTBALL_FEATURES, DIFF_FEATURES, LEAGUE_AVERAGE_COLUMNS, LEAGUE_AVERAGES, PITCH_COLUMNS,
+    FASTBALL_FEATURES, DIFF_FEATURES, LEAGUE_AVERAGE_COLUMNS, LEAGUE_AVERAGES, PITCH_COLUMNS, PITCH_SCHEMA,
     SCORED_COLUMNS,
 )
 
@@ -71,7 +71,30 @@ LISTED_TYPE = f"CASE WHEN TaggedPitchType IN ({_quoted(*TYPES)}) THEN TaggedPitc
 # --- sources and sinks
 
 _FX1 = ", ".join(PITCH_COLUMNS)
+
+
+def _kind(field) -> str:
+    """Narrowest type of a column's values as text."""
+    kind = field.dataType.simpleString()
+    if kind != "string":
+        return f"'{kind}'"
+    whole = f"bool_and(regexp_full_match({field.name}, '[+-]?[0-9]+'))"
+    return f"CASE WHEN {whole} THEN 'int' ELSE 'string' END"
+
+
 _sql("scan_csv", f"SELECT {_FX1} FROM pitches")
+_sql(
+    "inferred_types",
+    "\nUNION ALL ".join(
+        f"""SELECT '{f.name}' AS name, CASE WHEN count({f.name}) = 0 THEN 'string' ELSE {_kind(f)} END AS kind FROM pitches"""
+        for f in PITCH_SCHEMA
+    ),
+)
+_sql(
+    "quarantined_records",
+    """SELECT PitchUID, CASE md5(PitchUID)[1] WHEN '0' THEN 'Balls' WHEN '1' THEN 'Date,RelSpeed'
+  WHEN '2' THEN 'RelSpeed' ELSE '' END AS problems FROM pitches""",
+)
 _sql("season_loads", f"SELECT {_FX1} FROM pitches")
 _sql("align_schema", f"SELECT {_FX1} FROM pitches")
 _sql(

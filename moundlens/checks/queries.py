@@ -24,6 +24,7 @@ from moundlens.schema import (
 from moundlens.sources.pitch_log import align_schema, read_season_csv, read_store, union_seasons, write_csv
 from moundlens.sources.scratch import fresh_path, materialize
 from moundlens.sources.season_load import load_games
+from moundlens.sources.typed_scan import infer_types, scan_season
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -58,6 +59,32 @@ def scan_csv(log):
     return read_season_csv(log.sparkSession, path)
 
 
+@_query
+def inferred_types(log):
+    spark, path = log.sparkSession, fresh_path(log.sparkSession, "csv")
+    write_csv(log.select(*PITCH_COLUMNS), path)
+    found = [(f.name, f.dataType.simpleString()) for f in infer_types(spark, path)]
+    return spark.createDataFrame(found, "name string, kind string")
+
+
+@_query
+def quarantined_records(log):
+    """Records with planted faults, by the column that they are found in."""
+    spark, path = log.sparkSession, fresh_path(log.sparkSession, "csv")
+    sort = F.substring(F.md5("PitchUID"), 1, 1)
+    spoilt = {
+        "Balls": F.when(sort == "0", F.lit("two")).otherwise(F.col("Balls").cast("string")),
+        "Date": F.when(sort == "1", F.lit("2023-02-30")).otherwise(F.col("Date").cast("string")),
+        "RelSpeed": F.when(sort.isin("1", "2"), F.lit("9o.1")).otherwise(F.col("RelSpeed").cast("string")),
+    }
+    write_csv(log.select("PitchUID", "Balls", "Date", "RelSpeed").withColumns(spoilt), path)
+    scan = scan_season(spark, path, log.select("PitchUID", "Balls", "Date", "RelSpeed").schema)
+    bad = scan.quarantine.select(
+        F.split_part("text", F.lit(","), F.lit(1)).alias("PitchUID"), F.array_join("problems", ",").alias("problems")
+    )
+    return bad.unionByName(scan.rows.select("PitchUID", F.lit("").alias("problems")))
+
+
 @_query
 def season_loads(log):
     """The log by way of a wrong early delivery, a correction, and the same files once more."""
