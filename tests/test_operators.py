@@ -61,6 +61,10 @@ def test_quantiles_equal_numpy(spark, limits):
     df = spark.createDataFrame([*rows, ("hot", None)], "k string, v double")
     shares = {"a": 0.0, "b": 0.25, "c": 1 / 14, "d": 0.75, "e": 1.0}
     found = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", shares, limits).collect()}
+    shuffled = exact_quantiles(df, ["k"], "v", shares, limits, broadcast_bytes=0).collect()
+    assert {r["k"]: r for r in shuffled} == found
+    twice = exact_quantiles(df.withColumn("w", F.lit(1)), ["k"], "v", shares, limits, weight="w").collect()
+    assert {r["k"]: r for r in twice} == found
     for key, vs in values.items():
         row = found[None if key == "ties" else key]
         for name, share in shares.items():
