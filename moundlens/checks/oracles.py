@@ -881,7 +881,8 @@ _sql(
     f"""SELECT {", ".join(f"(SELECT {_r(f'quantile_cont(y - b0 - b1 * x, {q})', 6)} FROM obs, fit) AS residual_{name}" for name, q in _QUARTS)},
   {_r("sqrt(rss / df)", 6)} AS sigma, {_r("1e0 - rss / syy", 6)} AS r_squared,
   {_r("1e0 - rss / syy * (n - 1) / df", 6)} AS adj_r_squared, {_r("t_value * t_value", 6)} AS f_value,
-  1e0 AS df1, df AS df2, {_r(_P, 6)} AS p_value
+  1e0 AS df1, df AS df2,
+  CASE WHEN t_value IS NOT NULL THEN {_r(_P, 6)} END AS p_value
 FROM (SELECT *, b1 / sqrt(rss / df / sxx) AS t_value FROM fit)""",
     *_SAMPLE_CTES, _FIT,
 )
@@ -1069,7 +1070,7 @@ _sql(
     "mixed_model_summary",
     " UNION ALL ".join(
         [f"SELECT '{part}' AS part, '{name}' AS name, {_r(value, 4)} AS value FROM info" for part, name, value in _SUMMARY]
-        + [f"SELECT 'scaled_residual', '{name}', {_r(f'quantile_cont(r, {q})', 4)} FROM scaled" for name, q in _QUARTS]
+        + [f"SELECT 'scaled_residual', '{name}', {_r(f'quantile_cont(r, {q})', 4)} FROM scaled HAVING count(*) > 0" for name, q in _QUARTS]
     ),
     *_SAMPLE_CTES, _FIT, *_reml_rounds(), _INFO,
 )
