@@ -21,7 +21,9 @@ from moundlens.schema import (
     PIPELINE_TYPES, PITCH_COLUMNS, PITCH_TYPE_ORDER, REPORT_SWINGS,
     STORE_SEASON, SWING_CLASSES,
 )
+from moundlens.sources.keyed_store import KeyedStore
 from moundlens.sources.pitch_log import align_schema, read_season_csv, read_store, union_seasons, write_csv
+from moundlens.sources.pruned_store import write_pruned_store
 from moundlens.sources.scratch import fresh_path, materialize
 from moundlens.sources.season_load import load_games
 from moundlens.sources.typed_scan import infer_types, scan_season
@@ -257,6 +259,25 @@ def join_pa_counts(log):
     return platoon.join_pa_counts(platoon.final_pitches(log))
 
 
+def _keyed(log: DataFrame, keys: list[str]) -> KeyedStore:
+    return KeyedStore.write(log, fresh_path(log.sparkSession, "keyed"), keys)
+
+
+@_query
+def join_stored_baseline(log):
+    """`join_fastball_baseline` bucket by bucket."""
+    joined = swing.join_stored_baseline(_keyed(log, swing.BASELINE_KEYS))
+    return joined.select(
+        "PitchUID", "Pitcher", "Date", "Fastball_Velo", "Fastball_HB", "Fastball_IVB"
+    )
+
+
+@_query
+def join_stored_counts(log):
+    """`join_pa_counts` bucket by bucket."""
+    return platoon.join_stored_counts(_keyed(log, platoon.BATTER))
+
+
 @_query
 def paired_split_join(log):
     return platoon.paired_split_join(platoon.split_woba(platoon.final_pitches(log)))
@@ -877,6 +898,12 @@ def model_ready(log):
     return swing.model_ready(log, event_weights(log))
 
 
+@_query
+def model_ready_stored(log):
+    """`model_ready` bucket by bucket."""
+    return swing.model_ready(_keyed(log, swing.BASELINE_KEYS), event_weights(log))
+
+
 @_query
 def feature_sets(log):
     ready = _ready(log)
@@ -911,6 +938,14 @@ def team_chase_diff(log):
     return leaderboards.team_chase_board(log)
 
 
+@_query
+def team_chase_diff_pruned(log):
+    """`team_chase_diff` out of a store that is laid out by pitcher, batter and date."""
+    path = fresh_path(log.sparkSession, "pruned")
+    write_pruned_store(log.drop(STORE_SEASON), path)
+    return leaderboards.team_chase_board(read_store(log.sparkSession, path))
+
+
 @_query
 def overall_chase_diff(log):
     return leaderboards.chase_diff(log, min_n=200, k=15)

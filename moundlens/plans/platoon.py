@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import exp, log, nan, pi, sqrt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from moundlens.functions.numbers import exact_mean
 from moundlens.functions.student_t import two_sided_p
@@ -13,6 +13,7 @@ from moundlens.operators.filters import by_level, by_membership
 from moundlens.operators.flags import platoon_side
 from moundlens.operators.joins import BROADCAST_BYTES, join_group_table
 from moundlens.operators.ranking import exact_quantiles
+from moundlens.sources.keyed_store import GROUP, PART, PARTS, KeyedStore
 from moundlens.sources.scratch import materialize
 
 BATTER = ["Batter", "BatterTeam"]
@@ -20,38 +21,58 @@ LARGEST_PSI = 1e16
 QUARTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 
-def final_pitches(df: DataFrame) -> DataFrame:
+def final_pitches(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Last pitch of each plate appearance between batters and pitchers of known hand."""
     kept = by_membership(by_level(df), "PitcherThrows", ("Left", "Right"))
     kept = by_membership(kept, "BatterSide", ("Left", "Right")).where(F.col("woba_denom") == 1)
     return kept.select(
-        "PitchUID", *BATTER, platoon_side().alias("Platoon_Advantage"), "woba_value", "woba_denom"
+        "PitchUID", *BATTER, platoon_side().alias("Platoon_Advantage"), "woba_value", "woba_denom",
+        *extra,
     )
 
 
-def appearance_counts(finals: DataFrame) -> DataFrame:
+def _appearance_measures() -> list[Column]:
     side = F.col("Platoon_Advantage")
 
     def on(label: str):
         return F.coalesce(F.sum(F.when(side == label, F.col("woba_denom"))), F.lit(0))
 
-    return finals.groupBy(*BATTER).agg(
+    return [
         F.count(F.lit(1)).alias("PA"),
         on("Same Side").alias("Same_Side_PA"),
         on("Oppo Side").alias("Oppo_Side_PA"),
-    )
+    ]
+
+
+def appearance_counts(finals: DataFrame) -> DataFrame:
+    return finals.groupBy(*BATTER).agg(*_appearance_measures())
+
+
+def join_stored_counts(store: KeyedStore, having: Column | None = None) -> DataFrame:
+    """`join_pa_counts` out of a store keyed by BATTER, without moving a pitch."""
+    if store.keys != tuple(BATTER):
+        raise ValueError(f"the store is keyed by {store.keys}, not by {BATTER}")
+    finals = final_pitches(store.rows, (GROUP, PART, PARTS))
+    counts = store.summarize(finals, *_appearance_measures(), having=having)
+    return store.join(finals, store.repeated(counts))
 
 
 def platoon_sample(
-    df: DataFrame, min_pa: int = 150, min_side: int = 35, broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame | KeyedStore, min_pa: int = 150, min_side: int = 35, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Plate appearances of batters with enough of them, overall and on each side."""
-    finals = final_pitches(df)
-    enough = appearance_counts(finals).where(
+    """Plate appearances of batters with enough of them, overall and on each side.
+
+    A store keyed by BATTER in place of the log gives the same rows and shuffles no pitch.
+    """
+    frequent = (
         (F.col("PA") >= min_pa)
         & (F.col("Same_Side_PA") >= min_side)
         & (F.col("Oppo_Side_PA") >= min_side)
     )
+    if isinstance(df, KeyedStore):
+        return join_stored_counts(df, frequent)
+    finals = final_pitches(df)
+    enough = appearance_counts(finals).where(frequent)
     return join_group_table(
         finals, enough.withColumn("group_rows", F.col("PA")), BATTER, F.xxhash64("PitchUID"),
         broadcast_bytes=broadcast_bytes,
