@@ -13,8 +13,8 @@ everywhere keeps the join exact; rarity only keeps candidate lists short.
    a line of a later document goes. What is left to ask is one question for a class: does a class
    that starts in an earlier document match it? (Lines of one document are compared in its block.)
 2. A second exchange finds the prefix tokens that several classes have, and in how many lines.
-3. Only those are joined. Lists longer than `LIST` entries are split over several groups: an entry
-   is listed in one of them and asks in all. Candidates pass the length and position filters and a
+3. Only those are joined. Lists longer than `LIST` entries are cut into parts, and every pair of a
+   listed and an asking part is a group of its own. Candidates pass the length and position filters and a
    bitmap of 128 bits, in which two sets differ in no more places than they differ in tokens. A class
    takes the `FIRST` earliest candidates of a long list, and only if none of them is verified, all
    the others. So a crowd of variants of one line is settled by its first members.
@@ -483,6 +483,11 @@ def _searched(docs: DataFrame, id_at: int, text_at: int, whole: bool, cut: Calla
     return blocks.with_answers(table, gone, finish, schema)
 
 
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _entries(left: pa.Table, right: pa.Table, parts: int, late: bool) -> pa.Table:
     """What one block lists and asks under its shared prefix tokens."""
     first, listed, again = (right.filter(pc.field("kind") == k) for k in (0, 1, 2))
@@ -504,14 +509,19 @@ def _entries(left: pa.Table, right: pa.Table, parts: int, late: bool) -> pa.Tabl
     home = (mix(at["name"][which]) % lists.astype(np.uint64)).astype(np.int64)
     e = [found.token[hit], at["name"][which], at["size"][which], found.place[hit], at["bits"][which],
          at["more"][which], at["owner"][which], at["line"][which], asks, home]
-    extra = np.flatnonzero((lists > 1) & (asks > 0))
-    if len(extra):  # asks in every other part of a split list as well
-        rep = np.repeat(extra, lists[extra])
-        salt = np.arange(len(rep)) - np.repeat(np.cumsum(lists[extra]) - lists[extra], lists[extra])
-        rep, salt = rep[salt != home[rep]], salt[salt != home[rep]]
-        more = [x[rep] for x in e]
-        more[-2], more[-1] = np.full(len(rep), 2, np.int64), salt
-        e = [np.concatenate(pair) for pair in zip(e, more, strict=True)]
+    split = np.flatnonzero(lists > 1)
+    if len(split):
+        # A list of L parts makes L * L groups, one for each pair (part listed, part asking): every
+        # entry is listed in the groups of its row and asks in those of its column.
+        count, own = lists[split], home[split]
+        rep, other = np.repeat(split, count), _ranges(count)
+        mine, many = np.repeat(own, count), np.repeat(count, count)
+        both = mine == other
+        listed_at = [*(x[rep] for x in e[:-2]), np.where(both, asks[rep], 0), mine * many + other]
+        asking = np.flatnonzero(~both & (asks[rep] > 0))
+        asks_at = [*(x[rep[asking]] for x in e[:-2]), np.full(len(asking), 2, np.int64), (other * many + mine)[asking]]
+        alone = lists == 1
+        e = [np.concatenate([x[alone], a, b]) for x, a, b in zip(e, listed_at, asks_at, strict=True)]
     part = blocks.part_of(mix(e[0] + e[-1].astype(np.uint64)), parts).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part, e = part[order], [x[order] for x in e]

@@ -6,14 +6,19 @@ ordered by that number, then by a hash of the id, and cut into runs. The law is
 of any two shards differ by one row at most. Each shard covers a compact region, so the minimum and
 maximum of every dimension in its files prune it.
 
-No single task orders all rows. A cell is spread over buckets by the hash of the id, as many as its
-share of `BUCKETS`: a cell that holds a third of all rows gets a third of them. Rows are numbered
-inside their bucket, and running totals of the bucket counts, at most `BUCKETS` and one for each
-cell at any corpus size, turn that into a place in the whole order.
+No single task orders all rows. A cell is spread over buckets by a hash of the id and the other
+columns, as many as its share of `BUCKETS`: a cell that holds a third of all rows gets a third of
+them, whether their ids are null, equal or all different. Only rows equal in every column would still
+meet in one bucket; where they crowd one, the rows are written once with their places in the source,
+and those spread them. Rows are numbered inside their bucket, and running totals of the bucket
+counts, at most `BUCKETS` and one for each cell at any corpus size, turn that into a place in the
+whole order.
 
 Numbers are quantised by their logarithm, so no pass is needed for their range; other columns by a
-hash. Defined cases: a null dimension is quantile 0; repeated rows and ids get slots of their own;
-an empty table gives an empty result; other columns pass through under any name.
+hash. Defined cases: a null dimension is quantile 0; null and repeated ids get slots of their own, in
+an order that the other columns decide; equal rows are interchangeable; very long texts and empty ones
+count only by their quantised metadata; an empty table gives an empty result; other columns pass
+through under any name (columns that hold maps or variants take no part in the hash).
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
-from moundlens.llm.common import read_table
+from moundlens.llm.common import durable, read_table
 
 BITS = 4
 BUCKETS = 8192
+CROWDED = 100_000  # rows beyond twice its share that a bucket may hold
 SHARDS = 40
 OVERHEAD = 16  # bytes that a row costs beside its text
 
@@ -93,12 +99,17 @@ def hilbert(cells: list[Column], bits: int) -> Column:
     return _let(state, number)
 
 
+def _unhashable(kind: str) -> bool:
+    return "map<" in kind or "variant" in kind
+
+
 def assign(
     docs: DataFrame,
     dimensions: tuple[str, ...] = ("lang", "source", "n_chars"),
     id_col: str = "doc_id",
     shards: int = SHARDS,
     bits: int = BITS,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """The rows' columns, then `curve`, `shard` and `slot` (the last three by position)."""
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -106,17 +117,26 @@ def assign(
     df = docs.toDF(*names)
     cells = [f"_q{k}" for k in range(len(dimensions))]
     quantiles = (quantised(df, of[d], bits).alias(c) for d, c in zip(dimensions, cells, strict=True))
-    df = df.select("*", F.xxhash64(of[id_col]).alias("_key"), *quantiles)
+    hashable = [f"c{k}" for k, f in enumerate(docs.schema.fields) if not _unhashable(f.dataType.simpleString())]
+    keys = [F.xxhash64(of[id_col]).alias("_key"), F.xxhash64(F.lit(BITS), *hashable).alias("_digest")]
+    df = df.select("*", *keys, *quantiles)
     # at most 2**(bits * dimensions) rows, whatever the corpus: broadcast is safe
     share = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
     share = share.select(*cells, "_n", F.sum("_n").over(Window.partitionBy()).alias("_all"))
     buckets = F.ceil(F.col("_n") * F.lit(float(BUCKETS)) / F.col("_all"))
     share = share.select(*cells, "_all", buckets.alias("_m"), hilbert([F.col(c) for c in cells], bits).alias("_h"))
-    df = df.join(F.broadcast(share), cells).drop(*cells).withColumn("_b", F.pmod("_key", "_m"))
-    sizes = df.groupBy("_h", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    df = df.join(F.broadcast(share), cells).drop(*cells)
+    df = df.withColumn("_b", F.pmod(F.xxhash64("_key", "_digest"), "_m"))
+    sizes = df.groupBy("_h", "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"))
+    if not sizes.where(F.col("_n") > F.col("_all") * F.lit(2.0 / BUCKETS) + crowded).isEmpty():
+        # only equal rows can crowd a bucket: their places in the written table tell them apart
+        df = durable(df.withColumn("_place", F.monotonically_increasing_id()), "sharding-rows")
+        spread = F.pmod(F.xxhash64("_key", "_digest", "_place"), F.col("_m"))
+        df = df.withColumn("_b", spread).drop("_place")
+        sizes = df.groupBy("_h", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_h", "_b")) - F.col("_n")
     offsets = sizes.select("_h", "_b", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_h", "_b").orderBy("_key", of[id_col])) - 1
+    inside = F.row_number().over(Window.partitionBy("_h", "_b").orderBy("_key", of[id_col], "_digest")) - 1
     df = df.withColumn("_row", inside).join(F.broadcast(offsets), ["_h", "_b"])
     df = df.withColumn("_place", F.col("_before") + F.col("_row"))
     df = df.withColumn("_shard", F.expr(f"_place * {shards} div _all"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from moundlens.llm import bpe, decontaminate, licenses, lines, quality, sharding, simhash, substrings, tokencounts
 
@@ -137,6 +139,54 @@ def alike(a, b):
     return 9 * len(a & b) >= 4 * (len(a) + len(b))
 
 
+def test_hot_tokens_are_split_on_both_sides(monkeypatch, spark):
+    """Variants of one line under a list cut into many parts: nothing is missed."""
+    rng = random.Random(8)
+    base = words(rng, 40, 5000).split()
+    texts = []
+    for k in range(400):
+        other = [*base, f"new{k}"]
+        if k % 2:
+            other[rng.randrange(len(base))] = other.pop()
+        texts.append(" ".join(other))
+    monkeypatch.setattr(lines, "LIST", 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute.repeated_lines(list(enumerate(texts)))
+    got = {r.doc_id: len(r.removed) for r in lines.find(docs).collect()}
+    assert got == {k: len(want.get(k, [])) for k in range(len(texts))} and sum(got.values()) > 150
+
+
+def test_groups_of_a_split_token(monkeypatch):
+    """Every ordered pair of entries meets in exactly one group, and no group holds more than two parts."""
+    monkeypatch.setattr(lines, "LIST", 50)
+    n, rng = 1000, np.random.default_rng(4)
+    names = rng.integers(1, 1 << 62, n).astype(np.uint64)
+    prefixes = SimpleNamespace(
+        at=np.zeros(n, [(x, k) for x, k in lines._ENTRY if x not in ("token", "place", "asks", "salt")] + [("gone", np.int64)]),
+        token=np.full(n, 9, np.uint64), which=np.arange(n), place=np.zeros(n, np.int64),
+    )
+    prefixes.at["name"] = names
+    prefixes.at["gone"][: n // 4] = 1  # these only list
+    monkeypatch.setattr(lines, "Prefixes", lambda data: prefixes)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    hot = (np.array([9], np.uint64), np.zeros(1, np.int64), np.array([n], np.int64))
+    monkeypatch.setattr(lines.blocks, "answers", lambda told: hot if told.num_rows else none)
+    told = pa.table({"kind": [1], "keys": [b""], "low": [b""], "often": [b""]})
+    left = pa.table({"block": [3], "prefixes": [b""]})
+    out = lines._entries(left, told, 7, False)
+    column = {x: np.concatenate([np.frombuffer(b, k) for b in out.column(x).to_pylist()]) for x, k in lines._ENTRY}
+    met: dict[tuple[int, int], int] = {}
+    for salt in np.unique(column["salt"]):
+        inside = column["salt"] == salt
+        assert inside.sum() <= 2 * 1.8 * lines.LIST  # two parts of a hashed split
+        asks, name = column["asks"][inside], column["name"][inside].tolist()
+        listing = [x for x, a in zip(name, asks, strict=True) if a != 2]
+        for i in (x for x, a in zip(name, asks, strict=True) if a > 0):
+            for j in listing:
+                met[i, j] = met.get((i, j), 0) + 1
+    assert set(met.values()) == {1} and len(met) == (n - n // 4) * n
+
+
 @pytest.mark.parametrize("tight", [False, True])
 def test_whole_texts(monkeypatch, docs, odd, empty, tight):
     if tight:
@@ -279,6 +329,36 @@ def test_sharding(docs, odd, empty, tmp_path, spark):
     assert spark.read.parquet(path).groupBy("shard").count().count() == 3
 
 
+@pytest.mark.parametrize("rows", ["null ids", "one id", "equal rows"])
+def test_sharding_spreads_crowded_ids(spark, monkeypatch, rows):
+    """A third of the rows without an id, with one id, or equal in all columns, over many buckets."""
+    ids = {"null ids": "NULL", "one id": "7L", "equal rows": "7L"}[rows]
+    text = "'same'" if rows == "equal rows" else "CAST(id AS STRING)"
+    docs = spark.sql(
+        f"""SELECT IF(id % 3 = 0, {ids}, id) AS doc_id, IF(id % 3 = 0, {text}, CAST(id AS STRING)) AS text,
+        'en' AS lang, map('a', 1) AS _place FROM range(60000)"""
+    )
+    written: list[DataFrame] = []
+    durable = sharding.durable
+    monkeypatch.setattr(sharding, "durable", lambda df, name: written.append(durable(df, name)) or written[-1])
+    found = sharding.assign(docs, dimensions=("lang",), shards=7, crowded=100)
+    assert found.columns == [*docs.columns, "curve", "shard", "slot"] and len(written) == (rows == "equal rows")
+    got = found.select("doc_id", "text", "shard", "slot").collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted(
+        (r.doc_id or -1, r.text) for r in docs.select("doc_id", "text").collect()
+    )
+    slots: dict[int, list[int]] = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert {len(v) for v in slots.values()} <= {60000 // 7, 60000 // 7 + 1}
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    if rows != "equal rows":  # where a row goes does not depend on the order of the rows
+        other = sharding.assign(docs.orderBy(F.rand(3)), dimensions=("lang",), shards=7)
+        assert sorted(map(str, other.select("doc_id", "text", "shard", "slot").collect())) == sorted(map(str, got))
+
+
 @pytest.mark.parametrize(("n", "bits"), [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_steps_are_unit_steps(spark, n, bits):
     from itertools import product
