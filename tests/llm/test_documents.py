@@ -208,8 +208,7 @@ def test_whole_texts(monkeypatch, docs, odd, empty, tight):
 
 @pytest.mark.parametrize("tight", [False, True])
 def test_near_copies_beyond_two_bits_go(monkeypatch, spark, tight):
-    import corpus_pipeline
-
+    """Of the join of whole texts; the pipeline's stage links by fingerprints, see test_registered."""
     if tight:
         for name, value in {"FIRST": 1, "LIST": 10, "_SHORT": 2, "_STRIDE": 3}.items():
             monkeypatch.setattr(lines, name, value)
@@ -230,7 +229,7 @@ def test_near_copies_beyond_two_bits_go(monkeypatch, spark, tight):
     far = [k for k in set(range(len(texts))) - want if all((prints[j] ^ prints[k]).bit_count() > 2 for j in range(len(texts)) if j != k)]
     assert far  # texts that no fingerprint within two bits would find
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, made, SMALL).collect()} == want
+    assert {r.doc_id for r in lines.dedup_texts(made).collect()} == want
 
 
 @pytest.mark.parametrize("tight", [False, True])
