@@ -104,3 +104,18 @@ def test_a_users_season_column_filters_nothing(spark, make):
         labelled = log.withColumn("Season", F.expr(seasons))
         assert pitcher_dates(labelled, None, "2022-01-01", "2022-12-31").count() == 3
         assert in_year(labelled, 2022).count() == 3
+
+
+def test_an_unclustered_store_is_written_without_sorting(spark, make, tmp_path, monkeypatch):
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    writer = type(make({}).write)
+    plain = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path: (seen.append(spark.conf.get(name)), plain(self, path)))
+    before = spark.conf.get(name)
+    days = [dt.date(2022, 4, 1), None, dt.date(2023, 4, 1), dt.date(2022, 5, 1)]
+    rows = make(*({"Date": day} for day in days)).coalesce(1)
+    write_store(rows, str(tmp_path / "s"), clustered=False)
+    assert int(seen[0]) > 0 and spark.conf.get(name) == before
+    found = read_store(spark, str(tmp_path / "s"))
+    assert as_set(found.drop(STORE_SEASON)) == as_set(rows)
+    assert {r[0] for r in found.select(STORE_SEASON).distinct().collect()} == {2022, 2023, None}
