@@ -361,3 +361,23 @@ def test_a_pitcher_with_a_third_of_all_pitches(log):
         assert tasks.count() >= 6
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("convolve", [False, True])
+@pytest.mark.parametrize("made", [density.location_density, density.location_regions])
+def test_groups_that_fit_a_task_move_once(log, capsys, made, convolve):
+    whole = made(log, n=7, convolve=convolve)
+    whole.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    value = "ndensity" if made is density.location_density else "region"
+    keys = [c for c in ("Pitcher", "BatterSide", "TaggedPitchType") if c in whole.columns]
+
+    def cells(df):
+        return {tuple(r[k] for k in (*keys, "ix", "iy")): (r["density"], r[value]) for r in df.collect()}
+
+    found, spread = cells(whole), cells(made(log, n=7, convolve=convolve, whole_rows=0))
+    mixed = cells(made(log, n=7, convolve=convolve, whole_rows=40))
+    assert found and found.keys() == spread.keys() == mixed.keys()
+    for key, value_ in found.items():
+        assert value_ == pytest.approx(spread[key]) and value_ == pytest.approx(mixed[key])
