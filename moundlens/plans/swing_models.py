@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,6 +34,13 @@ def train_swing(
     return boosting.train({swing_class: _task(train, swing_class, depth)}, settings)[swing_class]
 
 
+def train_classes(
+    train: DataFrame, names: Iterable[str] = tuple(SWING_CLASSES), rounds: int = 300, rate: float = 0.1, seed: int = 2004
+) -> dict[str, BoostedModel]:
+    """The models of `train_swing`, grown side by side."""
+    return boosting.train({name: _task(train, name) for name in names}, Settings(rounds, rate, seed=seed))
+
+
 def _own_pitches(df: DataFrame, swing_class: str) -> DataFrame:
     return class_pitches(df, swing_class) if "TaggedPitchType" in df.columns else df
 
