@@ -1,7 +1,7 @@
 """Season files with inferred types, and a side table of the records that do not fit.
 
 Types are inferred from every row, not from a sample: each column keeps which of the types integer,
-double and date all its values fit (three booleans, folded on the map side), and gets the narrowest.
+double and date all its values fit (the least and the greatest place among the types, folded on the map side), and gets the narrowest.
 A record with another number of fields than the header, or with a value outside its column's type,
 does not vanish or lose the value: it goes to `quarantine` with its file, line and reasons.
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from moundlens.operators.joins import join_group_table
+from moundlens.session import WRITING, settings
 from moundlens.sources.scratch import materialize
 
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -31,7 +32,6 @@ DATE = r"^\d{4}-\d{2}-\d{2}$"
 LATTICE: dict[str, T.DataType] = {
     "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType(),
 }
-_PATTERNS = {"int": INTEGER, "bigint": INTEGER, "double": NUMBER, "date": DATE}
 
 
 @dataclass(frozen=True)
@@ -41,9 +41,16 @@ class Scan:
     schema: T.StructType
 
 
-def _fits(value: Column, kind: str) -> Column:
-    fits = value.rlike(_PATTERNS[kind]) & value.try_cast(LATTICE[kind]).isNotNull()
-    return F.when(value.isNotNull(), fits)  # a missing value says nothing
+def _kind(value: Column) -> Column:
+    """Place of the narrowest type in LATTICE that a value fits, past its end for text. Whole numbers
+    fit the later number types too; a missing value says nothing."""
+    fits = [value.try_cast(t).isNotNull() for t in LATTICE.values()]
+    number = F.when(value.rlike(INTEGER) & (fits[0] | fits[1]), F.when(fits[0], 0).otherwise(1))
+    number = F.when(value.rlike(NUMBER), F.coalesce(number, F.when(fits[2], 2), F.lit(len(LATTICE))))
+    return F.when(
+        value.isNotNull(),
+        F.coalesce(number, F.when(value.rlike(DATE) & fits[3], 3), F.lit(len(LATTICE))),
+    )
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -93,17 +100,20 @@ def _records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, lis
 
 
 def _inferred(records: DataFrame, names: list[str]) -> T.StructType:
-    whole = records.where(~F.col("malformed"))
-    folds = []
-    for k in range(len(names)):
-        value = F.col(f"c{k}")
-        folds += [F.bool_and(_fits(value, kind)).alias(f"{kind}{k}") for kind in LATTICE]
-    found = whole.agg(*folds).first()
+    whole = records.where(~F.col("malformed")).select(
+        *[_kind(F.col(f"c{k}")).alias(f"c{k}") for k in range(len(names))]
+    )
+    ends = [f(f"c{k}").alias(f"{end}{k}") for k in range(len(names)) for end, f in (("low", F.min), ("high", F.max))]
+    with settings(records.sparkSession, WRITING):  # so many folds in one method would be interpreted
+        found = whole.agg(*ends).first()
+
+    def widest(low: int | None, high: int | None) -> T.DataType:
+        types = list(LATTICE.values())
+        numbers = high is not None and high < 3
+        return types[high] if numbers or low == high == 3 else T.StringType()
+
     return T.StructType(
-        [
-            T.StructField(name, next((t for kind, t in LATTICE.items() if found[f"{kind}{k}"]), T.StringType()))
-            for k, name in enumerate(names)
-        ]
+        [T.StructField(name, widest(found[f"low{k}"], found[f"high{k}"])) for k, name in enumerate(names)]
     )
 
 
