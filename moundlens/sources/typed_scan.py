@@ -53,6 +53,12 @@ def _kind(value: Column) -> Column:
     )
 
 
+def _fits(value: Column, kind: str) -> Column:
+    """Whether a value fits a type of LATTICE."""
+    place = list(LATTICE).index(kind)
+    return _kind(value) == place if kind == "date" else _kind(value) <= place
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, text) of every line, numbered from 1 in its file."""
     read = spark.read.text(path).select(

@@ -119,3 +119,9 @@ def test_the_fold_is_one_small_row(spark, tmp_path):
     plan = folded._jdf.queryExecution().executedPlan().toString()
     assert "partial_bool_and" in plan or "partial_min" in plan
     assert [f.dataType.simpleString() for f in typed_scan._inferred(records, names)] == ["int", "double"]
+
+
+def test_a_value_is_placed_once_among_the_types(spark):
+    values = ["1", "-2147483649", "9" * 30, "1.5", "1e999", ".", "2023-02-28", "2023-02-30", "x", "1 ", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in df.select(typed_scan._kind(df.v)).collect()] == [0, 1, 2, 2, 2, 4, 3, 4, 4, 4, None]
