@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import as_set
+from moundlens.checks import fixture
 from moundlens.operators.filters import in_year, pitcher_dates
 from moundlens.schema import LATER_COLUMNS, PITCH_COLUMNS, PITCH_SCHEMA, STORE_SEASON
 from moundlens.sources.pitch_log import (
@@ -119,3 +120,17 @@ def test_an_unclustered_store_is_written_without_sorting(spark, make, tmp_path,
     found = read_store(spark, str(tmp_path / "s"))
     assert as_set(found.drop(STORE_SEASON)) == as_set(rows)
     assert {r[0] for r in found.select(STORE_SEASON).distinct().collect()} == {2022, 2023, None}
+
+
+def test_a_tasks_share_of_the_logs_join_does_not_grow(spark, tmp_path, monkeypatch):
+    line = "id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, DOUBLE(id) AS l_extendedprice"
+    spark.range(20).selectExpr(*line.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(20).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    names, seen = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"), []
+    before = [spark.conf.get(n) for n in names]
+    plain = fixture.write_store
+    monkeypatch.setattr(fixture, "write_store", lambda *a, **k: (seen.append([spark.conf.get(n) for n in names]), plain(*a, **k)))
+    monkeypatch.setattr(fixture, "ROWS_PER_TASK", 1)
+    assert fixture.pitches(spark, str(tmp_path)).count() == 20
+    assert int(seen[0][0]) >= 20 and seen[0][1] == "25"
+    assert [spark.conf.get(n) for n in names] == before
