@@ -23,10 +23,8 @@ RECOMMENDED = {
 # Compiled methods, and a file of each partition value held open so that wide rows need no sort
 # before a partitioned write. Beyond that many values Spark sorts the rest of a task's rows.
 OPEN_FILES = 16
-WRITING = {
-    "spark.sql.codegen.hugeMethodLimit": RECOMMENDED["spark.sql.codegen.hugeMethodLimit"],
-    "spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES),
-}
+COMPILED = {"spark.sql.codegen.hugeMethodLimit": RECOMMENDED["spark.sql.codegen.hugeMethodLimit"]}
+WRITING = {**COMPILED, "spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
 
 
 @contextmanager

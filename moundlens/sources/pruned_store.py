@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moundlens.schema import STORE_SEASON
+from moundlens.session import COMPILED, settings
 
 NAMES = ("Pitcher", "Batter")
 BITS = 5
@@ -36,9 +37,16 @@ def _day() -> Column:
 
 
 def _cell(value: Column, cuts: list[int]) -> Column:
-    """How many cut points lie below the value."""
-    points = F.array(*(F.lit(int(c)).cast("long") for c in cuts))
-    return F.size(F.filter(points, lambda point: point < value)).cast("long")
+    """How many of the ascending cut points lie below the value: a search by halves, in plain comparisons."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low).cast("long")
+        middle = (low + high) // 2
+        point = F.lit(int(cuts[middle])).cast("long")
+        return F.when(value <= point, among(low, middle)).otherwise(among(middle + 1, high))
+
+    return among(0, len(cuts))
 
 
 def interleave(cells: list[Column], bits: int) -> Column:
@@ -65,10 +73,14 @@ def write_pruned_store(
         *(F.percentile_approx(f"_{k}", shares).alias(f"cuts_{k}") for k in values),
         *(F.approx_count_distinct(name).alias(f"distinct_{name}") for name in NAMES),
     )
-    shape = found.first()  # a few numbers at any size of the log
-    cells = [_cell(v, shape[f"cuts_{k}"] or []) for k, v in values.items()]
+    with settings(df.sparkSession, COMPILED):
+        shape = found.first()  # a few numbers at any size of the log
     order = [STORE_SEASON, "_place", "Batter", "Pitcher", "Date", "PitchUID"]
-    placed = df.withColumns({STORE_SEASON: F.year("Date"), "_place": interleave(cells, bits)})
+    # each in a step of its own, so that a value is made once and not in every comparison
+    placed = df.withColumns({STORE_SEASON: F.year("Date"), **{f"_{k}": v for k, v in values.items()}})
+    placed = placed.withColumns({f"_{k}": _cell(F.col(f"_{k}"), shape[f"cuts_{k}"] or []) for k in values})
+    placed = placed.withColumn("_place", interleave([F.col(f"_{k}") for k in values], bits))
+    placed = placed.drop(*(f"_{k}" for k in values))
     files = files or max(1, -(-shape["rows"] // ROWS_PER_FILE))
     placed = placed.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("_place")
     writer = placed.write.mode(mode).option("partitionOverwriteMode", "dynamic")
@@ -76,4 +88,5 @@ def write_pruned_store(
         distinct = max(1, min(int(shape[f"distinct_{name}"] * 1.2), ROWS_PER_GROUP))
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
         writer = writer.option(f"parquet.bloom.filter.expected.ndv#{name}", str(distinct))
-    writer.options(**options).partitionBy(STORE_SEASON).parquet(path)
+    with settings(df.sparkSession, COMPILED):
+        writer.options(**options).partitionBy(STORE_SEASON).parquet(path)

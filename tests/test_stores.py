@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import glob
 
@@ -14,7 +15,7 @@ from moundlens.plans import platoon, swing
 from moundlens.schema import PITCH_COLUMNS, STORE_SEASON
 from moundlens.sources.keyed_store import GROUP, PART, PARTS, KeyedStore
 from moundlens.sources.pitch_log import read_store
-from moundlens.sources.pruned_store import interleave, write_pruned_store
+from moundlens.sources.pruned_store import _cell, interleave, write_pruned_store
 
 
 def plan_of(df) -> str:
@@ -154,3 +155,13 @@ def test_interleaved_bits(spark):
     cells = spark.sql("SELECT CAST(5 AS LONG) a, CAST(3 AS LONG) b, CAST(6 AS LONG) c")
     place = cells.select(interleave([F.col("a"), F.col("b"), F.col("c")], 3)).first()[0]
     assert place == 0b101_011_110
+
+
+def test_cells_are_found_by_plain_comparisons(spark):
+    """Functions over arrays are interpreted, value by value and cut by cut."""
+    cuts = [-5, 0, 0, 7, 1 << 40]
+    values = [-6, -5, -4, 0, 1, 7, 8, 1 << 40, (1 << 40) + 1]
+    found = spark.createDataFrame([(v,) for v in values], "v long").select("v", _cell(F.col("v"), cuts).alias("cell"))
+    assert "lambda" not in found._jdf.queryExecution().toString()
+    assert {r["v"]: r["cell"] for r in found.collect()} == {v: bisect.bisect_left(cuts, v) for v in values}
+    assert spark.range(1).select(_cell(F.lit(3), [])).first()[0] == 0
