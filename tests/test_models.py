@@ -144,6 +144,36 @@ def test_losses_name_the_feature_that_matters():
     assert mean[2] > 0.2 and (np.abs(np.delete(mean, 2)) < 0.05).all()
 
 
+def test_losses_are_those_of_walks_row_by_row():
+    data = np.random.default_rng(3)
+    codes = data.integers(0, 64, (300, 5)).astype(np.uint8)
+    label = ((codes[:, 1] > 30) ^ (data.random(300) < 0.2)).astype(np.uint8)
+
+    def vote(tree, row):
+        node, asked = 0, set()
+        for _ in range(5):
+            if (f := tree[0][node]) >= 0:
+                asked.add(int(f))
+                node = 2 * node + 1 + int(row[f] > tree[1][node])
+        return tree[2][node], asked
+
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        weight = np.bincount(rng.integers(0, 300, 300), minlength=300)
+        tree = selection.grow_tree(codes, label, weight, 5, 2, rng)
+        held, truth = codes[weight == 0], label[weight == 0] == 1
+        used = sorted(set().union(*(vote(tree, row)[1] for row in held)))
+        want = {}
+        for f in used:
+            mixed = held.copy()
+            mixed[:, f] = rng.permutation(held[:, f])
+            right = [sum(vote(tree, r)[0] == t for r, t in zip(rows, truth, strict=True)) for rows in (held, mixed)]
+            want[f] = (right[0] - right[1]) / len(held)
+        assert selection.losses(codes, label, 5, np.random.default_rng(seed)) == pytest.approx(want)
+        walk = list(selection._walk(tree, 5, lambda f: held[np.arange(len(held)), f], len(held)))  # noqa: B023
+        assert np.array_equal(walk[-1][1], selection._paths(tree, held, 5)[0])
+
+
 class Called(Exception):
     pass
 
