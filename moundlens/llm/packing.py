@@ -50,7 +50,7 @@ END = 1
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STRETCH = 1 << 18  # bytes of text split into words at a time
 WORD_BYTES = 64  # longer words are forgotten at once
-CACHED = 500_000  # words a worker remembers; beyond that it starts afresh
+CACHED = 500_000  # words in one of the two sets that a worker remembers; the older one is forgotten
 ROWS = 200  # rows handed on together
 
 
@@ -128,6 +128,7 @@ class WordEncoder:
             "words", pat_str=f"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks | {b"\x01": len(ranks)}, special_tokens={}
         )
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def check(self) -> None:
         """Every token is made by the merges that come before it from its own bytes."""
@@ -146,18 +147,16 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Puts the ids of new words into the cache."""
-        plain, parts, sizes, other = [], [], [], []  # words, their parts with marks, how many parts
-        for w in words:
-            if w.isalpha():  # ASCII letters alone
-                plain.append(w)
-                parts.append(w.lower().decode() + _MARK)
-                sizes.append(1)
-            elif (last := w[-1:]) in _STOPS and (body := w[:-1]).isalpha():
-                plain.append(w)
-                parts.append(f"{body.lower().decode()}{_MARK}{last.decode()}{_MARK}")
-                sizes.append(2)
-            else:
-                other.append(w)
+        # ASCII letters alone, then those before one stop; all of a kind are put together at once
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        ended = [w for w in rest if w[-1:] in _STOPS and w[:-1].isalpha()]
+        mark = _MARK.encode()
+        joined = [w + mark for w in plain] + [w[:-1] + mark + w[-1:] + mark for w in ended]
+        parts = [b"".join(joined).lower().decode()]
+        sizes = [1] * len(plain) + [2] * len(ended)  # how many parts a word has
+        other = [w for w in rest if not (w[-1:] in _STOPS and w[:-1].isalpha())]
+        plain += ended
         text = [w.decode() for w in other]
         raw = [k for k, x in enumerate(text) if _RAW.fullmatch(x) and "<|" not in x]  # no other blanks, no marks
         normal = self.library.normalizer.normalize_str(" ".join([text[k] for k in raw])).split(" ") if raw else []
@@ -202,8 +201,11 @@ class WordEncoder:
         distinct = set().union(*cut)
         new = [w for w in distinct if w not in self.cache]
         if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
             new = list(distinct)
+        if self.older:
+            self.cache.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in self.older]
         if new:
             self._learn(new)
         for words in cut:

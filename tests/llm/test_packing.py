@@ -113,6 +113,18 @@ def test_words_are_encoded_like_whole_texts(monkeypatch):
         assert got == struct.pack(f"<{len(want)}I", *want), repr(text)
 
 
+def test_words_in_use_are_not_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 40)
+    known, learnt = packing.WordEncoder(packing.default_path()), []
+    learn = known._learn
+    monkeypatch.setattr(known, "_learn", lambda words: (learnt.extend(words), learn(words)))
+    for k in range(20):  # ten new words each time, and ten that come every time
+        words = [*(f"always{chr(97 + i)}" for i in range(10)), *(f"once{chr(97 + k)}{chr(97 + i)}" for i in range(10))]
+        list(known.encode([" ".join(words)]))
+    assert len(learnt) == len(set(learnt)) == 210
+    assert len(known.cache) <= 40 and len(known.older) <= 40
+
+
 def test_tokens_that_do_not_come_from_their_bytes_are_refused():
     known = packing.WordEncoder(packing.default_path())
     known.joint = [*known.joint, "qzx</w>"]
