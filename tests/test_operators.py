@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_set
 from moundlens.functions.numbers import exact_mean, exact_sum
-from moundlens.operators.joins import join_group_table, null_safe_join
+from moundlens.operators.joins import frequent_keys, join_group_table, null_safe_join
 from moundlens.operators.ranking import exact_quantiles, running_totals, with_sampled_bucket
 from moundlens.operators.sampling import sample_n, stratified_split
 from moundlens.plans import roc
@@ -144,3 +144,35 @@ def test_lookup_with_two_rows_for_a_key_is_refused(spark):
     runs = spark.createDataFrame([], "balls int, strikes int, event string, run_value double")
     with pytest.raises(ValueError, match="single"):
         add_event_weights(spark.range(1).toDF("x"), events, runs)
+
+
+def test_frequent_keys_are_exact_and_rare_ones_stay(spark):
+    fact = _skewed(spark)
+    total, found = frequent_keys(fact, ["k"], lambda rows: rows / 10)
+    assert total == 3000 and {(r["k"], r["_rows"]) for r in found.collect()} == {("hot", 1000)}
+    sizes = {(r["k"], r["count"]) for r in fact.groupBy("k").count().collect()}
+    for least in (0, 39):
+        found = frequent_keys(fact, ["k"], lambda rows: least)[1].collect()
+        assert {(r["k"], r["_rows"]) for r in found} == {(k, n) for k, n in sizes if n > least}
+    assert frequent_keys(fact, ["k"], lambda rows: rows)[1] is None
+    assert frequent_keys(fact.limit(0), ["k"], lambda rows: rows / 10) == (0, None)
+
+
+def test_groups_by_day_are_broadcast_as_lists(spark):
+    """Up to some four times `broadcast_bytes` no fact is moved; NULL keys, days and values included."""
+    day = F.when(F.col("id") % 11 > 0, F.date_add(F.lit("1969-12-25").cast("date"), (F.col("id") % 11).cast("int")))
+    fact = _skewed(spark).withColumn("d", day)
+    groups = fact.where("v > 20").groupBy("k", "d").agg(
+        F.sum(F.when(F.col("v") > 60, F.col("v"))).alias("total"), F.avg("v").alias("mean")
+    ).where("total IS NULL OR total % 5 > 0")
+    args = (fact, groups, ["k", "d"], F.xxhash64("id"))
+    plain = join_group_table(*args)
+    rows = as_set(plain)
+    some = plain.collect()
+    assert 0 < len(some) < 3000 and all(None in {r[name] for r in some} for name in ("k", "d", "total"))
+    listed = join_group_table(*args, broadcast_bytes=16_000, nested="d")
+    assert listed.columns == plain.columns and listed.dtypes == plain.dtypes and as_set(listed) == rows
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "_all_total" in plan
+    shuffled = join_group_table(*args, broadcast_bytes=2_000, nested="d")
+    assert "_all_total" not in shuffled._jdf.queryExecution().toString() and as_set(shuffled) == rows
