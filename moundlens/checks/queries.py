@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,7 +19,7 @@ from moundlens.plans import (
 )
 from moundlens.schema import (
     PIPELINE_TYPES, PITCH_COLUMNS, PITCH_TYPE_ORDER, REPORT_SWINGS,
-    STORE_SEASON, SWING_CLASSES,
+    SCORED_COLUMNS, STORE_SEASON, SWING_CLASSES,
 )
 from moundlens.sources.keyed_store import KeyedStore
 from moundlens.sources.pitch_log import align_schema, read_season_csv, read_store, union_seasons, write_csv
@@ -287,9 +287,11 @@ def left_join_totals(log):
     return mix.totals_with_detail(log)
 
 
-def _ready(log: DataFrame, *extra: str) -> DataFrame:
-    """Model-ready pitches, written once because several classes and models read them."""
-    return materialize(swing.model_ready(log, extra=extra), "model_ready")
+def _ready(log: DataFrame, *extra: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Model-ready pitches, written once because several classes and models read them; only
+    `columns` of them where these are all that is read."""
+    ready = swing.model_ready(log, extra=extra)
+    return materialize(ready if columns is None else ready.select(*columns), "model_ready")
 
 
 def _scored_classes(ready: DataFrame) -> DataFrame:
@@ -522,7 +524,7 @@ def union_seasons_(log):
 
 @_query
 def union_scored(log):
-    return _scored_classes(_ready(log, "xSwing_Pred"))
+    return _scored_classes(_ready(log, "xSwing_Pred", columns=["TaggedPitchType", *SCORED_COLUMNS]))
 
 
 @_query
@@ -905,7 +907,8 @@ def model_ready_stored(log):
 
 @_query
 def feature_sets(log):
-    ready = _ready(log)
+    features = dict.fromkeys(name for _, names in SWING_CLASSES.values() for name in names)
+    ready = _ready(log, columns=["PitchUID", "TaggedPitchType", *features, "is_Swing"])
     parts = [
         swing.feature_set(ready, name).withColumn("swing_class", F.lit(name))
         for name in SWING_CLASSES
