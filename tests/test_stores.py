@@ -11,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import as_set
+from moundlens.checks import queries
+from moundlens.checks.fixture import event_weights
 from moundlens.plans import platoon, swing
-from moundlens.schema import PITCH_COLUMNS, STORE_SEASON
-from moundlens.sources.keyed_store import GROUP, PART, PARTS, KeyedStore
-from moundlens.sources.pitch_log import read_store
+from moundlens.schema import PITCH_COLUMNS, SCORED_COLUMNS, STORE_SEASON
+from moundlens.sources.keyed_store import GROUP, PART, PARTS, KeyedStore, _name_of
+from moundlens.sources.pitch_log import read_store, write_store
 from moundlens.sources.pruned_store import _cell, interleave, write_pruned_store
 
 
@@ -165,3 +167,34 @@ def test_cells_are_found_by_plain_comparisons(spark):
     assert "lambda" not in found._jdf.queryExecution().toString()
     assert {r["v"]: r["cell"] for r in found.collect()} == {v: bisect.bisect_left(cuts, v) for v in values}
     assert spark.range(1).select(_cell(F.lit(3), [])).first()[0] == 0
+
+
+def test_names_of_keys_differ_as_the_keys_do(spark):
+    keys = [(None, "a"), ("a", None), ("-", "a"), ("1:a", None), ("", "a"), ("a", ""), ("a1:a", ""), ("a", "1:a"), (None, None)]
+    found = spark.createDataFrame(keys, "a string, b string").select(_name_of(["a", "b"]).alias("name")).collect()
+    assert len({r["name"] for r in found}) == len(keys) and all(r["name"] for r in found)
+
+
+def test_only_fastballs_travel_to_the_baseline(log):
+    assert "IN (Fastball,Sinker)" in plan_of(swing.fastball_baseline(log))
+
+
+def test_written_pitches_have_the_columns_that_are_read(log, monkeypatch):
+    written, plain = {}, queries.materialize
+    monkeypatch.setattr(queries, "materialize", lambda df, name: (written.update({name: df.columns}), plain(df, name))[1])
+    queries.union_scored(log)
+    assert set(written["model_ready"]) == {"TaggedPitchType", *SCORED_COLUMNS}
+    result = queries.feature_sets(log)
+    assert set(written["model_ready"]) == {"TaggedPitchType", *result.columns} - {"swing_class"}
+
+
+def test_model_inputs_are_all_that_weighted_pitches_need(log):
+    weights = event_weights(log)
+    ready = swing.model_ready(log.select(*swing.MODEL_INPUTS), weights)
+    assert as_set(ready) == as_set(swing.model_ready(log, weights).select(*ready.columns))
+
+
+def test_store_files_are_written_with_zstd(log, tmp_path):
+    write_store(log.drop(STORE_SEASON).limit(9), str(tmp_path / "s"), clustered=False)
+    files = glob.glob(str(tmp_path / "s" / "*" / "*.parquet"))
+    assert files and all(name.endswith(".zstd.parquet") for name in files)
