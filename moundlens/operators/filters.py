@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from moundlens.functions.nulls import in_box, in_set
 from moundlens.schema import EXCLUDED_DATE, HEART_ZONE, STORE_SEASON, STRIKE_ZONE
@@ -18,14 +18,22 @@ def by_membership(df: DataFrame, column: str, values: Iterable[str]) -> DataFram
     return df.where(F.col(column).isin(*values))
 
 
+def is_tagged() -> Column:
+    return ~F.col("TaggedPitchType").isin("Undefined", "Other")
+
+
+def is_valid() -> Column:
+    return is_tagged() & (F.col("PitchCall") != "Undefined")
+
+
 def tagged_pitches(df: DataFrame) -> DataFrame:
     """Pitches with a usable type."""
-    return df.where(~F.col("TaggedPitchType").isin("Undefined", "Other"))
+    return df.where(is_tagged())
 
 
 def valid_pitches(df: DataFrame) -> DataFrame:
     """Pitches with a usable type and call."""
-    return tagged_pitches(df).where(F.col("PitchCall") != "Undefined")
+    return df.where(is_valid())
 
 
 def pitcher_dates(

@@ -13,7 +13,7 @@ def _count(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def _sums() -> dict[str, Column]:
+def report_sums() -> dict[str, Column]:
     """Numerators and denominators over flagged pitches. Each one is additive."""
     zone, swing, whiff = F.col("is_Zone"), F.col("is_Swing"), F.col("is_Whiff")
     first = F.col("PitchofPA") == 1
@@ -106,7 +106,7 @@ def _metrics() -> dict[str, Column]:
 
 def summarize(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row of sums per key. Aggregates map-side, so a hot key costs one row per task."""
-    return flagged.groupBy(*keys).agg(*[col.alias(name) for name, col in _sums().items()])
+    return flagged.groupBy(*keys).agg(*[col.alias(name) for name, col in report_sums().items()])
 
 
 def summarize_sets(flagged: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
@@ -114,7 +114,7 @@ def summarize_sets(flagged: DataFrame, sets: Sequence[Sequence[str]]) -> DataFra
     keys = list(dict.fromkeys(key for kept in sets for key in kept))
     ids = [int("".join("0" if key in kept else "1" for key in keys), 2) for kept in sets]
     summary = flagged.groupingSets([[F.col(k) for k in kept] for kept in sets], *keys).agg(
-        F.grouping_id().alias("_id"), *[col.alias(name) for name, col in _sums().items()]
+        F.grouping_id().alias("_id"), *[col.alias(name) for name, col in report_sums().items()]
     )
     number = F.lit(None).cast("int")
     for position, grouping in enumerate(ids):
@@ -128,7 +128,8 @@ def merge_grains(
     """Merge the rows of `summarize_sets` into coarser reports at once, named in `report`.
 
     Each grain names the set it is merged from and the keys it keeps. A key that a report leaves
-    out and one that is NULL in the data stay apart, because `report` is part of the grouping.
+    out and one that is NULL in the data stay apart, because `report` is part of the grouping. A key
+    that all of them keep is passed on as it is, so rows that lie by it already are not moved.
     """
     names = F.lit(None).cast("array<string>")
     for number in {source for source, _ in grains.values()}:
@@ -141,6 +142,7 @@ def merge_grains(
             F.col(key),
         )
         for key in keys
+        if not all(key in held for _, held in grains.values())
     }
     return expanded.withColumns(kept).groupBy("report", *keys).agg(
         *[F.sum(name).alias(name) for name in SUM_COLUMNS]

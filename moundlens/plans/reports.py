@@ -80,7 +80,10 @@ def labelled_pitches(
     date_to: str | None = None,
 ) -> DataFrame:
     """Valid pitches with flags and every grouping label of the reports."""
-    flagged = pitch_flags(valid_pitches(pitcher_dates(df, pitchers, date_from, date_to)))
+    return report_labels(pitch_flags(valid_pitches(pitcher_dates(df, pitchers, date_from, date_to))))
+
+
+def report_labels(flagged: DataFrame) -> DataFrame:
     return pitch_type(flagged).withColumns(
         {
             "pitchzone": keep_levels(F.col("pitchzone"), ATTACK_ZONE_ORDER),

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import as_set
-from moundlens.plans import reports
-from moundlens.plans.daily import TABLES, DailySums
+from moundlens.plans import daily, reports
+from moundlens.plans.daily import TABLES, DailySums, _day_sums, _pitch_rows, _placed
 from moundlens.schema import STORE_SEASON
 from moundlens.sources.pitch_log import read_store, write_store
 
@@ -81,3 +81,38 @@ def test_rows_do_not_grow_with_pitches(spark, make, tmp_path):
     small, large = DailySums.build(one, str(tmp_path / "a")), DailySums.build(many, str(tmp_path / "b"))
     for name in TABLES:
         assert small.table(name).count() == large.table(name).count()
+
+
+def test_reports_move_nothing_where_days_are_bucketed(some, tmp_path):
+    log, _ = some
+    late = log.where("Date > '2023-04-01'")
+    DailySums.build(log.where("Inning > 2"), str(tmp_path / "s"), buckets=8).update(
+        log, [r[0] for r in log.select("Date").distinct().collect()]
+    )
+    sums = DailySums(log.sparkSession.newSession(), str(tmp_path / "s"))  # found by folder
+    for report in (reports.all_grains, reports.by_count_type, reports.movement):
+        assert as_set(report(sums, None, *RANGE)) == as_set(report(log, None, *RANGE)) != set()
+    plan = reports.all_grains(sums, None, *RANGE)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    mine = sums.table("reports").where("Date > '2023-04-01'")
+    per_day = mine.select("Date", F.input_file_name().alias("f")).distinct().groupBy("Date").count()
+    assert {r["count"] for r in per_day.collect()} <= set(range(1, 9)) and not late.isEmpty()
+
+
+def test_each_pitch_moves_once(some, tmp_path):
+    log, _ = some
+    plan = _day_sums(_placed(_pitch_rows(log), 1))._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert plan.count("Exchange") == 1 and "Expand" not in plan
+
+
+def test_a_pitcher_with_very_many_pitches_a_day_has_several_tasks(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(daily, "ROWS_PER_TASK", 20)
+    kinds = ("Fastball", "Other", None, "Slider")
+    rows = [{"Pitcher": None, "Date": None, "RelSpeed": 80.0 + k % 7, "TaggedPitchType": kinds[k % 4]} for k in range(300)]
+    log = make(*rows, {"Pitcher": "A, A", "PitchCall": "InPlay"}, {"Pitcher": "A, A", "PitchCall": None})
+    placed = _placed(_pitch_rows(log), 1)
+    assert 2 < placed.where("Pitcher IS NULL").select("_part").distinct().count() <= 300 / 20
+    sums = DailySums.build(log, str(tmp_path / "s"))
+    for report in (reports.all_grains, reports.movement, reports.pitcher_names):
+        assert as_set(report(sums)) == as_set(report(log)) != set()
