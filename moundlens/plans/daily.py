@@ -94,7 +94,7 @@ def _placed(rows: DataFrame, buckets: int) -> DataFrame:
     """Each pitch in the task that sums its pitcher and day; `_place` and `_part` belong to the key.
 
     A task has some ROWS_PER_TASK pitches, and those of a day and bucket come from one task, unless
-    they are more.
+    they are more. Tasks are cut by range, so that they are even however few places there are.
     """
     total, hot = frequent_keys(rows, ["Date", "Pitcher"], lambda _: 4 * ROWS_PER_TASK)
     largest = rows.groupBy("Date").count().agg(F.max("count")).first()[0] or 0
@@ -110,7 +110,7 @@ def _placed(rows: DataFrame, buckets: int) -> DataFrame:
     ).drop("_parts")
     cores = rows.sparkSession.sparkContext.defaultParallelism
     tasks = max(-(-total // ROWS_PER_TASK), min(cores, -(-total // FILE_ROWS)), 1)
-    return rows.repartition(tasks, "Date", "_place", "_part")
+    return rows.repartitionByRange(tasks, "Date", "_place", "_part")
 
 
 def _day_sums(placed: DataFrame) -> DataFrame:
