@@ -174,6 +174,63 @@ def test_losses_are_those_of_walks_row_by_row():
         assert np.array_equal(walk[-1][1], selection._paths(tree, held, 5)[0])
 
 
+def noisy(spark, n):
+    """Rows whose label follows `a`, and not `b`; values in steps, keys in no order."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(1000))
+    other = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(500))
+    flip = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10)) == 0
+    label = ((spot > 500) != flip).cast("int")
+    key = F.concat(F.lit("k"), F.xxhash64("id", F.lit(3)).cast("string"))
+    return spark.range(n).select(key.alias("PitchUID"), (spot / 10).alias("a"), other.alias("b"), label.alias("is_Swing"))
+
+
+def test_selection_works_on_all_rows(spark, monkeypatch):
+    seen = []
+    plain = selection.binned
+    monkeypatch.setattr(selection, "binned", lambda values: (seen.append(len(values)), plain(values))[1])
+    rows = noisy(spark, 31_000)
+    selection.select_features(rows, "is_Swing", ["a", "b"], max_runs=1, trees=1, depth=1)
+    assert seen == [31_000, 31_000]
+    selection.select_features(rows, "is_Swing", ["a", "b"], max_runs=1, trees=1, depth=1, sample_rows=500)
+    assert seen[2:] == [500, 500]
+
+
+def test_rows_in_blocks_have_the_same_codes(spark):
+    rows = noisy(spark, 3_000)
+    made = selection.to_blocks(rows, "is_Swing", ["a", "b"], 3_000, block_rows=500)
+    held = made.orderBy("number").collect()
+    assert len(held) == 6 and sum(r.n for r in held) == 3_000
+    codes = np.concatenate([np.frombuffer(r.codes, np.uint8).reshape(-1, 2) for r in held])
+    label = np.concatenate([np.frombuffer(r.label, np.uint8) for r in held])
+    plain = rows.select("a", "b", "is_Swing").toPandas()
+    want = np.column_stack([selection.binned(plain["a"].to_numpy()), selection.binned(plain["b"].to_numpy()), plain["is_Swing"]])
+    assert sorted(map(tuple, np.column_stack([codes, label]))) == sorted(map(tuple, want))
+    again = selection.to_blocks(rows.repartition(5), "is_Swing", ["a", "b"], 3_000, block_rows=500)
+    assert held == again.orderBy("number").collect()
+
+
+def test_trees_over_blocks_equal_ones_that_try_every_cut(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SUMS_BYTES", 1 << 12)  # several passes a level
+    made = selection.to_blocks(noisy(spark, 400), "is_Swing", ["a", "b"], 400, block_rows=100)
+    held = [r.asDict() for r in made.orderBy("number").collect()]
+    forest = selection.Forest([0], [], 1, 3, 4, 7)  # one feature to try leaves no ties between features
+    codes, label = (np.concatenate(x) for x in zip(*map(forest.block, held), strict=True))
+    for number, tree in enumerate(selection.grow_forest(made, forest)):
+        weight = np.concatenate([forest.weight(number, r) for r in held])
+        votes = tree[2][selection._paths(tree, codes, 4)[0]]
+        own = weight > 0  # codes that only other rows have can lie on either side
+        assert np.array_equal(votes[own], plain_tree(codes, label, weight, 4, [0])[own])
+
+
+def test_selection_over_blocks_finds_the_same(spark, monkeypatch):
+    monkeypatch.setattr(selection, "BLOCK_ROWS", 1_000)
+    options = {"max_runs": 12, "trees": 8, "depth": 3}
+    ways = [selection.select_features(noisy(spark, 3_000), "is_Swing", ["a", "b"], whole_rows=n, **options).collect() for n in (0, 3_000)]
+    for rows in ways:
+        assert [(r.feature, r.decision == "Confirmed") for r in rows] == [("a", True), ("b", False)]
+    assert ways[0][0].mean_imp == pytest.approx(ways[1][0].mean_imp, rel=0.5)
+
+
 class Called(Exception):
     pass
 
