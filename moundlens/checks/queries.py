@@ -946,7 +946,7 @@ def team_chase_diff(log):
 def team_chase_diff_pruned(log):
     """`team_chase_diff` out of a store that is laid out by pitcher, batter and date."""
     path = fresh_path(log.sparkSession, "pruned")
-    write_pruned_store(log.drop(STORE_SEASON), path)
+    write_pruned_store(log.select(*leaderboards.CHASE_INPUTS), path)
     return leaderboards.team_chase_board(read_store(log.sparkSession, path))
 
 

@@ -61,6 +61,11 @@ def pitcher_swing_diff(
         "PitcherTeam", F.col("swing_diff").desc_nulls_last(), "Pitcher"
     )
 
+# What a store of the chase boards needs: the columns that they read, and those that lay it out.
+CHASE_INPUTS = [
+    "PitchUID", "Date", "Pitcher", "Batter", "BatterTeam", "PlateLocSide", "PlateLocHeight", "is_Swing", "xSwing_Pred",
+]
+
 
 def chase_diff(
     scored: DataFrame,

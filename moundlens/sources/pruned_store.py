@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moundlens.schema import STORE_SEASON
-from moundlens.session import COMPILED, settings
+from moundlens.session import COMPILED, DROPPING, settings
 
 NAMES = ("Pitcher", "Batter")
 BITS = 5
@@ -83,10 +83,10 @@ def write_pruned_store(
     placed = placed.drop(*(f"_{k}" for k in values))
     files = files or max(1, -(-shape["rows"] // ROWS_PER_FILE))
     placed = placed.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("_place")
-    writer = placed.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer = placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
     for name in NAMES:
         distinct = max(1, min(int(shape[f"distinct_{name}"] * 1.2), ROWS_PER_GROUP))
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
         writer = writer.option(f"parquet.bloom.filter.expected.ndv#{name}", str(distinct))
-    with settings(df.sparkSession, COMPILED):
+    with settings(df.sparkSession, {**COMPILED, **DROPPING}):
         writer.options(**options).partitionBy(STORE_SEASON).parquet(path)
