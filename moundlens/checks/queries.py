@@ -275,7 +275,7 @@ def join_stored_baseline(log):
 @_query
 def join_stored_counts(log):
     """`join_pa_counts` bucket by bucket."""
-    return platoon.join_stored_counts(_keyed(log, platoon.BATTER))
+    return platoon.join_stored_counts(_keyed(log.select(*platoon.FINAL_INPUTS), platoon.BATTER))
 
 
 @_query

@@ -17,6 +17,8 @@ from moundlens.sources.keyed_store import GROUP, PART, PARTS, KeyedStore
 from moundlens.sources.scratch import materialize
 
 BATTER = ["Batter", "BatterTeam"]
+# What `final_pitches` reads.
+FINAL_INPUTS = ["PitchUID", *BATTER, "BatterSide", "PitcherThrows", "Level", "woba_value", "woba_denom"]
 LARGEST_PSI = 1e16
 QUARTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 

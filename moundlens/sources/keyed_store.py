@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from moundlens.operators.joins import BROADCAST_BYTES, frequent_keys, null_safe_join, table_bytes
+from moundlens.session import DROPPING, settings
 from moundlens.sources.scratch import fresh_path
 
 GROUP, PART, PARTS = "_group", "_part", "_parts"
@@ -46,7 +47,8 @@ def _bucketed(df: DataFrame, path: str, buckets: int, placed: bool = False) -> D
     name = f"moundlens_{uuid.uuid4().hex}"
     rows = (df if placed else df.repartition(buckets, GROUP, PART)).sortWithinPartitions(GROUP, PART)
     writer = rows.write.format("parquet").option("compression", "zstd").option("path", path)
-    writer.bucketBy(buckets, GROUP, PART).sortBy(GROUP, PART).saveAsTable(name)
+    with settings(df.sparkSession, DROPPING):
+        writer.bucketBy(buckets, GROUP, PART).sortBy(GROUP, PART).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
