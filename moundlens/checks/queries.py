@@ -64,7 +64,7 @@ def scan_csv(log):
 @_query
 def inferred_types(log):
     spark, path = log.sparkSession, fresh_path(log.sparkSession, "csv")
-    write_csv(log.select(*PITCH_COLUMNS), path)
+    write_csv(log.select(*PITCH_COLUMNS), path, "gzip")
     found = [(f.name, f.dataType.simpleString()) for f in infer_types(spark, path)]
     return spark.createDataFrame(found, "name string, kind string")
 

@@ -91,7 +91,7 @@ def _header(lines: DataFrame) -> list[str]:
 
 
 def _records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, list[str]]:
-    """(file, line, text, malformed, c0, c1, ...): fields as text, written once; and their names."""
+    """(file, line, text, malformed, c0, c1, ...): fields as text; and their names."""
     lines = numbered_lines(spark, path)
     names = _header(lines)
     fields = ", ".join([*(f"c{k} string" for k in range(len(names))), "bad string"])
@@ -102,7 +102,7 @@ def _records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, lis
         "file", "line", "text", F.col("r.bad").isNotNull().alias("malformed"),
         *[F.when(F.col(f"r.c{k}") != "", F.col(f"r.c{k}")).alias(f"c{k}") for k in range(len(names))],
     )
-    return materialize(records, "records"), names
+    return records, names
 
 
 def _inferred(records: DataFrame, names: list[str]) -> T.StructType:
@@ -136,6 +136,7 @@ def scan_season(spark: SparkSession, path: str | list[str], schema: T.StructType
     `rows` or in `quarantine`.
     """
     records, names = _records(spark, path)
+    records = materialize(records, "records")  # read for the types, the rows and the quarantine
     schema = _inferred(records, names) if schema is None else schema
     missing = [f.name for f in schema if f.name not in names]
     if missing:
