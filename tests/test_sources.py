@@ -1,18 +1,25 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import as_set
+from conftest import SMALL, as_set
 from moundlens.checks import fixture
 from moundlens.operators.filters import in_year, pitcher_dates
 from moundlens.schema import LATER_COLUMNS, PITCH_COLUMNS, PITCH_SCHEMA, STORE_SEASON
+from moundlens.sources import pitch_log, typed_scan
+from moundlens.sources.keyed_store import KeyedStore
 from moundlens.sources.pitch_log import (
     align_schema, read_raw_season, read_season_csv, read_store, union_seasons, write_csv, write_store,
 )
-from moundlens.sources.scratch import fresh_path, materialize, scratch_root
+from moundlens.sources.pruned_store import write_pruned_store
+from moundlens.sources.scratch import discard, fresh_path, materialize, scratch_root
+from moundlens.sources.season_load import load_games
+from moundlens.sources.typed_scan import infer_types
 
 
 def test_season_files_line_up_by_name(spark, make, tmp_path):
@@ -134,3 +141,73 @@ def test_a_tasks_share_of_the_logs_join_does_not_grow(spark, tmp_path, monkeypat
     assert fixture.pitches(spark, str(tmp_path)).count() == 20
     assert int(seen[0][0]) >= 20 and seen[0][1] == "25"
     assert [spark.conf.get(n) for n in names] == before
+
+
+def shuffled(spark) -> dict[str, int]:
+    """Bytes of every shuffle file that is there."""
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    files = [held.apply(k) for k in range(held.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_writes_leave_no_shuffle_behind(log, spark, tmp_path):
+    plain = log.drop(STORE_SEASON)
+    before = shuffled(spark)
+    materialize(plain.repartition(3, "Batter"), "moved")
+    write_store(plain, str(tmp_path / "clustered"))
+    assert shuffled(spark).keys() <= before.keys()
+    write_pruned_store(plain, str(tmp_path / "pruned"), files=3)
+    KeyedStore.write(plain, str(tmp_path / "keyed"), ["Batter"], buckets=3)
+    # what is left are the counts and cut points that were collected, no pitches
+    assert sum(size for name, size in shuffled(spark).items() if name not in before) < 100_000
+
+
+def test_discarded_tables_are_gone(spark):
+    table = materialize(spark.range(9), "short-lived")
+    folder = table.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    discard(table)
+    assert not os.path.exists(folder)
+
+
+def test_compressed_csv_gives_the_same_rows(log, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pitch_log, "CSV_ROWS", 700)
+    rows = log.select(*PITCH_SCHEMA.names)
+    write_csv(rows, str(tmp_path / "plain"))
+    write_csv(rows, str(tmp_path / "packed"), "gzip")
+    parts = [p for p in os.listdir(tmp_path / "packed") if p.startswith("part-")]
+    assert len(parts) >= rows.count() / 700 and all(p.endswith(".csv.gz") for p in parts)
+    plain, packed = (read_season_csv(spark, str(tmp_path / k)) for k in ("plain", "packed"))
+    assert plain.exceptAll(packed).isEmpty() and packed.count() == plain.count()
+    assert infer_types(spark, str(tmp_path / "packed")) == infer_types(spark, str(tmp_path / "plain"))
+
+
+def test_types_are_inferred_without_a_table_of_fields(spark, tmp_path, monkeypatch):
+    (tmp_path / "f.csv").write_text("a,b\n1,x\n2,2023-01-01\n")
+    written = []
+    plain = typed_scan.materialize
+    monkeypatch.setattr(typed_scan, "materialize", lambda df, name: (written.append(name), plain(df, name))[1])
+    assert [f.dataType.simpleString() for f in infer_types(spark, str(tmp_path))] == ["int", "string"]
+    assert written == ["lines"]
+
+
+def test_stores_of_queries_hold_the_columns_that_are_read(spark, monkeypatch):
+    from moundlens.checks import queries
+
+    held = []
+    pruned, keyed = queries.write_pruned_store, queries._keyed
+    monkeypatch.setattr(queries, "write_pruned_store", lambda df, path: (held.append(df.columns), pruned(df, path))[1])
+    monkeypatch.setattr(queries, "_keyed", lambda df, keys: (held.append(df.columns), keyed(df, keys))[1])
+    for name, plain in (("team_chase_diff_pruned", "team_chase_diff"), ("join_stored_counts", "join_pa_counts")):
+        found, want = (queries.all_queries()[n](spark, SMALL) for n in (name, plain))
+        assert found.columns == want.columns and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    assert [len(columns) for columns in held] == [9, 8]
+
+
+def test_a_load_leaves_no_copy_of_the_seasons(log, spark, tmp_path):
+    plain, path = log.drop(STORE_SEASON), str(tmp_path / "s")
+    load_games(plain.where("Inning > 2"), path)
+    before = set(glob.glob(f"{scratch_root(spark)}/moundlens-*/new-seasons"))
+    load_games(plain, path)
+    assert read_store(spark, path).count() == plain.count()
+    assert set(glob.glob(f"{scratch_root(spark)}/moundlens-*/new-seasons")) == before
